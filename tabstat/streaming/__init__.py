@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference reads one CSV and computes whole-frame statistics; it has no
+streams, watermarks, windows over event time or stateful operators, so there
+is nothing to re-express with Structured Streaming.
+"""
