@@ -90,10 +90,15 @@ class _E:
 
 
 def _fn(name, x: _E) -> _E:
-    spark_fn = {"exp": F.exp, "abs": F.abs, "ln": F.log, "sqrt": F.sqrt}[name]
+    spark_fn = {"exp": F.exp, "abs": F.abs, "ln": F.log, "sqrt": F.sqrt, "sign": F.signum}[name]
     return _E(spark_fn(x.col), f"{name}({x.sql})")
 
 
+def _pow(x: _E, y) -> _E:
+    y = _E.wrap(y)
+    return _E(F.pow(x.col, y.col), f"pow({x.sql}, {y.sql})")
+
+
 def _when(cond_col, cond_sql, a: _E, b: _E) -> _E:
     a, b = _E.wrap(a), _E.wrap(b)
     return _E(F.when(cond_col, a.col).otherwise(b.col), f"(CASE WHEN {cond_sql} THEN {a.sql} ELSE {b.sql} END)")
@@ -129,6 +134,7 @@ def _norm_cdf_e(x: _E) -> _E:
 
 
 def _norm_ppf_e(p: _E) -> _E:
+    """Acklam's rational approximation (relative error < 1.2e-9)."""
     q = p - 0.5
     r = q * q
     central = _poly(ACKLAM_A, r) * q / (_poly(ACKLAM_B, r) * r + 1.0)
@@ -136,9 +142,12 @@ def _norm_ppf_e(p: _E) -> _E:
     low = _poly(ACKLAM_C, ql) / (_poly(ACKLAM_D, ql) * ql + 1.0)
     qh = _fn("sqrt", -2.0 * _fn("ln", 1.0 - p))
     high = -(_poly(ACKLAM_C, qh) / (_poly(ACKLAM_D, qh) * qh + 1.0))
-    x = _when(*_cmp(p, "<", ACKLAM_PLOW), low,
-              _when(*_cmp(p, ">", 1.0 - ACKLAM_PLOW), high, central))
-    # one Halley step against the double-precision cdf
+    return _when(*_cmp(p, "<", ACKLAM_PLOW), low,
+                 _when(*_cmp(p, ">", 1.0 - ACKLAM_PLOW), high, central))
+
+
+def _halley_e(x: _E, p: _E) -> _E:
+    """One Halley step of x towards Φ⁻¹(p); x must be a plain column."""
     err = _norm_cdf_e(x) - p
     u = err * SQRT_2PI * _fn("exp", x * x / 2.0)
     return x - u / (1.0 + x * u / 2.0)
@@ -159,7 +168,11 @@ def norm_cdf(col: Column | str) -> Column:
 
 
 def norm_ppf(col: Column | str) -> Column:
-    """Standard normal quantile Φ⁻¹(p), p in (0, 1); 0 and 1 give ∓inf."""
+    """Standard normal quantile Φ⁻¹(p) (Acklam, relative error < 1.2e-9).
+
+    p in (0, 1); 0 and 1 give ∓inf. For full double precision use
+    :func:`with_norm_ppf` (one Halley step on a staged column).
+    """
     c = F.col(col) if isinstance(col, str) else col
     c = c.cast("double")
     body = _norm_ppf_e(_E(c, "p")).col
@@ -168,6 +181,19 @@ def norm_ppf(col: Column | str) -> Column:
             .otherwise(body))
 
 
+def with_norm_ppf(df, p_col: str, out: str):
+    """Add ``out`` = Φ⁻¹(p) refined to double precision.
+
+    The first approximation is projected as its own column so the Halley
+    step references it instead of duplicating its expression tree.
+    """
+    staged = df.withColumn(out, norm_ppf(p_col))
+    x = _E(F.col(out), out)
+    p = _E(F.col(p_col).cast("double"), p_col)
+    refined = _halley_e(x, p).col
+    return staged.withColumn(out, F.when(F.abs(F.col(out)) < 1e300, refined).otherwise(F.col(out)))
+
+
 def norm_cdf_sql(expr_sql: str) -> str:
     """Same Φ as SQL text (for the DuckDB oracle)."""
     return _norm_cdf_e(_E(F.lit(0.0), f"CAST({expr_sql} AS DOUBLE)")).sql

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tabstat.session import materialize
 
-# Largest offsets table that is broadcast; above it a shuffle join is used.
-BROADCAST_ROWS = 2_000_000
+# Largest side table (rows) that is collected and broadcast; above it the
+# table is checkpointed and joined with a shuffle.
+BROADCAST_ROWS = 200_000
 
 _PID, _POS, _N, _P0, _OFF, _GN = "_ts_pid", "_ts_pos", "_ts_n", "_ts_p0", "_ts_off", "_ts_gn"
 
@@ -58,9 +59,19 @@ def _num_partitions(df: DataFrame) -> int:
 
 
 def broadcast_if_small(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """Broadcast hint only when the counted row number is within ``limit``."""
+    """Detach a derived side table from its lineage, broadcast it if small.
+
+    The row count is checked first. Up to ``limit`` rows the table is
+    rebuilt as a local relation and broadcast; above it the table is
+    written to the reliable checkpoint folder and joined with a shuffle.
+    Either way the side no longer shares lineage with the frame it is
+    joined to, so a self-join never recomputes (and re-samples) it.
+    """
     n = small.count()
-    return (F.broadcast(small) if n <= limit else small), n
+    if n <= limit:
+        local = small.sparkSession.createDataFrame(small.collect(), small.schema)
+        return F.broadcast(local), n
+    return materialize(small, "checkpoint"), n
 
 
 def global_rank(df: DataFrame, order_cols, by=None, tiebreak=None,
@@ -101,7 +112,6 @@ def global_rank(df: DataFrame, order_cols, by=None, tiebreak=None,
     counts = counts.withColumn(_OFF, F.coalesce(F.sum(_N).over(before), F.lit(0)))
     if group_size_col:
         counts = counts.withColumn(_GN, F.sum(_N).over(Window.partitionBy(*by)))
-    counts = materialize(counts, "persist")
     small, _ = broadcast_if_small(counts)
 
     t, c = tagged.alias("_t"), small.alias("_c")
