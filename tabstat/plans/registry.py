@@ -64,7 +64,7 @@ from tabstat.plans import (  # noqa: E402,F401
     q_profile,
 )
 
-for _mod in ("q_order", "q_normality", "q_matrix", "q_evaluate", "q_neighbors", "q_models"):
+for _mod in ("q_normality", "q_evaluate", "q_matrix", "q_neighbors", "q_models"):
     try:
         __import__(f"tabstat.plans.{_mod}")
     except ModuleNotFoundError as exc:  # module not written yet
