@@ -128,6 +128,38 @@ def standard_scale(train: DataFrame, test: DataFrame | None, cols: Sequence[str]
     return m.transform(train, cols), (m.transform(test, cols) if test is not None else None), m
 
 
+@dataclass
+class ArrayScaleModel:
+    """Element-wise affine map of an array column: (x - shift) / scale."""
+    shift: list
+    scale: list
+
+    def column(self, col: str) -> Column:
+        sh = F.array(*[F.lit(float(v)) for v in self.shift])
+        sc = F.array(*[F.lit(float(v)) for v in self.scale])
+        centred = F.zip_with(F.col(col).cast("array<double>"), sh, lambda x, m: x - m)
+        return F.zip_with(centred, sc, lambda d, s: d / s)
+
+    def transform(self, df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+        return df.withColumn(out or col, self.column(col))
+
+
+def standard_fit_array(df: DataFrame, col: str) -> ArrayScaleModel:
+    """P6 for an array/vector column: mean and population std per element
+    from one ``Summarizer`` aggregate (vector buffers, no per-element
+    columns)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(F.col(col).cast("array<double>"))
+    row = df.select(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")).first()["s"]
+    n = int(row["count"])
+    mean = row["mean"].toArray()
+    var = row["variance"].toArray() * ((n - 1) / n if n > 0 else 0.0)
+    std = [float(x) ** 0.5 if x > 0 else 1.0 for x in var]
+    return ArrayScaleModel([float(m) for m in mean], std)
+
+
 def bin_labels(df: DataFrame, col: str, edges: Sequence[float], labels: Sequence[str] | None,
                out: str = "bin") -> DataFrame:
     """Right-closed interval labels (lowest edge included, outside -> NULL)."""

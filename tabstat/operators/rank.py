@@ -67,11 +67,11 @@ def broadcast_if_small(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[D
     Either way the side no longer shares lineage with the frame it is
     joined to, so a self-join never recomputes (and re-samples) it.
     """
-    n = small.count()
-    if n <= limit:
-        local = small.sparkSession.createDataFrame(small.collect(), small.schema)
-        return F.broadcast(local), n
-    return materialize(small, "checkpoint"), n
+    rows = small.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        local = small.sparkSession.createDataFrame(rows, small.schema)
+        return F.broadcast(local), len(rows)
+    return materialize(small, "checkpoint"), len(rows)
 
 
 def global_rank(df: DataFrame, order_cols, by=None, tiebreak=None,
