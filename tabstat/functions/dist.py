@@ -269,17 +269,37 @@ def _betacf(a: float, b: float, x: float) -> float:
     return h
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta I_x(a, b) (continued fraction)."""
+def _lgamma_ratio(big: float, small: float) -> float:
+    """ln Γ(big + small) - ln Γ(big) without cancellation for large ``big``."""
+    if big < 1e4:
+        return math.lgamma(big + small) - math.lgamma(big)
+    s = big + small
+    return ((big - 0.5) * math.log1p(small / big) + small * math.log(s) - small
+            + (1.0 / (12.0 * s) - 1.0 / (12.0 * big)) - (1.0 / (360.0 * s ** 3) - 1.0 / (360.0 * big ** 3)))
+
+
+def _log_beta(a: float, b: float) -> float:
+    """ln B(a, b) = ln Γ(a) + ln Γ(b) - ln Γ(a + b)."""
+    big, small = (a, b) if a >= b else (b, a)
+    return math.lgamma(small) - _lgamma_ratio(big, small)
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularized incomplete beta I_x(a, b) (continued fraction).
+
+    ``y`` = 1 - x computed by the caller without cancellation, if known.
+    """
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
+    lx = math.log1p(-y) if x > 0.5 else math.log(x)
+    ly = math.log1p(-x) if y > 0.5 else math.log(y)
+    lbt = -_log_beta(a, b) + a * lx + b * ly
     if x < (a + 1.0) / (a + b + 2.0):
         return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+    return 1.0 - math.exp(lbt) * _betacf(b, a, y) / b
 
 
 def t_sf(t: float, df: float) -> float:
@@ -289,7 +309,7 @@ def t_sf(t: float, df: float) -> float:
     if math.isinf(t):
         return 0.0 if t > 0 else 1.0
     x = df / (df + t * t)
-    tail = 0.5 * betainc(df / 2.0, 0.5, x)
+    tail = 0.5 * betainc(df / 2.0, 0.5, x, t * t / (df + t * t))
     return tail if t > 0 else 1.0 - tail
 
 
@@ -331,7 +351,7 @@ def f_sf(f: float, d1: float, d2: float) -> float:
         return 1.0
     if math.isinf(f):
         return 0.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def gammainc_upper(a: float, x: float) -> float:

@@ -87,15 +87,27 @@ def knn(reference: DataFrame, query: DataFrame | None, k: int, features: str | S
         if exclude_self:
             d2 = np.where(qid[:, None] == tid[None, :], np.inf, d2)
         m = min(kk, tv.shape[0])
+        # the expansion carries rounding noise: keep every candidate within an
+        # error band of the k-th value, then rank by exact distance and id
+        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+        tol = 1e-9 * ((qv * qv).sum(1) + (tv * tv).sum(1).max()) + 1e-300
         out_q, out_t, out_d = [], [], []
-        tid_b = np.broadcast_to(tid[None, :], d2.shape)
-        order = np.lexsort((tid_b, d2), axis=1)[:, :m]
-        rows = np.arange(d2.shape[0])[:, None]
-        dd = d2[rows, order]
-        keep = np.isfinite(dd)
-        out_q = np.broadcast_to(qid[:, None], dd.shape)[keep]
-        out_t = tid[order][keep]
-        out_d = dd[keep]
+        for i in range(d2.shape[0]):
+            if not np.isfinite(kth[i]):
+                idx = np.nonzero(np.isfinite(d2[i]))[0]
+            else:
+                idx = np.nonzero(d2[i] <= kth[i] + tol[i])[0]
+            if idx.size == 0:
+                continue
+            diff = tv[idx] - qv[i]
+            exact = np.sqrt((diff * diff).sum(1))  # rank on the distance itself
+            order = np.lexsort((tid[idx], exact))[:m]
+            out_q.append(np.full(order.size, qid[i]))
+            out_t.append(tid[idx][order])
+            out_d.append(exact[order])
+        if not out_q:
+            return pd.DataFrame({"_qid": [], "_tid": [], "_d2": []})
+        out_q, out_t, out_d = np.concatenate(out_q), np.concatenate(out_t), np.concatenate(out_d)
         return pd.DataFrame({"_qid": out_q, "_tid": out_t, "_d2": out_d})
 
     cand = qr.groupBy("_tb", "_qb").cogroup(tr.groupBy("_tb", "_qb")).applyInPandas(
@@ -103,7 +115,7 @@ def knn(reference: DataFrame, query: DataFrame | None, k: int, features: str | S
     w = Window.partitionBy("_qid").orderBy("_d2", "_tid")  # at most k·T rows per query
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("_qid").alias("qid"), F.col("_tid").alias("tid"), F.col("rank").cast("int").alias("rank"),
-                      F.sqrt("_d2").alias("distance"))
+                      F.col("_d2").alias("distance"))
 
 
 def knn_classify(reference: DataFrame, query: DataFrame | None, k: int, features, ref_id: str, label: str,
