@@ -151,37 +151,85 @@ def positive_shift(df: DataFrame, cols: Sequence[str], constants: dict | None =
 
 # --- C9 Box-Cox -------------------------------------------------------------
 
-def _llf_aggs(c: str, lams: Sequence[float]):
-    x = F.col(c).cast("double")
-    aggs = []
-    for i, lam in enumerate(lams):
-        y = F.log(x) if lam == 0 else F.pow(x, F.lit(float(lam)))
-        aggs.append(F.var_pop(y).alias(f"{c}__v{i}"))
-    return aggs
-
-
 def _llf(lam: float, n: int, sum_log: float, var_y: float) -> float:
     """Box-Cox profile log-likelihood; var_y is var_pop(x^λ) (or of ln x)."""
-    if var_y is None or var_y <= 0 or n == 0:
+    if var_y is None or not var_y > 0 or n == 0:
         return -math.inf
     v = var_y if lam == 0 else var_y / (lam * lam)
     return (lam - 1.0) * sum_log - n / 2.0 * math.log(v)
 
 
+def _power_moments(df: DataFrame, grids: dict) -> dict:
+    """var_pop(x^λ) (ln x at λ = 0) for every column and λ, one pass.
+
+    Each partition evaluates its whole λ grid with numpy and emits
+    (n, mean, M2) per (column, λ); the partials are merged per (column, λ)
+    with Chan's parallel update (numerically stable, no Σy² cancellation).
+    Output rows are columns × grid points × partitions, merged by Spark.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cols = list(grids)
+    sel = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    lam_arrays = [np.asarray(grids[c], dtype=float) for c in cols]
+
+    def part(batches):
+        acc = [[0, np.zeros(len(l)), np.zeros(len(l))] for l in lam_arrays]
+        for pdf in batches:
+            for i, lam in enumerate(lam_arrays):
+                x = pdf[f"c{i}"].to_numpy(dtype=float)
+                x = x[~np.isnan(x)]
+                if x.size == 0:
+                    continue
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    y = np.where(lam[None, :] == 0, np.log(x)[:, None], x[:, None] ** lam[None, :])
+                nb = x.size
+                mb = y.mean(axis=0)
+                m2b = ((y - mb) ** 2).sum(axis=0)
+                na, ma, m2a = acc[i]
+                tot = na + nb
+                delta = mb - ma
+                acc[i] = [tot, ma + delta * nb / tot, m2a + m2b + delta * delta * na * nb / tot]
+        rows = []
+        for i, (n, m, m2) in enumerate(acc):
+            if n:
+                rows.append(pd.DataFrame({"col": i, "g": np.arange(len(m)), "n": n, "mean": m, "m2": m2}))
+        if rows:
+            yield pd.concat(rows, ignore_index=True)
+
+    def merge(pdf):
+        n, m, m2 = 0, 0.0, 0.0
+        for nb, mb, m2b in zip(pdf["n"], pdf["mean"], pdf["m2"]):
+            tot = n + nb
+            delta = mb - m
+            m, m2, n = m + delta * nb / tot, m2 + m2b + delta * delta * n * nb / tot, tot
+        return pd.DataFrame({"col": [pdf["col"].iloc[0]], "g": [pdf["g"].iloc[0]], "var": [m2 / n if n else None]})
+
+    schema = "col int, g long, n long, mean double, m2 double"
+    parts = sel.mapInPandas(part, schema)
+    merged = parts.groupBy("col", "g").applyInPandas(merge, "col int, g long, var double").collect()
+    out = {c: [None] * len(grids[c]) for c in cols}
+    for r in merged:
+        out[cols[r["col"]]][r["g"]] = r["var"]
+    return out
+
+
 def boxcox_llf(df: DataFrame, col: str, lams: Sequence[float]) -> list[float]:
-    """Box-Cox log-likelihood of ``col`` at each λ (one aggregate)."""
-    row = df.agg(F.count(col).alias("n"), F.sum(F.log(F.col(col))).alias("sl"), *_llf_aggs(col, lams)).first()
-    return [_llf(lam, row["n"], row["sl"], row[f"{col}__v{i}"]) for i, lam in enumerate(lams)]
+    """Box-Cox log-likelihood of ``col`` at each λ (one pass)."""
+    row = df.agg(F.count(col).alias("n"), F.sum(F.log(F.col(col))).alias("sl")).first()
+    var = _power_moments(df, {col: list(lams)})[col]
+    return [_llf(lam, row["n"], row["sl"], v) for lam, v in zip(lams, var)]
 
 
 def boxcox_lambdas(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: float = 5.0,
-                   points: int = 41, rounds: int = 6) -> dict:
+                   points: int = 41, rounds: int = 4) -> dict:
     """Maximum-likelihood λ per column.
 
-    Every round evaluates a λ grid for all columns in one aggregate and
-    narrows the bracket around the best point (10× per round); a final
-    parabola through the best three points refines λ. The bracket widens
-    when the optimum sits on its edge.
+    Every round evaluates a λ grid for all columns in one vectorised pass
+    and narrows the bracket around the best point (10× per round); a final
+    parabola through the best three points refines λ. The bracket moves
+    outwards when the optimum sits on its edge.
     """
     cols = list(cols)
     first = df.agg(*[F.min(c).alias(f"{c}__min") for c in cols],
@@ -193,39 +241,36 @@ def boxcox_lambdas(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: flo
             raise ValueError(f"All values in {c} must be positive for Box-Cox transformation.")
     grids = {c: [lo + (hi - lo) * i / (points - 1) for i in range(points)] for c in cols}
     best = {}
-    for rnd in range(rounds + 4):
-        aggs = []
-        for c in cols:
-            aggs += _llf_aggs(c, grids[c])
-        row = df.agg(*aggs).first()
-        done = True
-        for c in cols:
+    narrowed = {c: 0 for c in cols}
+    for _ in range(rounds + 6):
+        active = [c for c in cols if narrowed[c] < rounds]
+        if not active:
+            break
+        var = _power_moments(df, {c: grids[c] for c in active})
+        for c in active:
             g = grids[c]
-            vals = [_llf(lam, first[f"{c}__n"], first[f"{c}__sl"], row[f"{c}__v{i}"]) for i, lam in enumerate(g)]
+            vals = [_llf(lam, first[f"{c}__n"], first[f"{c}__sl"], v) for lam, v in zip(g, var[c])]
             j = max(range(len(g)), key=lambda i: vals[i])
             step = g[1] - g[0]
             best[c] = (g[j], vals[j], g, vals, j)
-            if j in (0, len(g) - 1) and rnd < rounds + 3:
-                # optimum on the edge: shift the bracket outwards
+            if j in (0, len(g) - 1) and narrowed[c] == 0:
                 centre = g[j] + (-1 if j == 0 else 1) * step * (len(g) // 2)
                 grids[c] = [centre + step * (i - len(g) // 2) for i in range(len(g))]
-                done = False
-            elif rnd < rounds - 1:
+                continue
+            narrowed[c] += 1
+            if narrowed[c] < rounds:
                 new_step = step / 10.0
                 grids[c] = [g[j] + new_step * (i - 10) for i in range(21)]
-                done = False
-        if done:
-            break
     out = {}
     for c in cols:
         lam, _, g, vals, j = best[c]
         if 0 < j < len(g) - 1:
-            x0, x1, x2 = g[j - 1], g[j], g[j + 1]
+            x0, x1 = g[j - 1], g[j]
             y0, y1, y2 = vals[j - 1], vals[j], vals[j + 1]
             den = (y0 - 2 * y1 + y2)
             if den < 0 and all(math.isfinite(v) for v in (y0, y1, y2)):
                 lam = x1 + 0.5 * (x1 - x0) * (y0 - y2) / den
-        out[c] = lam
+        out[c] = float(lam)
     return out
 
 

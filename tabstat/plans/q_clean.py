@@ -137,3 +137,23 @@ def q_boxcox_mle(spark, sf):
     c = clean.positive_shift(T(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])
     lam = clean.boxcox_lambdas(c, ["c_acctbal"])
     return spark.createDataFrame([(k, float(v)) for k, v in lam.items()], "column string, lambda double")
+
+
+@query("csv_roundtrip", f"SELECT event_id, event_type, value FROM {EV_NULLS}")
+def q_csv_roundtrip(spark, sf):
+    """Write events as header CSV (NULLs as 'NA') into the shared
+    checkpoint folder, read them back with the NA-token reader and schema."""
+    import uuid
+
+    from pyspark.sql import types as T_
+
+    from tabstat.session import checkpoint_dir
+    from tabstat.sources.io import read_csv, write_csv
+
+    ev = events_with_nulls(spark, sf).select("event_id", "event_type", "value")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(ev.select("event_id", "event_type", F.coalesce(F.col("value").cast("string"), F.lit("NA")).alias("value")),
+              path)
+    schema = T_.StructType([T_.StructField("event_id", T_.LongType()), T_.StructField("event_type", T_.StringType()),
+                            T_.StructField("value", T_.DoubleType())])
+    return read_csv(spark, path, schema)
