@@ -120,3 +120,13 @@ def q_tree_importance(spark, sf):
     _, _, tr, _, dim = prepared(spark, sf)
     return spark.createDataFrame(md.tree_ensemble_importance(tr, [f"e{i}" for i in range(dim)], num_trees=20),
                                  "feature string, importance double")
+
+
+@query("pruned_tree")
+def q_pruned_tree(spark, sf):
+    """α path of one fully grown tree scored on train and held-out rows."""
+    from tabstat.operators.pruning import cost_complexity_prune
+
+    _, _, tr, te, _ = prepared(spark, sf)
+    path, _, _ = cost_complexity_prune(tr, te)
+    return path

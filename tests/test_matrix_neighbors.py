@@ -182,3 +182,24 @@ def test_split_exact_disjoint_and_partition_invariant(spark, parts):
     assert s_te.where("y = 1").count() == 20 and s_te.count() == 200
     folds = sm.stratified_folds(df, "k", "y", k=5).groupBy("fold", "y").count().collect()
     assert {(r["y"], r["count"]) for r in folds} == {(0, 180), (1, 20)}
+
+
+def test_cost_complexity_path_properties(spark):
+    from tabstat.operators import models as md
+    from tabstat.operators.pruning import cost_complexity_prune
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 3))
+    y = ((x[:, 0] + 0.5 * rng.normal(size=300)) > 0.3).astype(int)
+    pdf = pd.DataFrame({"id": range(300), "f0": x[:, 0], "f1": x[:, 1], "f2": x[:, 2], "label": y})
+    df = md.assemble(spark.createDataFrame(pdf), ["f0", "f1", "f2"], keep=["id", "label"])
+    tr, va = df.where("id % 3 <> 0"), df.where("id % 3 = 0")
+    path, best, model = cost_complexity_prune(tr, va)
+    p = path.toPandas()
+    assert (np.diff(p.alpha) >= 0).all() and (np.diff(p.n_leaves) < 0).all()
+    full = model.transform(va).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert p.valid_accuracy.iloc[0] == pytest.approx(full)
+    assert p.n_leaves.iloc[-1] == 1
+    ytr = pdf[pdf.id % 3 != 0].label
+    assert p.train_accuracy.iloc[-1] == pytest.approx(max(ytr.mean(), 1 - ytr.mean()))
+    assert best == p.alpha.iloc[int(p.valid_accuracy.to_numpy().argmax())]
