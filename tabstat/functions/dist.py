@@ -43,23 +43,35 @@ SQRT_2PI = 2.5066282746310002
 # --- a tiny expression algebra rendered to Spark Columns or SQL text -------
 
 class _E:
-    """Arithmetic expression that renders to a Column or to SQL."""
+    """Arithmetic expression that renders to a Column or to SQL.
+
+    The Column side is built lazily (and memoised), so SQL text can be
+    rendered without a running Spark session.
+    """
 
     def __init__(self, col, sql):
-        self.col, self.sql = col, sql
+        self._colf = col if callable(col) and not isinstance(col, Column) else (lambda c=col: c)
+        self._col = None
+        self.sql = sql
+
+    @property
+    def col(self) -> Column:
+        if self._col is None:
+            self._col = self._colf()
+        return self._col
 
     @staticmethod
     def wrap(x):
         if isinstance(x, _E):
             return x
-        lit = repr(float(x))
-        return _E(F.lit(float(x)), f"CAST({lit} AS DOUBLE)")
+        v = float(x)
+        return _E(lambda: F.lit(v), f"CAST({repr(v)} AS DOUBLE)")
 
     def _bin(self, other, op):
-        o = _E.wrap(other)
         import operator
+        o = _E.wrap(other)
         fn = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv}[op]
-        return _E(fn(self.col, o.col), f"({self.sql} {op} {o.sql})")
+        return _E(lambda: fn(self.col, o.col), f"({self.sql} {op} {o.sql})")
 
     def __add__(self, o):
         return self._bin(o, "+")
@@ -86,22 +98,30 @@ class _E:
         return _E.wrap(o)._bin(self, "/")
 
     def __neg__(self):
-        return _E(-self.col, f"(-{self.sql})")
+        return _E(lambda: -self.col, f"(-{self.sql})")
+
+
+def sql_leaf(sql: str) -> _E:
+    """A named input for SQL-only rendering."""
+    return _E(lambda: F.col(sql), sql)
 
 
 def _fn(name, x: _E) -> _E:
-    spark_fn = {"exp": F.exp, "abs": F.abs, "ln": F.log, "sqrt": F.sqrt, "sign": F.signum}[name]
-    return _E(spark_fn(x.col), f"{name}({x.sql})")
+    def build():
+        spark_fn = {"exp": F.exp, "abs": F.abs, "ln": F.log, "sqrt": F.sqrt, "sign": F.signum}[name]
+        return spark_fn(x.col)
+    return _E(build, f"{name}({x.sql})")
 
 
 def _pow(x: _E, y) -> _E:
     y = _E.wrap(y)
-    return _E(F.pow(x.col, y.col), f"pow({x.sql}, {y.sql})")
+    return _E(lambda: F.pow(x.col, y.col), f"pow({x.sql}, {y.sql})")
 
 
-def _when(cond_col, cond_sql, a: _E, b: _E) -> _E:
+def _when(cond, cond_sql, a: _E, b: _E) -> _E:
     a, b = _E.wrap(a), _E.wrap(b)
-    return _E(F.when(cond_col, a.col).otherwise(b.col), f"(CASE WHEN {cond_sql} THEN {a.sql} ELSE {b.sql} END)")
+    return _E(lambda: F.when(cond(), a.col).otherwise(b.col),
+              f"(CASE WHEN {cond_sql} THEN {a.sql} ELSE {b.sql} END)")
 
 
 def _poly(coefs, x: _E) -> _E:
@@ -112,10 +132,10 @@ def _poly(coefs, x: _E) -> _E:
 
 
 def _cmp(a: _E, op: str, b) -> tuple:
-    b = _E.wrap(b)
     import operator
+    b = _E.wrap(b)
     fn = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
-    return fn(a.col, b.col), f"({a.sql} {op} {b.sql})"
+    return (lambda: fn(a.col, b.col)), f"({a.sql} {op} {b.sql})"
 
 
 def _norm_cdf_e(x: _E) -> _E:
@@ -196,12 +216,12 @@ def with_norm_ppf(df, p_col: str, out: str):
 
 def norm_cdf_sql(expr_sql: str) -> str:
     """Same Φ as SQL text (for the DuckDB oracle)."""
-    return _norm_cdf_e(_E(F.lit(0.0), f"CAST({expr_sql} AS DOUBLE)")).sql
+    return _norm_cdf_e(sql_leaf(f"CAST({expr_sql} AS DOUBLE)")).sql
 
 
 def norm_ppf_sql(expr_sql: str) -> str:
     """Same Φ⁻¹ as SQL text (valid for 0 < p < 1)."""
-    return _norm_ppf_e(_E(F.lit(0.5), f"CAST({expr_sql} AS DOUBLE)")).sql
+    return _norm_ppf_e(sql_leaf(f"CAST({expr_sql} AS DOUBLE)")).sql
 
 
 # --- driver-side scalar functions ------------------------------------------

@@ -195,6 +195,16 @@ def filter_range(df: DataFrame, col: Column | str, lo, hi) -> DataFrame:
     return df.where(c.between(F.lit(lo), F.lit(hi)))
 
 
+def filter_years(df: DataFrame, col: str, first: int, last: int) -> DataFrame:
+    """P10: inclusive calendar-year range as a half-open range on the raw
+    column, so the predicate reaches the Parquet scan (``year(col)`` cannot
+    be pushed down)."""
+    t = dict(df.dtypes)[col]
+    lo = F.lit(f"{int(first):04d}-01-01").cast(t)
+    hi = F.lit(f"{int(last) + 1:04d}-01-01").cast(t)
+    return df.where((F.col(col) >= lo) & (F.col(col) < hi))
+
+
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """Unique values of one column."""
     return df.select(col).distinct()

@@ -100,6 +100,40 @@ def tree_ensemble_importance(train: DataFrame, names: Sequence[str], label: str
     return sorted(zip(names, map(float, imp)), key=lambda t: -t[1])
 
 
+def pre_pruned_tree_search(train: DataFrame, fold_col: str = "fold", label: str = "label",
+                           features: str = "features", max_depth=(3, 5, 8), min_instances=(1, 5),
+                           max_features=("all", "sqrt"), impurity=("gini", "entropy"),
+                           weights: Mapping[str, Mapping[int, float] | None] | None = None,
+                           parallelism: int = 4, seed: int = 5805):
+    """Grid over depth, min leaf size, max features, criterion and class
+    weights of a single tree (a one-tree forest without bootstrap exposes
+    max-features). Each weighting is its own weight column; returns
+    (best model, best params, best cv accuracy, all points)."""
+    weights = weights or {"none": None}
+    best = None
+    allp = []
+    for wname, wmap in weights.items():
+        data = train
+        wcol = None
+        if wmap is not None:
+            pairs = []
+            for k, v in wmap.items():
+                pairs += [F.lit(k), F.lit(float(v))]
+            wcol = f"w_{wname}"
+            data = train.withColumn(wcol, F.coalesce(F.create_map(*pairs)[F.col(label)], F.lit(1.0)))
+        est = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=1, bootstrap=False, seed=seed)
+        if wcol:
+            est.setWeightCol(wcol)
+        grid = {"maxDepth": list(max_depth), "minInstancesPerNode": list(min_instances),
+                "featureSubsetStrategy": list(max_features), "impurity": list(impurity)}
+        model, params, score, pts = grid_search(est, grid, data, fold_col, label, parallelism, seed=seed)
+        for p_, s_ in pts:
+            allp.append(({**p_, "weights": wname}, s_))
+        if best is None or score > best[2]:
+            best = (model, {**params, "weights": wname}, score)
+    return best[0], best[1], best[2], allp
+
+
 def random_forest(train: DataFrame, label: str = "label", features: str = "features", num_trees: int = 100,
                   max_depth: int = 12, min_instances: int = 1, weight_col: str | None = None,
                   seed: int = 5805, **kw) -> Model:

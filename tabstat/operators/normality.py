@@ -30,6 +30,7 @@ from tabstat.functions.dist import (
     norm_cdf,
     norm_ppf,
     phi_sf,
+    sql_leaf,
 )
 from tabstat.operators.order_stats import melt_values
 from tabstat.operators.rank import global_rank
@@ -226,7 +227,7 @@ def dagostino_k2(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
 def dagostino_sql(n_sql: str = "n", b1_sql: str = "b1", b2_sql: str = "b2"):
     """SQL text of (z_skew, z_kurt, k2) over columns n, b1, b2."""
-    zs, zk, k2 = _k2_exprs(_E(F.lit(0.0), n_sql), _E(F.lit(0.0), b1_sql), _E(F.lit(0.0), b2_sql))
+    zs, zk, k2 = _k2_exprs(sql_leaf(n_sql), sql_leaf(b1_sql), sql_leaf(b2_sql))
     return zs.sql, zk.sql, k2.sql
 
 

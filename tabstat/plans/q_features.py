@@ -128,7 +128,7 @@ WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderstatus = 'F'
 """)
 def q_filter_range(spark, sf):
     o = fe.filter_eq(T(spark, sf, "orders"), "o_orderstatus", "F")
-    return fe.filter_range(o, F.year("o_orderdate"), 1996, 1998).select("o_orderkey", "o_totalprice")
+    return fe.filter_years(o, "o_orderdate", 1996, 1998).select("o_orderkey", "o_totalprice")
 
 
 @query("distinct_values", "SELECT DISTINCT o_orderpriority FROM orders")

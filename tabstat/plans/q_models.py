@@ -11,6 +11,7 @@ from tabstat.operators import models as md
 from tabstat.operators import sample as sm
 from tabstat.plans.classification import compare_models_query, prepared
 from tabstat.plans.registry import query
+from tabstat.session import materialize
 
 
 def _metrics(pred, name):
@@ -59,6 +60,7 @@ def q_svm(spark, sf):
     for kind in ("linear", "rbf"):
         km = md.kernel_map(kind, dim, gamma="scale", n_components=64)
         ktr, kte = km.transform(tr), km.transform(te)
+        ktr = materialize(ktr, "persist")  # the optimiser scans it every iteration
         m = md.svm(ktr, features="kfeatures", C=1.0)
         pred = m.transform(kte).withColumn("pred", F.col("prediction").cast("int"))
         r = ev.classification_metrics(pred, "label", "pred", model=f"svm_{kind}")
@@ -130,3 +132,15 @@ def q_pruned_tree(spark, sf):
     _, _, tr, te, _ = prepared(spark, sf)
     path, _, _ = cost_complexity_prune(tr, te)
     return path
+
+
+@query("pre_pruned_tree")
+def q_pre_pruned_tree(spark, sf):
+    """Small grid of tree pre-pruning settings with two weightings."""
+    _, _, tr, _, _ = prepared(spark, sf)
+    folded = sm.stratified_folds(tr, "vec_id", "label", k=5).cache()
+    _, best, _, allp = md.pre_pruned_tree_search(folded, max_depth=(3, 6), min_instances=(5,),
+                                                 max_features=("all", "sqrt"), impurity=("gini",),
+                                                 weights={"none": None, "3:7": {0: 3.0, 1: 7.0}})
+    return spark.createDataFrame([(str(p), float(s), p == best) for p, s in allp],
+                                 "params string, cv_accuracy double, best boolean")

@@ -45,7 +45,8 @@ SELECT l_linestatus, {r6("avg(l_quantity)")} AS mean_l_quantity, {r6("avg(l_disc
 FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1998 GROUP BY 1
 """)
 def q_group_multi_agg(spark, sf):
-    li = T(spark, sf, "lineitem").where(F.year("l_shipdate").between(1996, 1998))
+    from tabstat.operators.features import filter_years
+    li = filter_years(T(spark, sf, "lineitem"), "l_shipdate", 1996, 1998)
     return rounded(pr.group_mean(li, ["l_linestatus"], ["l_quantity", "l_discount", "l_tax"]))
 
 
