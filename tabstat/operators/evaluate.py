@@ -139,11 +139,12 @@ def apply_threshold(df: DataFrame, score: str, t: float, out: str = "pred") -> D
     return df.withColumn(out, (F.col(score) > F.lit(float(t))).cast("int"))
 
 
-def compare_models(scored: Mapping[str, DataFrame], label: str, pred: str = "pred") -> DataFrame:
+def compare_models(scored: Mapping[str, DataFrame], label: str, pred: str = "pred",
+                   decimals: int | None = 2) -> DataFrame:
     """One metrics row per model (union of E2)."""
     out = None
     for name, d in scored.items():
-        m = classification_metrics(d, label, pred, model=name)
+        m = classification_metrics(d, label, pred, model=name, decimals=decimals)
         out = m if out is None else out.unionByName(m)
     return out
 

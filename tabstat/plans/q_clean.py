@@ -67,15 +67,15 @@ def _iqr_sql(cols, table):
     parts = []
     for c in cols:
         parts.append(
-            f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.25), 2) AS q1, "
-            f"round(quantile_cont({c}, 0.75), 2) AS q3, "
-            f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 2) AS iqr FROM {table}")
+            f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.25), 6) AS q1, "
+            f"round(quantile_cont({c}, 0.75), 6) AS q3, "
+            f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr FROM {table}")
     return "\nUNION ALL ".join(parts)
 
 
 @query("iqr_table", _iqr_sql(LINE_NUM, "lineitem"))
 def q_iqr_table(spark, sf):
-    return clean.iqr_table(T(spark, sf, "lineitem"), LINE_NUM)
+    return clean.iqr_table(T(spark, sf, "lineitem"), LINE_NUM, decimals=6)
 
 
 _OUT_COLS = ["value", "user_id"]

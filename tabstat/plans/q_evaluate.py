@@ -37,11 +37,11 @@ def q_confusion(spark, sf):
 def _metrics_sql(t: float, name: str) -> str:
     return f"""
 SELECT '{name}' AS model,
-  round(CASE WHEN tp + tn + fp + fn = 0 THEN 0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 2) AS accuracy,
-  round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 2) AS precision,
-  round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 2) AS recall,
-  round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 2) AS f1,
-  round(CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END, 2) AS specificity,
+  round(CASE WHEN tp + tn + fp + fn = 0 THEN 0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 6) AS accuracy,
+  round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1,
+  round(CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END, 6) AS specificity,
   CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp
 FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS pr,
              CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS rc
@@ -55,14 +55,14 @@ FROM (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS pr,
 @query("metrics", _metrics_sql(100.0, "value>100"))
 def q_metrics(spark, sf):
     d = ev.apply_threshold(_scored(spark, sf), "score", 100.0)
-    return ev.classification_metrics(d, "label", "pred", model="value>100")
+    return rounded(ev.classification_metrics(d, "label", "pred", model="value>100", decimals=None))
 
 
 @query("compare_models", "\nUNION ALL ".join(_metrics_sql(t, f"value>{int(t)}") for t in (50.0, 100.0, 200.0)))
 def q_compare_models(spark, sf):
     base = _scored(spark, sf)
-    return ev.compare_models({f"value>{int(t)}": ev.apply_threshold(base, "score", t) for t in (50.0, 100.0, 200.0)},
-                             "label")
+    return rounded(ev.compare_models({f"value>{int(t)}": ev.apply_threshold(base, "score", t)
+                                      for t in (50.0, 100.0, 200.0)}, "label", decimals=None))
 
 
 def _roc_sql(score: str, model: str | None = None) -> str:

@@ -102,15 +102,15 @@ def _describe_sql(cols):
     for c in cols:
         mode = (f"(SELECT {c} FROM lineitem GROUP BY {c} ORDER BY count(*) DESC, {c} ASC LIMIT 1)")
         parts.append(
-            f"SELECT '{c}' AS \"column\", round(avg({c}), 2) AS mean, round(quantile_cont({c}, 0.5), 2) AS median, "
-            f"round(CAST({mode} AS DOUBLE), 2) AS mode, round(stddev_samp({c}), 2) AS stddev, "
+            f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median, "
+            f"round(CAST({mode} AS DOUBLE), 6) AS mode, round(stddev_samp({c}), 6) AS stddev, "
             f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem")
     return "\nUNION ALL ".join(parts)
 
 
 @query("describe_table", _describe_sql(LINE_NUM))
 def q_describe_table(spark, sf):
-    return pr.describe_table(T(spark, sf, "lineitem"), LINE_NUM)
+    return pr.describe_table(T(spark, sf, "lineitem"), LINE_NUM, decimals=6)
 
 
 def _pair_sql(fn, name, cols, diagonal_value=None):
