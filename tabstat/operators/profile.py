@@ -23,6 +23,19 @@ _AGGS = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max,
          "count": F.count, "std": F.stddev_samp, "var": F.var_samp}
 
 
+def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach per-group statistics: an equi-join on the group keys against
+    the size-checked, broadcast side table; without group keys the single
+    statistics row is inlined as literals (no join)."""
+    if by:
+        small, _ = broadcast_if_small(stats)
+        return df.join(small, on=list(by), how="inner")
+    row = stats.first()
+    if row is None:
+        return df.where(F.lit(False)).select("*", *[F.lit(None).alias(c) for c in stats.columns])
+    return df.select("*", *[F.lit(row[c]).alias(c) for c in stats.columns])
+
+
 def group_agg(df: DataFrame, keys: Sequence[str], spec: Mapping[str, tuple[str, str]]) -> DataFrame:
     """A1-A3: ``spec`` maps output name -> (column, aggregate name)."""
     return df.groupBy(*keys).agg(*[_AGGS[a](c).alias(name) for name, (c, a) in spec.items()])
@@ -224,8 +237,7 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
         fac = F.lit(float(bw))
     stats = stats.withColumn("_h", fac * F.col("_s")).where(F.col("_h") > 0)
     collapsed = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    small, _ = broadcast_if_small(stats)
-    joined = collapsed.join(small, on=by, how="inner") if by else collapsed.crossJoin(small)
+    joined = _attach(collapsed, stats, by)
     gx = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / F.lit(float(grid))
     z = (gx - F.col("_v")) / F.col("_h")
     contrib = F.col("_c") * F.exp(-0.5 * z * z)
@@ -263,8 +275,7 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
     stats = stats.select(*by, "_n", "_xl", "_xh", "_yl", "_yh", (c / det).alias("_ia"), (-b / det).alias("_ib"),
                          (a / det).alias("_ic"), det.alias("_det")).where(F.col("_det") > 0)
     collapsed = data.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    small, _ = broadcast_if_small(stats)
-    joined = collapsed.join(small, on=by, how="inner") if by else collapsed.crossJoin(small)
+    joined = _attach(collapsed, stats, by)
     cell = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("_k")
     ex = joined.select("*", cell)
     ix, iy = (F.col("_k") / grid).cast("int"), F.pmod(F.col("_k"), F.lit(grid))
@@ -291,10 +302,8 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5, m
     q = quantile_wide(df, [col], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by, method=method).drop("column")
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*by, "q1", "median", "q3", (F.col("q1") - k * iqr).alias("_lf"), (F.col("q3") + k * iqr).alias("_uf"))
-    small, _ = broadcast_if_small(q)
     x = F.col(col).cast("double")
-    joined = df.where(x.isNotNull()).select(*by, x.alias("_x")).join(small, on=by, how="inner") if by else \
-        df.where(x.isNotNull()).select(x.alias("_x")).crossJoin(small)
+    joined = _attach(df.where(x.isNotNull()).select(*by, x.alias("_x")), q, by)
     inside = (F.col("_x") >= F.col("_lf")) & (F.col("_x") <= F.col("_uf"))
     return joined.groupBy(*by).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),

@@ -46,8 +46,9 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 5805):
 
 def _model_row(pred: DataFrame, name: str) -> DataFrame:
     metrics = ev.classification_metrics(pred, "label", "pred", model=name)
-    auc = ev.roc_auc_frame(pred, "label", "score").select(F.round("auc", 4).alias("auc"))
-    return metrics.crossJoin(auc)  # 1 row x 1 row
+    auc = ev.roc_auc_frame(pred, "label", "score").select(F.lit(name).alias("model"),
+                                                          F.round("auc", 4).alias("auc"))
+    return metrics.join(auc, "model")  # one row each
 
 
 def scored_models(spark: SparkSession, sf_dir: str, seed: int = 5805) -> dict[str, DataFrame]:
