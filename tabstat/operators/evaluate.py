@@ -34,7 +34,7 @@ def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending
     n_parts = num_partitions or _num_partitions(df)
     tagged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
               .withColumn("_ts_pid", F.spark_partition_id()))
-    tagged = materialize(tagged, "persist")
+    tagged = materialize(tagged, "checkpoint")  # placement becomes stored data
     totals = tagged.groupBy("_ts_pid").agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in vals]).collect()
     totals = sorted(totals, key=lambda r: r["_ts_pid"])
     offsets, running = {}, np.zeros(len(vals))
@@ -46,16 +46,23 @@ def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending
     schema = T.StructType(out_fields + [T.StructField("_ts_pid", T.IntegerType())])
 
     def scan(batches):
-        carry = None
+        # running sums per stored partition id; rows of one id arrive in order
+        carry = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            if carry is None:
-                carry = offsets.get(int(pdf["_ts_pid"].iloc[0]), np.zeros(len(vals)))
-            cs = pdf[vals].astype("float64").fillna(0.0).to_numpy().cumsum(axis=0) + carry
-            carry = cs[-1]
+            x = pdf[vals].astype("float64").fillna(0.0).to_numpy()
+            pid = pdf["_ts_pid"].to_numpy()
+            out = np.empty_like(x)
+            starts = np.r_[0, np.nonzero(pid[1:] != pid[:-1])[0] + 1, len(pid)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                key = int(pid[a])
+                base = carry.get(key, offsets.get(key, np.zeros(len(vals))))
+                seg = x[a:b].cumsum(axis=0) + base
+                out[a:b] = seg
+                carry[key] = seg[-1]
             for j, v in enumerate(vals):
-                pdf[f"{v}{suffix}"] = cs[:, j]
+                pdf[f"{v}{suffix}"] = out[:, j]
             yield pdf
 
     out = tagged.mapInPandas(scan, schema)

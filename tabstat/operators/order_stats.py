@@ -7,6 +7,14 @@ Quantiles use linear interpolation at h = (n-1)p (numpy's default, DuckDB's
   aggregation; its buffer is a value -> count map, so it is chosen only when
   every (group, column) has at most ``HASH_DISTINCT_LIMIT`` distinct values
   (checked with ``approx_count_distinct`` in a first pass);
+* ``bracket`` (high cardinality): a ``percentile_approx`` pass brackets each
+  target rank between the sketch values at p ± 2/A (A = accuracy, whose
+  rank error bound is n/A); a second pass counts the rows below each
+  bracket and keeps only the rows inside it, collapsed to (value, count) so
+  a heavy value is one row; an exact prefix sum over those few distinct
+  values locates the order statistics. Nothing but the bracket contents is
+  sorted. If a bracket misses its target (it cannot under the sketch's
+  guarantee) the ``rank`` plan is used instead;
 * ``rank``: all columns melted into one long frame, ranked once by
   :func:`global_rank` (one range shuffle), and only the two rows around each
   quantile position are kept.
@@ -45,7 +53,7 @@ def _choose_method(df: DataFrame, cols, by) -> str:
         stats = df.agg(*aggs)
     row = stats.first()
     worst = max((row[f"d{i}"] or 0) for i in range(len(cols))) if row else 0
-    return "hash" if worst <= HASH_DISTINCT_LIMIT else "rank"
+    return "hash" if worst <= HASH_DISTINCT_LIMIT else "bracket"
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by=None,
@@ -67,6 +75,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by=Non
         return (long.select(*by, "column", F.arrays_zip(prob_arr.alias("prob"), F.col("_q").alias("value")).alias("_z"))
                 .select(*by, "column", F.explode("_z").alias("_z"))
                 .select(*by, "column", F.col("_z.prob").alias("prob"), F.col("_z.value").alias("value")))
+    if method == "bracket":
+        out = _bracket_quantiles(df, cols, probs, by, accuracy)
+        if out is not None:
+            return out
+        method = "rank"
     if method != "rank":
         raise ValueError(f"unknown quantile method {method!r}")
     long = melt_values(df, cols, by)
@@ -88,6 +101,61 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by=Non
     return out.select(*keys, "prob", val.alias("value"))
 
 
+def _bracket_quantiles(df: DataFrame, cols, probs, by, accuracy: int):
+    """Exact quantiles from sketch brackets (see module docstring).
+
+    Returns None when a bracket does not contain its target ranks.
+    """
+    from tabstat.operators.evaluate import prefix_sums
+    from tabstat.operators.rank import broadcast_if_small
+
+    keys = [*by, "column"]
+    long = melt_values(df, cols, by)
+    eps = 2.0 / accuracy
+    lo_p = [max(0.0, p - eps) for p in probs]
+    hi_p = [min(1.0, p + eps) for p in probs]
+    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                     F.percentile_approx("value", lo_p + hi_p, accuracy).alias("_b"))
+    k = len(probs)
+    br = sketch.select(*keys, "_n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_j", "prob"),
+                       "_b")
+    br = br.select(*keys, "_n", "prob", F.element_at("_b", F.col("_j") + 1).alias("_lo"),
+                   F.element_at("_b", F.col("_j") + 1 + k).alias("_hi"))
+    h = (F.col("_n") - 1) * F.col("prob")
+    br = br.withColumns({"_r1": F.floor(h) + 1, "_f": h - F.floor(h)})
+    small, _ = broadcast_if_small(br)
+    joined = long.join(small, on=keys, how="inner")
+    below = joined.groupBy(*keys, "prob").agg(
+        F.sum(F.when(F.col("value") < F.col("_lo"), 1).otherwise(0)).alias("_below"))
+    inside = (joined.where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
+              .groupBy(*keys, "prob", "value").agg(F.count(F.lit(1)).alias("_c")))
+    # running count of the distinct bracket values, in (keys, prob, value) order
+    cum = prefix_sums(inside.withColumn("_grp", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys],
+                                                             F.col("prob").cast("string"))),
+                      ["_grp", "value"], ["_c"])
+    grp_start = cum.groupBy("_grp").agg(F.min(F.col("_c_cum") - F.col("_c")).alias("_g0"))
+    cum = cum.join(grp_start, "_grp").withColumn("_cum", F.col("_c_cum") - F.col("_g0"))
+    info = small.join(below, on=[*keys, "prob"], how="left")
+    pos = cum.join(info.select(*keys, "prob", "_r1", "_f", "_n", "_below"), on=[*keys, "prob"])
+    t1 = F.col("_r1") - F.col("_below")           # rank inside the bracket (1-based)
+    t2 = F.least(F.col("_r1") + 1, F.col("_n")) - F.col("_below")
+    picked = pos.groupBy(*keys, "prob").agg(
+        F.min(F.when(F.col("_cum") >= t1, F.col("value"))).alias("_v1"),
+        F.min(F.when(F.col("_cum") >= t2, F.col("value"))).alias("_v2"),
+        F.max("_cum").alias("_inside"), F.first("_below").alias("_below"), F.first("_r1").alias("_r1"),
+        F.first("_n").alias("_n"), F.first("_f").alias("_f"))
+    rows = picked.collect()
+    if len(rows) != br.count() or any(
+            r["_v1"] is None or r["_v2"] is None or r["_below"] >= r["_r1"]
+            or r["_below"] + r["_inside"] < min(r["_r1"] + 1, r["_n"]) for r in rows):
+        return None
+    out = [(*[r[c] for c in keys], float(r["prob"]),
+            float(r["_v1"] + r["_f"] * (r["_v2"] - r["_v1"])) if r["_f"] else float(r["_v1"])) for r in rows]
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["column string", "prob double", "value double"])
+    return df.sparkSession.createDataFrame(out, schema)
+
+
 def quantile_wide(df: DataFrame, cols: Sequence[str], probs: dict[str, float], by=None,
                   method: str = "auto") -> DataFrame:
     """One row per (by..., column) with a column per named probability."""

@@ -8,8 +8,10 @@ Q-Q points, KS, Shapiro-Wilk, ROC). It never uses an unpartitioned window:
    table;
 2. sort inside each partition and tag every row with its partition id and
    position (``monotonically_increasing_id`` minus the partition prefix);
-3. pin that placement (persist or checkpoint) so the counting job and the
-   numbering job see the same partitions;
+3. pin that placement with a reliable checkpoint: partition ids and
+   positions become stored columns, so the counting job, the numbering job
+   and any later re-execution (executor loss, a self-join that misses the
+   cache) all see the same numbers;
 4. count rows per (partition, group) - at most P + G rows - and turn the
    counts into offsets with a window over that small table;
 5. join the offsets back (broadcast only after the row count was checked).
@@ -78,7 +80,7 @@ def global_rank(df: DataFrame, order_cols, by=None, tiebreak=None,
                 descending: bool = False, rank_col: str = "rank",
                 group_size_col: str | None = None,
                 num_partitions: int | None = None,
-                pin: str = "persist") -> DataFrame:
+                pin: str = "checkpoint") -> DataFrame:
     """L3: 1-based row number of each row in a total order, per ``by`` group.
 
     ``order_cols`` are sorted ascending (or all descending), then

@@ -26,14 +26,14 @@ def test_even_median_interpolated(spark, method):
     assert clean.impute_median(df, ["x"], method=method).agg(F.sum("x")).first()[0] == 18.5
 
 
-@pytest.mark.parametrize("method", ["hash", "rank"])
+@pytest.mark.parametrize("method", ["hash", "rank", "bracket"])
 def test_quantiles_match_numpy_with_groups(spark, method):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 400), "x": np.round(rng.gamma(2.0, 3.0, 400), 1),
                         "y": rng.normal(size=400)})
     df = spark.createDataFrame(pdf).repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = quantiles(df, ["x", "y"], probs, by=["g"], method=method).collect()
+    got = quantiles(df, ["x", "y"], probs, by=["g"], method=method, accuracy=20).collect()
     for r in got:
         ref = np.percentile(pdf.loc[pdf.g == r["g"], r["column"]], r["prob"] * 100)
         assert r["value"] == pytest.approx(ref, rel=1e-12, abs=1e-12)
