@@ -173,14 +173,6 @@ def _halley_e(x: _E, p: _E) -> _E:
     return x - u / (1.0 + x * u / 2.0)
 
 
-def _leaf(col: Column | str, sql: str | None = None) -> _E:
-    c = F.col(col) if isinstance(col, str) else col
-    s = sql if sql is not None else (col if isinstance(col, str) else None)
-    if s is None:
-        raise ValueError("SQL rendering needs the column's SQL text")
-    return _E(c, f"CAST({s} AS DOUBLE)")
-
-
 def norm_cdf(col: Column | str) -> Column:
     """Standard normal cdf Φ(x) as a native Column expression."""
     c = F.col(col) if isinstance(col, str) else col

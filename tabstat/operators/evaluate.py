@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,6 +163,3 @@ def compare_roc(scored: Mapping[str, DataFrame], label: str, score: str = "score
         out = c if out is None else out.unionByName(c)
     return out
 
-
-__all__ = ["prefix_sums", "confusion_matrix", "classification_metrics", "score_counts", "roc_curve",
-           "roc_auc", "roc_auc_frame", "apply_threshold", "compare_models", "compare_roc", "pd"]

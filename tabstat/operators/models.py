@@ -42,7 +42,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -268,11 +268,9 @@ def grid_search(estimator: Estimator, grid: Mapping[str, Sequence], train: DataF
         rng = np.random.default_rng(seed)
         idx = sorted(rng.choice(len(points), size=max_points, replace=False))
         points = [points[i] for i in idx]
-    builder = ParamGridBuilder()
     maps = []
     for p in points:
         maps.append({estimator.getParam(k): v for k, v in p.items()})
-    _ = builder
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     k = int(train.agg(F.max(fold_col)).first()[0]) + 1
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,

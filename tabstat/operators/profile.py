@@ -349,9 +349,3 @@ def with_weight_column(df: DataFrame, label: str, weights: Mapping | str = "bala
         pairs += [F.lit(kk), F.lit(float(v))]
     return df.withColumn(out, F.coalesce(F.create_map(*pairs)[F.col(label)], F.lit(1.0)))
 
-
-def as_column(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["_as_list"]

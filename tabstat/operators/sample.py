@@ -8,7 +8,6 @@ for the stratified variants.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -110,5 +109,3 @@ def sample_fraction_exact(df: DataFrame, key: str, n: int, seed: int = 5805) ->
     ranked = global_rank(df.withColumn("_ts_h", _hash(key, seed)), ["_ts_h"], tiebreak=[key], rank_col="_ts_r")
     return ranked.where(F.col("_ts_r") <= n).drop("_ts_h", "_ts_r")
 
-
-_ = math

@@ -3,7 +3,6 @@ lineitem (price ~ quantity [+ discount])."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tabstat.operators import matrix as mx
@@ -250,5 +249,3 @@ def q_compare_regressions(spark, sf):
     rows = rg.compare_regressions({"full": full, "backward": back or full}, test)
     return spark.createDataFrame(rows, "model string, r2 double, adj_r2 double, aic double, bic double, mse double")
 
-
-_ = np  # numpy used by callers of the matrix results

@@ -157,3 +157,21 @@ def test_box_stats_whiskers(spark):
     q1, q3 = np.percentile(vals, 25), np.percentile(vals, 75)
     assert (r["q1"], r["q3"]) == (q1, q3)
     assert r["whisker_hi"] == 9.0 and r["whisker_lo"] == 1.0 and r["n_outliers"] == 1
+
+
+def test_read_csv_na_tokens_and_schema(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tabstat.sources.io import read_csv, select_numeric
+
+    p = tmp_path / "w.csv"
+    p.write_text("Date,Location,Rainfall,RainToday\n2010-01-01,A,1.5,No\n2010-01-02,B,NA,Yes\n"
+                 "2010-01-03,,nan,NA\n2010-01-04,C,#N/A,null\n")
+    schema = T.StructType([T.StructField("Date", T.DateType()), T.StructField("Location", T.StringType()),
+                           T.StructField("Rainfall", T.DoubleType()), T.StructField("RainToday", T.StringType())])
+    rows = read_csv(spark, str(p), schema).orderBy("Date").collect()
+    assert [r["Rainfall"] for r in rows] == [1.5, None, None, None]
+    assert [r["Location"] for r in rows] == ["A", "B", None, "C"]
+    assert [r["RainToday"] for r in rows] == ["No", "Yes", None, None]
+    df = read_csv(spark, str(p), schema)
+    assert select_numeric(df).columns == ["Rainfall"]
