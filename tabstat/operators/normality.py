@@ -57,6 +57,15 @@ def _ranked(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     return global_rank(long, ["value"], by=[*by, "column"], rank_col="i", group_size_col="n")
 
 
+def _staged(r: DataFrame, ppf: bool = True) -> DataFrame:
+    """Project Φ(value) and the Shapiro-Wilk score Φ⁻¹((i - 3/8)/(n + 1/4))
+    as plain columns before aggregating (one evaluation per row)."""
+    r = r.withColumn("_cdf", norm_cdf("value"))
+    if ppf:
+        r = r.withColumn("_p", (F.col("i") - 0.375) / (F.col("n") + 0.25)).withColumn("_m", norm_ppf("_p"))
+    return r
+
+
 def qq_points(df: DataFrame, col: str, by: Sequence[str] = (), plotting: str = "(i-0.5)/n") -> DataFrame:
     """(by..., i, sample, theoretical) with theoretical = Φ⁻¹(position).
 
@@ -89,8 +98,8 @@ def ks_statistic(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), sta
     if standardize:
         m = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_samp(c).alias(f"{c}__s") for c in cols]).first()
         src = df.withColumns({c: (F.col(c) - m[f"{c}__m"]) / m[f"{c}__s"] for c in cols})
-    r = _ranked(src, cols, by)
-    cdf = norm_cdf("value")
+    r = _staged(_ranked(src, cols, by), ppf=False)
+    cdf = F.col("_cdf")
     d = F.greatest(F.col("i") / F.col("n") - cdf, cdf - (F.col("i") - 1) / F.col("n"))
     return r.groupBy(*by, "column").agg(F.first("n").cast("long").alias("n"), F.max(d).alias("statistic"))
 
@@ -114,9 +123,9 @@ def _report(df: DataFrame, rows, by):
 def shapiro_sums(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Per (group, column) sums that determine W: n, Σm², Σ_mid m·x, extremes, SST."""
     by = list(by)
-    r = _ranked(df, cols, by)
+    r = _staged(_ranked(df, cols, by))
     i, n = F.col("i"), F.col("n")
-    m = norm_ppf((i - 0.375) / (n + 0.25))
+    m = F.col("_m")
     x = F.col("value")
     mid = F.when(n > 5, (i >= 3) & (i <= n - 2)).otherwise((i >= 2) & (i <= n - 1))
     return r.groupBy(*by, "column").agg(
@@ -238,17 +247,54 @@ def dagostino_test(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -
     return _report(df, rows, by)
 
 
+def normality_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """KS D, Shapiro-Wilk sums and D'Agostino K² for every (group, column)
+    from ONE ranked frame and ONE aggregate."""
+    by = list(by)
+    r = _ranked(df, cols, by)
+    i, n, x = F.col("i"), F.col("n"), F.col("value")
+    # stage Φ and Φ⁻¹ as columns: each is evaluated once per row and the
+    # aggregate stays small enough for whole-stage codegen and the JIT
+    r = _staged(r)
+    cdf, m = F.col("_cdf"), F.col("_m")
+    d = F.greatest(i / n - cdf, cdf - (i - 1) / n)
+    mid = F.when(n > 5, (i >= 3) & (i <= n - 2)).otherwise((i >= 2) & (i <= n - 1))
+    agg = r.groupBy(*by, "column").agg(
+        F.first("n").cast("long").alias("n"), F.max(d).alias("ks_d"),
+        F.sum(m * m).alias("summ2"), F.sum(F.when(mid, m * x).otherwise(0.0)).alias("smx_mid"),
+        F.max(F.when(i == 1, x)).alias("x1"), F.max(F.when(i == 2, x)).alias("x2"),
+        F.max(F.when(i == n - 1, x)).alias("xn1"), F.max(F.when(i == n, x)).alias("xn"),
+        F.max(F.when(i == n, m)).alias("mn"), F.max(F.when(i == n - 1, m)).alias("mn1"),
+        (F.var_pop(x) * F.count(x)).alias("sst"),
+        F.skewness(x).alias("b1"), (F.kurtosis(x) + 3.0).alias("b2"))
+    zs, zk, k2 = _k2_exprs(_E(F.col("n").cast("double"), "n"), _E(F.col("b1"), "b1"), _E(F.col("b2"), "b2"))
+    return agg.withColumn("k2", k2.col)
+
+
 def normality_report(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
                      transform: DataFrame | None = None) -> DataFrame:
     """The three tests on the raw columns and, if given, on a transformed
-    frame (e.g. Box-Cox output); long table with a ``transformed`` flag."""
-    parts = []
+    frame (e.g. Box-Cox output); long table with a ``transformed`` flag.
+
+    Each frame is ranked once and reduced by one aggregate
+    (:func:`normality_stats`); p-values are scalar functions of the result.
+    """
+    by = list(by)
+    rows = []
     for flag, frame in ((False, df), (True, transform)):
         if frame is None:
             continue
-        for t in (ks_test(frame, cols, by), shapiro_test(frame, cols, by), dagostino_test(frame, cols, by)):
-            parts.append(t.withColumn("transformed", F.lit(flag)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for r in normality_stats(frame, cols, by).collect():
+            key = [r[b] for b in by]
+            w, p_sw = shapiro_w(r)
+            rows.append((*key, r["column"], "K-S Test", float(r["ks_d"]),
+                         kolmogorov_sf(float(r["ks_d"]), int(r["n"])), flag))
+            rows.append((*key, r["column"], "Shapiro Test", w, p_sw, flag))
+            k2 = r["k2"]
+            rows.append((*key, r["column"], "da_k_squared Test", k2, chi2_sf(k2, 2) if k2 is not None else None,
+                         flag))
+    types = dict(df.dtypes)
+    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["column string", "test string", "statistic double",
+                                                            "p_value double", "transformed boolean"])
+    out = df.sparkSession.createDataFrame(rows, schema)
+    return out.withColumn("interpretation", F.when(F.col("p_value") > ALPHA, "Normal").otherwise("Not Normal"))

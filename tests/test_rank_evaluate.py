@@ -129,3 +129,15 @@ def test_qq_points_positions(spark):
     assert pts[0]["theoretical"] == pytest.approx(dist.phi_inv(0.125), abs=1e-8)
     last = nm.qq_points(df, "x", plotting="i/n").orderBy("i").collect()[-1]
     assert last["theoretical"] is None
+
+
+def test_normality_report_matches_individual_tests(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=300), "b": rng.gamma(2.0, size=300)}))
+    rep = {(r["column"], r["test"]): r for r in nm.normality_report(df, ["a", "b"]).collect()}
+    for t in (nm.ks_test(df, ["a", "b"]), nm.shapiro_test(df, ["a", "b"]), nm.dagostino_test(df, ["a", "b"])):
+        for r in t.collect():
+            got = rep[(r["column"], r["test"])]
+            assert got["statistic"] == pytest.approx(r["statistic"], rel=1e-12)
+            assert got["p_value"] == pytest.approx(r["p_value"], rel=1e-9)
+            assert got["interpretation"] == r["interpretation"]
