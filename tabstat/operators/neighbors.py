@@ -206,3 +206,17 @@ def silhouette(df: DataFrame, features, cluster: str, id_col: str, block_rows: i
     s = F.when((F.col("own_n") <= 1) | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise(
         (F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return stats.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+def silhouette_squared(df: DataFrame, features, cluster: str) -> float:
+    """U3 at scale: MLlib's silhouette with squared Euclidean distance
+    (O(n) via per-cluster sums; a different number from the Euclidean
+    silhouette above, which is exact but O(n²))."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    data = df.select(array_to_vector(vector_column(df, features)).alias("_f"),
+                     F.col(cluster).cast("double").alias("_c"))
+    ev = ClusteringEvaluator(featuresCol="_f", predictionCol="_c", metricName="silhouette",
+                             distanceMeasure="squaredEuclidean")
+    return float(ev.evaluate(data))

@@ -92,3 +92,11 @@ def q_folds(spark, sf):
 def q_smote(spark, sf):
     e = _emb(spark, sf).select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("target"))
     return sm.smote(e, "target", "embedding", "vec_id", k=5)
+
+
+@query("silhouette_squared")
+def q_silhouette_squared(spark, sf):
+    """U3 at scale (squared Euclidean, MLlib evaluator), labels as clusters."""
+    v = nb.silhouette_squared(_emb(spark, sf), "embedding", "label")
+    n = _emb(spark, sf).count()
+    return spark.createDataFrame([(v, n)], "silhouette double, n long")

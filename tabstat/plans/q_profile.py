@@ -254,3 +254,15 @@ FROM (SELECT toxic, count(*) AS count FROM labels GROUP BY 1),
 """)
 def q_class_weights(spark, sf):
     return rounded(pr.class_weights(T(spark, sf, "labels"), "toxic"))
+
+
+@query("kde_binned")
+def q_kde_binned(spark, sf):
+    """A13 at scale: linear-binned KDE (work independent of the row count)."""
+    return pr.kde(T(spark, sf, "events"), "value", by=["event_type"], grid=200, bins=2048)
+
+
+@query("violin")
+def q_violin(spark, sf):
+    """Density per event type with its inner box statistics."""
+    return pr.violin(T(spark, sf, "events"), "value", by=["event_type"], grid=100)

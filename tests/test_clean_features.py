@@ -175,3 +175,17 @@ def test_read_csv_na_tokens_and_schema(spark, tmp_path):
     assert [r["RainToday"] for r in rows] == ["No", "Yes", None, None]
     df = read_csv(spark, str(p), schema)
     assert select_numeric(df).columns == ["Rainfall"]
+
+
+def test_binned_kde_close_to_exact(spark):
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 2, 3000), "x": rng.gamma(3.0, 2.0, 3000)}))
+    exact = pr.kde(df, "x", by=["g"], grid=100).toPandas().sort_values(["g", "i"])
+    binned = pr.kde(df, "x", by=["g"], grid=100, bins=2048).toPandas().sort_values(["g", "i"])
+    assert np.allclose(exact.x.to_numpy(), binned.x.to_numpy())
+    rel = np.abs(exact.density.to_numpy() - binned.density.to_numpy()).max() / exact.density.max()
+    pdf = df.toPandas()
+    w_over_h = max((p.x.max() - p.x.min()) / 2048 / (len(p) ** -0.2 * p.x.std()) for _, p in pdf.groupby("g"))
+    assert rel < w_over_h ** 2  # linear-binning error bound O((w/h)^2)
+    v = pr.violin(df, "x", by=["g"], grid=50).toPandas()
+    assert len(v) == 100 and v.q1.notna().all()
