@@ -266,3 +266,10 @@ def q_kde_binned(spark, sf):
 def q_violin(spark, sf):
     """Density per event type with its inner box statistics."""
     return pr.violin(T(spark, sf, "events"), "value", by=["event_type"], grid=100)
+
+
+@query("kde_2d_binned")
+def q_kde_2d_binned(spark, sf):
+    """A16 at scale: lattice-binned 2-D KDE of order price against quantity."""
+    return pr.kde_2d(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", by=["l_returnflag"], grid=20,
+                     bins=256)

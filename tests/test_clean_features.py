@@ -189,3 +189,22 @@ def test_binned_kde_close_to_exact(spark):
     assert rel < w_over_h ** 2  # linear-binning error bound O((w/h)^2)
     v = pr.violin(df, "x", by=["g"], grid=50).toPandas()
     assert len(v) == 100 and v.q1.notna().all()
+
+
+def test_kde_2d_direct_and_binned(spark):
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"x": rng.normal(size=400), "y": rng.normal(size=400)})
+    pdf["y"] += 0.5 * pdf.x
+    df = spark.createDataFrame(pdf)
+    got = pr.kde_2d(df, "x", "y", grid=10).toPandas()
+    n = len(pdf)
+    cov = np.cov(pdf[["x", "y"]].to_numpy().T) * n ** (-1 / 3)
+    inv, det = np.linalg.inv(cov), np.linalg.det(cov)
+    pts = pdf[["x", "y"]].to_numpy()
+    for _, r in got.iterrows():
+        d = pts - np.array([r.x, r.y])
+        ref = np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, inv, d)).sum() / (n * 2 * math.pi * math.sqrt(det))
+        assert r.density == pytest.approx(ref, rel=1e-9)
+    binned = pr.kde_2d(df, "x", "y", grid=10, bins=512).toPandas().sort_values(["ix", "iy"])
+    exact = got.sort_values(["ix", "iy"])
+    assert np.abs(binned.density.to_numpy() - exact.density.to_numpy()).max() < 1e-3 * exact.density.max()
