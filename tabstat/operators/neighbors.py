@@ -4,8 +4,10 @@ Exact search is a blocked all-pairs computation that never materialises
 pairs as rows:
 
 * every query row gets a query block ``qb = xxhash64(id) mod Q`` and every
-  reference row a block ``tb = xxhash64(id) mod T`` (block sizes from the
-  counted row numbers, at most ``block_rows`` rows each);
+  reference row a block ``tb = xxhash64(id) mod T``; T and Q come from the
+  counted row numbers, capped at ``MAX_BLOCKS`` so the replication factor
+  (shuffle volume n·Q + m·T) stays bounded as the table grows, while each
+  task computes its block in ``CHUNK_ROWS`` query slices (bounded memory);
 * query rows are replicated once per reference block and reference rows
   once per query block (an equi-join key, not a cross join), so each
   (tb, qb) cell is one cogroup task holding two bounded blocks;
@@ -27,7 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 2048      # smallest block; blocks grow with n so that ...
+MAX_BLOCKS = 64        # ... each side is split into at most this many blocks
+CHUNK_ROWS = 1024      # query rows per distance matrix inside a cell
 
 
 def vector_column(df: DataFrame, features: str | Sequence[str]) -> Column:
@@ -40,8 +44,13 @@ def vector_column(df: DataFrame, features: str | Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
+def _blocks(n: int, block_rows: int | None) -> int:
+    """Number of blocks: block_rows given -> ceil(n / block_rows); default ->
+    blocks of at least BLOCK_ROWS rows and at most MAX_BLOCKS blocks, so the
+    replication factor (and shuffle volume n·Q + m·T) stays bounded."""
+    if block_rows is not None:
+        return max(1, math.ceil(n / block_rows))
+    return max(1, min(MAX_BLOCKS, math.ceil(n / BLOCK_ROWS)))
 
 
 def _block_of(col: str, nblocks: int, seed: int) -> Column:
@@ -61,7 +70,7 @@ def _sq_dist(q: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def knn(reference: DataFrame, query: DataFrame | None, k: int, features: str | Sequence[str],
         ref_id: str, query_id: str | None = None, exclude_self: bool = False,
-        block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
+        block_rows: int | None = None, seed: int = 17) -> DataFrame:
     """K1: the k nearest reference rows of every query row (exact).
 
     Output (qid, tid, rank, distance); ties broken by reference id; k > n
@@ -81,30 +90,33 @@ def knn(reference: DataFrame, query: DataFrame | None, k: int, features: str | S
     def cell(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or tpdf.empty:
             return pd.DataFrame({"_qid": [], "_tid": [], "_d2": []})
-        qv, tv = _stack(qpdf["_qv"].tolist()), _stack(tpdf["_tv"].tolist())
-        qid, tid = qpdf["_qid"].to_numpy(), tpdf["_tid"].to_numpy()
-        d2 = _sq_dist(qv, tv)
-        if exclude_self:
-            d2 = np.where(qid[:, None] == tid[None, :], np.inf, d2)
+        qv_all, tv = _stack(qpdf["_qv"].tolist()), _stack(tpdf["_tv"].tolist())
+        qid_all, tid = qpdf["_qid"].to_numpy(), tpdf["_tid"].to_numpy()
         m = min(kk, tv.shape[0])
-        # the expansion carries rounding noise: keep every candidate within an
-        # error band of the k-th value, then rank by exact distance and id
-        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
-        tol = 1e-9 * ((qv * qv).sum(1) + (tv * tv).sum(1).max()) + 1e-300
+        tnorm_max = (tv * tv).sum(1).max()
         out_q, out_t, out_d = [], [], []
-        for i in range(d2.shape[0]):
-            if not np.isfinite(kth[i]):
-                idx = np.nonzero(np.isfinite(d2[i]))[0]
-            else:
-                idx = np.nonzero(d2[i] <= kth[i] + tol[i])[0]
-            if idx.size == 0:
-                continue
-            diff = tv[idx] - qv[i]
-            exact = np.sqrt((diff * diff).sum(1))  # rank on the distance itself
-            order = np.lexsort((tid[idx], exact))[:m]
-            out_q.append(np.full(order.size, qid[i]))
-            out_t.append(tid[idx][order])
-            out_d.append(exact[order])
+        for c0 in range(0, qv_all.shape[0], CHUNK_ROWS):  # bounded memory per cell
+            qv, qid = qv_all[c0:c0 + CHUNK_ROWS], qid_all[c0:c0 + CHUNK_ROWS]
+            d2 = _sq_dist(qv, tv)
+            if exclude_self:
+                d2 = np.where(qid[:, None] == tid[None, :], np.inf, d2)
+            # the expansion carries rounding noise: keep every candidate within
+            # an error band of the k-th value, then rank by exact distance and id
+            kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+            tol = 1e-9 * ((qv * qv).sum(1) + tnorm_max) + 1e-300
+            for i in range(d2.shape[0]):
+                if not np.isfinite(kth[i]):
+                    idx = np.nonzero(np.isfinite(d2[i]))[0]
+                else:
+                    idx = np.nonzero(d2[i] <= kth[i] + tol[i])[0]
+                if idx.size == 0:
+                    continue
+                diff = tv[idx] - qv[i]
+                exact = np.sqrt((diff * diff).sum(1))  # rank on the distance itself
+                order = np.lexsort((tid[idx], exact))[:m]
+                out_q.append(np.full(order.size, qid[i]))
+                out_t.append(tid[idx][order])
+                out_d.append(exact[order])
         if not out_q:
             return pd.DataFrame({"_qid": [], "_tid": [], "_d2": []})
         out_q, out_t, out_d = np.concatenate(out_q), np.concatenate(out_t), np.concatenate(out_d)
@@ -120,7 +132,7 @@ def knn(reference: DataFrame, query: DataFrame | None, k: int, features: str | S
 
 def knn_classify(reference: DataFrame, query: DataFrame | None, k: int, features, ref_id: str, label: str,
                  query_id: str | None = None, exclude_self: bool = False, positive=None,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int | None = None) -> DataFrame:
     """K1 vote: majority label of the k nearest (ties -> smallest label).
 
     Output (qid, pred, prob): prob is the vote share of ``positive`` when
@@ -161,7 +173,7 @@ def knn_error_curve(reference: DataFrame, ks: Sequence[int], features, ref_id: s
             .select(F.col("k").cast("int").alias("k"), "error"))
 
 
-def silhouette(df: DataFrame, features, cluster: str, id_col: str, block_rows: int = BLOCK_ROWS,
+def silhouette(df: DataFrame, features, cluster: str, id_col: str, block_rows: int | None = None,
                seed: int = 23) -> DataFrame:
     """Exact mean Euclidean silhouette (one row: silhouette, n).
 
@@ -181,16 +193,21 @@ def silhouette(df: DataFrame, features, cluster: str, id_col: str, block_rows: i
         if lp.empty or rp.empty:
             return pd.DataFrame({"_id": [], "_c": [], "_s": [], "_n": []})
         lv, rv = _stack(lp["_v"].tolist()), _stack(rp["_v"].tolist())
-        d = np.sqrt(_sq_dist(lv, rv))
-        d = np.where(lp["_id"].to_numpy()[:, None] == rp["_id"].to_numpy()[None, :], 0.0, d)
+        lid, rid = lp["_id"].to_numpy(), rp["_id"].to_numpy()
         rc = rp["_c"].to_numpy()
+        clusters = np.unique(rc)
+        sums = np.zeros((len(lp), len(clusters)))
+        for c0 in range(0, len(lp), CHUNK_ROWS):  # bounded memory per cell
+            d = np.sqrt(_sq_dist(lv[c0:c0 + CHUNK_ROWS], rv))
+            d = np.where(lid[c0:c0 + CHUNK_ROWS, None] == rid[None, :], 0.0, d)
+            for j, c in enumerate(clusters):
+                sums[c0:c0 + CHUNK_ROWS, j] = d[:, rc == c].sum(1)
         ids, cs, ss, ns = [], [], [], []
-        for c in np.unique(rc):
-            mask = rc == c
-            ids.append(lp["_id"].to_numpy())
+        for j, c in enumerate(clusters):
+            ids.append(lid)
             cs.append(np.full(len(lp), c))
-            ss.append(d[:, mask].sum(1))
-            ns.append(np.full(len(lp), int(mask.sum())))
+            ss.append(sums[:, j])
+            ns.append(np.full(len(lp), int((rc == c).sum())))
         return pd.DataFrame({"_id": np.concatenate(ids), "_c": np.concatenate(cs), "_s": np.concatenate(ss),
                              "_n": np.concatenate(ns)})
 

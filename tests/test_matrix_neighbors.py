@@ -203,3 +203,25 @@ def test_cost_complexity_path_properties(spark):
     ytr = pdf[pdf.id % 3 != 0].label
     assert p.train_accuracy.iloc[-1] == pytest.approx(max(ytr.mean(), 1 - ytr.mean()))
     assert best == p.alpha.iloc[int(p.valid_accuracy.to_numpy().argmax())]
+
+
+def test_knn_and_silhouette_with_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(31)
+    pts = rng.normal(size=(90, 4))
+    lab = rng.integers(0, 3, 90)
+    ids = list(range(90))
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "v": list(pts), "c": lab}), "id long, v array<double>, c long")
+    got = nb.knn(df, None, 5, "v", "id", exclude_self=True, block_rows=40).toPandas()
+    ref = _brute_knn(pts, ids, 5, True)
+    for q, part in got.groupby("qid"):
+        assert part.sort_values("rank").tid.tolist() == ref[q]
+    s = nb.silhouette(df, "v", "c", "id", block_rows=40).first()["silhouette"]
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    vals = []
+    for i in range(90):
+        own = lab == lab[i]
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, lab == c].mean() for c in set(lab) if c != lab[i])
+        vals.append((b - a) / max(a, b))
+    assert s == pytest.approx(np.mean(vals), rel=1e-9)
