@@ -300,8 +300,18 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
     det = a * c - b * b
     stats = stats.select(*by, "_n", "_xl", "_xh", "_yl", "_yh", (c / det).alias("_ia"), (-b / det).alias("_ib"),
                          (a / det).alias("_ic"), det.alias("_det")).where(F.col("_det") > 0)
-    collapsed = data.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    joined = _attach(collapsed, stats, by)
+    if bins:
+        lat = _attach(data, stats, by)
+        wx = (F.col("_xh") - F.col("_xl")) / F.lit(float(bins))
+        wy = (F.col("_yh") - F.col("_yl")) / F.lit(float(bins))
+        bx = F.least(F.floor((F.col("_x") - F.col("_xl")) / wx), F.lit(bins - 1))
+        byy = F.least(F.floor((F.col("_y") - F.col("_yl")) / wy), F.lit(bins - 1))
+        lat = lat.withColumns({"_x": F.col("_xl") + (bx + 0.5) * wx, "_y": F.col("_yl") + (byy + 0.5) * wy})
+        joined = lat.groupBy(*by, "_x", "_y", *[c for c in stats.columns if c not in by]).agg(
+            F.count(F.lit(1)).alias("_c"))
+    else:
+        collapsed = data.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
+        joined = _attach(collapsed, stats, by)
     cell = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("_k")
     ex = joined.select("*", cell)
     ix, iy = (F.col("_k") / grid).cast("int"), F.pmod(F.col("_k"), F.lit(grid))

@@ -272,4 +272,4 @@ def q_violin(spark, sf):
 def q_kde_2d_binned(spark, sf):
     """A16 at scale: lattice-binned 2-D KDE of order price against quantity."""
     return pr.kde_2d(T(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", by=["l_returnflag"], grid=20,
-                     bins=256)
+                     bins=128)

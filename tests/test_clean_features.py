@@ -183,6 +183,7 @@ def test_binned_kde_close_to_exact(spark):
     exact = pr.kde(df, "x", by=["g"], grid=100).toPandas().sort_values(["g", "i"])
     binned = pr.kde(df, "x", by=["g"], grid=100, bins=2048).toPandas().sort_values(["g", "i"])
     assert np.allclose(exact.x.to_numpy(), binned.x.to_numpy())
+    assert not np.array_equal(exact.density.to_numpy(), binned.density.to_numpy())  # binning took effect
     rel = np.abs(exact.density.to_numpy() - binned.density.to_numpy()).max() / exact.density.max()
     pdf = df.toPandas()
     w_over_h = max((p.x.max() - p.x.min()) / 2048 / (len(p) ** -0.2 * p.x.std()) for _, p in pdf.groupby("g"))
@@ -207,4 +208,8 @@ def test_kde_2d_direct_and_binned(spark):
         assert r.density == pytest.approx(ref, rel=1e-9)
     binned = pr.kde_2d(df, "x", "y", grid=10, bins=512).toPandas().sort_values(["ix", "iy"])
     exact = got.sort_values(["ix", "iy"])
-    assert np.abs(binned.density.to_numpy() - exact.density.to_numpy()).max() < 1e-3 * exact.density.max()
+    assert not np.array_equal(binned.density.to_numpy(), exact.density.to_numpy())  # binning took effect
+    fac = n ** (-1 / 6)
+    bound = max(((pdf[c].max() - pdf[c].min()) / 512 / (fac * pdf[c].std())) ** 2 for c in ("x", "y"))
+    err = np.abs(binned.density.to_numpy() - exact.density.to_numpy()).max() / exact.density.max()
+    assert err < 2 * bound  # lattice-binning error O((w/h)^2) per axis
