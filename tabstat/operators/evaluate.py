@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabstat.functions.exprs import safe_div
-from tabstat.operators.rank import _as_list, _num_partitions
+from tabstat.operators.rank import _as_list
 from tabstat.session import materialize
 
 
@@ -30,9 +30,8 @@ def prefix_sums(df: DataFrame, order_cols, value_cols: Sequence[str], descending
     order = _as_list(order_cols)
     vals = list(value_cols)
     keys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
-    n_parts = num_partitions or _num_partitions(df)
-    tagged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-              .withColumn("_ts_pid", F.spark_partition_id()))
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    tagged = ranged.sortWithinPartitions(*keys).withColumn("_ts_pid", F.spark_partition_id())
     tagged = materialize(tagged, "checkpoint")  # placement becomes stored data
     totals = tagged.groupBy("_ts_pid").agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in vals]).collect()
     totals = sorted(totals, key=lambda r: r["_ts_pid"])

@@ -101,8 +101,10 @@ def global_rank(df: DataFrame, order_cols, by=None, tiebreak=None,
     keys = [F.col(c).asc_nulls_first() for c in by]
     keys += [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
     keys += [F.col(c).asc_nulls_first() for c in tb]
-    n_parts = num_partitions or _num_partitions(df)
-    tagged = (base.repartitionByRange(n_parts, *keys)
+    # without an explicit count AQE coalesces contiguous range partitions to
+    # its advisory size (order is preserved; positions are taken afterwards)
+    ranged = base.repartitionByRange(num_partitions, *keys) if num_partitions else base.repartitionByRange(*keys)
+    tagged = (ranged
               .sortWithinPartitions(*keys)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_POS, F.monotonically_increasing_id()
