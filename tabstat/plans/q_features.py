@@ -168,3 +168,12 @@ FROM events
 def q_group_rank(spark, sf):
     ev = T(spark, sf, "events").select("event_id", "event_type", "value")
     return global_rank(ev, ["value"], by=["event_type"], tiebreak=["event_id"], descending=True)
+
+
+@query("sort_by", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+def q_sort_by(spark, sf):
+    """L1: descending sort (a range-partitioned global sort)."""
+    from tabstat.operators.rank import sort_by
+
+    o = T(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return sort_by(o, ["o_totalprice", "o_orderkey"], ascending=[False, True])
