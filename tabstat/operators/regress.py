@@ -308,13 +308,16 @@ ELIMINATION_SCHEMA = ("step int, dropped string, r2 double, adj_r2 double, aic d
                       "f_p double, t double, t_p double")
 
 
-def compare_regressions(models: dict, test: DataFrame | None = None, decimals: int = 3) -> list[tuple]:
-    """(model, r2, adj_r2, aic, bic, mse) rows; mse on ``test`` if given."""
+def compare_regressions(models: dict, test: DataFrame | dict | None = None, decimals: int = 3) -> list[tuple]:
+    """(model, r2, adj_r2, aic, bic, mse) rows; mse on ``test`` (one
+    frame for all models, or a {model: frame} map when the models need
+    differently prepared inputs, e.g. PCA scores)."""
     rows = []
     for name, m in models.items():
         err = float("nan")
-        if test is not None:
-            err = mse(test, m.y, m.predict_column()).first()["mse"]
+        frame = test.get(name) if isinstance(test, dict) else test
+        if frame is not None:
+            err = mse(frame, m.y, m.predict_column()).first()["mse"]
         rows.append((name, *[round(float(v), decimals) for v in (m.r2, m.adj_r2, m.aic, m.bic, err)]))
     return rows
 

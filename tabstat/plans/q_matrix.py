@@ -243,9 +243,17 @@ def q_compare_regressions(spark, sf):
     li = _li(spark, sf)
     split = F.lit(SPLIT).cast("timestamp_ntz")
     train, test = li.where(F.col("l_shipdate") < split), li.where(F.col("l_shipdate") >= split)
-    g = mx.gramian(train, ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
-    full = rg.ols_from_gram(g, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
-    _, back = rg.backward_elimination(train, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], g=g)
-    rows = rg.compare_regressions({"full": full, "backward": back or full}, test)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    g = mx.gramian(train, [*feats, "l_extendedprice"])
+    full = rg.ols_from_gram(g, "l_extendedprice", feats)
+    _, back = rg.backward_elimination(train, "l_extendedprice", feats, g=g)
+    # PCA fitted on train (centred, first k above 95 % variance), OLS on scores
+    pca = mx.pca_fit(g.sub(feats), variance=0.95)
+    pcs = [f"pc{i + 1}" for i in range(pca.k)]
+    tr_p = pca.transform(train, keep=["l_extendedprice"])
+    te_p = pca.transform(test, keep=["l_extendedprice"])
+    on_pca = rg.ols_fit(tr_p, "l_extendedprice", pcs)
+    rows = rg.compare_regressions({"full": full, "backward": back or full, "pca": on_pca},
+                                  {"full": test, "backward": test, "pca": te_p})
     return spark.createDataFrame(rows, "model string, r2 double, adj_r2 double, aic double, bic double, mse double")
 
