@@ -301,7 +301,9 @@ def backward_elimination(df: DataFrame, y: str, xs: Sequence[str], drops: Sequen
                     float(m.tvalues[vi]), float(m.pvalues[vi])))
         current.remove(victim)
         step += 1
-    return log, ols_from_gram(g, y, current, intercept) if current else None
+    if not current and not intercept:
+        return log, None
+    return log, ols_from_gram(g, y, current, intercept)  # intercept-only if all went
 
 
 ELIMINATION_SCHEMA = ("step int, dropped string, r2 double, adj_r2 double, aic double, bic double, f double, "

@@ -253,7 +253,7 @@ def q_compare_regressions(spark, sf):
     tr_p = pca.transform(train, keep=["l_extendedprice"])
     te_p = pca.transform(test, keep=["l_extendedprice"])
     on_pca = rg.ols_fit(tr_p, "l_extendedprice", pcs)
-    rows = rg.compare_regressions({"full": full, "backward": back or full, "pca": on_pca},
+    rows = rg.compare_regressions({"full": full, "backward": back, "pca": on_pca},
                                   {"full": test, "backward": test, "pca": te_p})
     return spark.createDataFrame(rows, "model string, r2 double, adj_r2 double, aic double, bic double, mse double")
 

@@ -225,3 +225,12 @@ def test_knn_and_silhouette_with_small_chunks(spark, monkeypatch):
         b = min(d[i, lab == c].mean() for c in set(lab) if c != lab[i])
         vals.append((b - a) / max(a, b))
     assert s == pytest.approx(np.mean(vals), rel=1e-9)
+
+
+def test_backward_elimination_to_intercept_only(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.normal(size=200), "b": rng.normal(size=200), "y": rng.normal(size=200)})
+    log, final = rg.backward_elimination(spark.createDataFrame(pdf), "y", ["a", "b"], drops=["a", "b"])
+    assert [r[1] for r in log] == ["a", "b"]
+    assert final.xs == [] and final.params[0] == pytest.approx(pdf.y.mean())
+    assert final.r2 == pytest.approx(0.0, abs=1e-12)
