@@ -21,8 +21,8 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
                       ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(key, "0")).lower().rstrip("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
