@@ -30,3 +30,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(read_table(spark, sf_dir, "documents"), ranks, pattern)
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks, pattern))
+
+
+@query("op7_bag_minhash")
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import near_dup
+
+    return near_dup.classes(read_table(spark, sf_dir, "documents"))
