@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabstat.llm.common import in_groups, prepare, strings, text_or_empty, written
+from tabstat.llm.common import in_groups, int_lists, prepare, strings, text_or_empty, written
 
 WORDS, LIKENESS = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -143,36 +143,52 @@ def signatures(items: list[np.ndarray], m: int = M) -> np.ndarray:
     return values
 
 
-def _profile(batches):
-    """Node, band hashes, signature and sorted shingle hashes of each text."""
-    from xxhash import xxh3_128_digest
-
+def _of_texts(batches, make):
+    """One record batch for every group of texts; ``make`` gives its columns."""
     hashes = WordHashes()
-    seeds = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        ids = batch.column("doc_id")
         start = 0
         for texts in in_groups(strings(batch, "text"), 1 << 20):
-            items, nodes = [], []
-            for t in texts:
-                words = t.lower().split()
-                items.append(shingles(hashes(words)))
-                nodes.append(xxh3_128_digest("\n".join(words)))
-            sig = signatures(items)
-            with np.errstate(over="ignore"):
-                band = np.zeros((len(items), BANDS), np.uint64) + seeds
-                for r in range(ROWS):
-                    band = _mix(band * _U(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
-            bands = [b if len(x) else b[:0] for b, x in zip(band.view(np.int64), items)]
-            ends = np.cumsum([0, *map(len, bands)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, len(texts)), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands), pa.int64())),
-                 pa.array([s.tobytes() for s in sig], pa.binary()),
-                 pa.array([np.sort((x >> _U(32)).astype(np.uint32)).tobytes() for x in items], pa.binary())],
-                ["doc_id", "node", "bands", "sig", "items"])
+            words = [t.lower().split() for t in texts]
+            items = [shingles(hashes(w)) for w in words]
+            yield make(batch.slice(start, len(texts)), words, items)
             start += len(texts)
 
 
+def _node(words: list[str]) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest("\n".join(words))
+
+
+def _profile(batches):
+    """Node and band hashes of each text."""
+    seeds = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+    def make(rows, words, items):
+        sig = signatures(items)
+        with np.errstate(over="ignore"):
+            band = np.zeros((len(items), BANDS), np.uint64) + seeds
+            for r in range(ROWS):
+                band = _mix(band * _U(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
+        bands = [b if len(x) else b[:0] for b, x in zip(band.view(np.int64), items)]
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(map(_node, words), pa.binary()), int_lists(bands, pa.int64())], ["doc_id", "node", "bands"])
+
+    return _of_texts(batches, make)
+
+
+def _details(batches):
+    """Node, signature (its low bytes) and sorted shingle hashes of each text."""
+    def make(rows, words, items):
+        sig = signatures(items).astype(np.uint8)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(map(_node, words), pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()),
+             pa.array([np.sort((x >> _U(32)).astype(np.uint32)).tobytes() for x in items], pa.binary())],
+            ["node", "sig", "items"])
+
+    return _of_texts(batches, make)
+
+
 def overlap(a: tuple, b: tuple) -> float:
     """Weighted Jaccard of two multisets given as (items, counts, size)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -183,7 +199,7 @@ def overlap(a: tuple, b: tuple) -> float:
 def _links(nodes: list, sigs: list, items: list, sides: list):
     """A spanning forest of the links inside one group, as (node, root)."""
     n = len(nodes)
-    sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(n, -1)
+    sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(n, -1)
     bag = {}
     root = list(range(n))
 
@@ -239,7 +255,8 @@ def _forests(batches):
             if row[:3] != key:
                 found += close()
                 held, key = [], row[:3]
-            held.append(row)
+            if not held or held[-1][4] != row[4]:  # a repeated row is the same node
+                held.append(row)
         if found:
             yield out(found)
             found = []
@@ -265,23 +282,29 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def links(profiles: DataFrame) -> DataFrame:
-    """(a, b): a forest of the links between different texts."""
-    member = profiles.select(F.explode("bands").alias("bucket"), "node").groupBy("bucket", "node").agg(F.count(F.lit(1)).alias("copies")).select("bucket", "node")
-    bucket = (member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("first"))
-              .where("size > 1")
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): a forest of the links between different texts.
+
+    ``nodes`` has a row per text: node, short (a 64-bit hash of it), least
+    (an id of a row with that text) and bands. Only the texts of nodes that
+    share a bucket are read again for the comparison.
+    """
+    member = nodes.select(F.explode("bands").alias("bucket"), "short")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    placed = written(member.join(shared, "bucket"), "members")
+    bucket = (placed.groupBy("bucket", "size").agg(F.bit_xor(F.xxhash64("short")).alias("who"), F.min("short").alias("first"))
               .groupBy("size", "who", "first").agg(F.min("bucket").alias("bucket"))  # the same members: one bucket
-              .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    chosen = written(member.join(bucket, "bucket"), "buckets")
-    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+              .select("bucket"))
+    chosen = written(placed.join(bucket, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "buckets")
+    block = F.pmod(F.xxhash64("short", F.lit(7)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = (chosen.withColumn("block", block).withColumn("other", other)
-              .select("bucket", "node", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-                      F.when((F.col("block") > F.col("other")), 1).otherwise(0).alias("side")))
-    nodes = chosen.select("node").distinct()
-    data = (profiles.groupBy("node").agg(F.first(F.struct("sig", "items")).alias("d"))
-            .join(nodes, "node", "left_semi").select("node", "d.sig", "d.items"))
-    groups = placed.join(data, "node").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
+    rows = (chosen.withColumn("block", block).withColumn("other", other)
+            .select("bucket", "short", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+                    F.when((F.col("block") > F.col("other")), 1).otherwise(0).alias("side")))
+    wanted = nodes.join(chosen.select("short").distinct(), "short", "left_semi").select("least")
+    data = (docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+            .mapInArrow(_details, "node binary, sig binary, items binary").withColumn("short", F.xxhash64("node")))
+    groups = rows.join(data, "short").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "node")
     return groups.select("bucket", "left", "right", "side", "node", "sig", "items").mapInArrow(_forests, "a binary, b binary")
 
 
@@ -293,11 +316,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    profiles = written(rows.mapInArrow(_profile, f"doc_id {kind}, node binary, bands array<long>, sig binary, items binary"), "profiles")
-    labels = components(links(profiles))
-    texts = profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    labelled = texts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "n")
+    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    profiles = written(docs.mapInArrow(_profile, f"doc_id {kind}, node binary, bands array<long>"), "profiles")
+    nodes = written(profiles.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+                    .withColumn("short", F.xxhash64("node")), "nodes")
+    labels = components(links(docs, nodes))
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "n")
     totals = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = labelled.select("node", "label").join(totals, "label").select("node", "class_id", "class_size")
     return (profiles.select("doc_id", "node").join(by_node, "node")
