@@ -1,7 +1,7 @@
 """Operator 6: toxicity by a subsequence string-kernel SVM with Nyström landmarks.
 
 Kernel. Two tokens are compared by the gap-weighted subsequences of four
-characters that they share, a mark for the token's start among them: a
+characters that they share, marks for the token's start and end among them: a
 subsequence that spans s characters weighs DECAY ** (s - 4), spans of at most
 SPAN characters count, and the kernel is normalised by the tokens' own norms. Characters put into a word only lengthen
 the spans ("idxiot"), so such words stay near the plain one. Punctuation in a
@@ -19,9 +19,9 @@ and the best token of every training bag that it rejects. The SVM's margin for a
 subsequences, so it is folded into one table over them, which is all that
 scoring needs.
 
-Scoring. A sentence scores as its most toxic token, a document as its most
-toxic sentence; a logistic curve fitted on labelled documents that were not
-trained on turns the margin into a score between 0 and 1.
+Scoring. A document is seen through the margins of its BEST most toxic
+different tokens, over all its sentences; a logistic curve fitted on labelled
+documents that were not trained on turns them into a score between 0 and 1.
 
 Defined results: a text without tokens (null, empty, white space) gets the
 calibrated score of the clean side; repeated rows repeat; equal texts score
@@ -33,6 +33,7 @@ scores 0.
 from __future__ import annotations
 
 import re
+from heapq import nlargest
 from itertools import chain
 from zlib import crc32
 
@@ -48,15 +49,17 @@ DECAY, SPAN = 0.7, 7
 #: Letters keep their own class, other characters share classes by hash; a
 #: subsequence is hashed to an index below SLOTS.
 CLASSES, SLOTS = 64, 1 << 20
-START = "\x02"
+START, END = "\x02", "\x03"
 #: Longest token scored in one go; longer ones are windows that overlap by half.
 WINDOW = 24
 LANDMARKS = 400
+#: Different tokens of a text that its score looks at, the most toxic first.
+BEST = 3
 #: Rounds of hard negatives and missed bags after the first fit.
 ROUNDS = 2
 #: Bounds of the training sample: labelled documents, and tokens of each kind.
 SAMPLE_DOCS = 6_000
-SAMPLE_TOKENS = 4_000
+SAMPLE_TOKENS = 2_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Offsets of the second, third and fourth character.
@@ -94,7 +97,7 @@ def _windows(word: str) -> list[str]:
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, slot, weight) of all gapped subsequences, each pair once, scaled
     to norm 1 in every word."""
-    words = [START + w for w in words]
+    words = [START + w + END for w in words]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     kind = np.where((code >= 97) & (code <= 122), code - 97, 26 + code * 2654435761 % (CLASSES - 26))
@@ -122,14 +125,17 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised kernel of every word of a with every word of b."""
     out = np.zeros((len(a), len(b)))
-    at, slot, weight = subsequences(b)
-    table = np.zeros((SLOTS, 1), np.float32)
-    ra, rt, rw = subsequences(a)
+    at, slot, weight = subsequences(a)
+    order = np.argsort(slot, kind="stable")
+    at, slot, weight = at[order], slot[order], weight[order]
+    of, own, value = subsequences(b)
+    low, high = np.searchsorted(slot, own), np.searchsorted(slot, own, "right")
+    bounds = np.searchsorted(of, np.arange(len(b) + 1))
     for k in range(len(b)):
-        own = at == k
-        table[slot[own], 0] = weight[own]
-        out[:, k] = np.bincount(ra, rw * table[rt, 0], len(a))
-        table[slot[own], 0] = 0
+        part = slice(bounds[k], bounds[k + 1])
+        n = high[part] - low[part]
+        hit = np.repeat(low[part] - np.cumsum(n) + n, n) + np.arange(n.sum())  # the words' entries with these slots
+        out[:, k] = np.bincount(at[hit], weight[hit] * np.repeat(value[part], n), len(a))
     return out
 
 
@@ -147,7 +153,8 @@ class Scorer:
         return np.bincount(at, weight * self.table[slot], len(words)) + self.bias
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        """The largest margin of each text's tokens; the bias without tokens."""
+        """The BEST largest margins of each text's different tokens, clipped to
+        [-1, 2]; -1 where a text has fewer."""
         known = self.known
         if len(known) > self.limit:
             known.clear()
@@ -157,7 +164,11 @@ class Scorer:
         for group in in_groups(new, 200_000):
             fresh.update(zip(group, self.margins(group).tolist()))
         known.update(fresh)
-        return np.array([max((known[w] for w in row), default=self.bias) for row in own])
+        out = np.full((len(texts), BEST), -1.0)
+        for k, row in enumerate(own):
+            for j, m in enumerate(nlargest(BEST, map(known.__getitem__, set(row)))):
+                out[k, j] = min(max(m, -1.0), 2.0)
+        return out
 
 
 def _features(landmarks: list[str]):
@@ -169,11 +180,11 @@ def _features(landmarks: list[str]):
     return root, lambda words: kernel(words, landmarks) @ root
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by accelerated gradient steps; y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = v = np.zeros(x.shape[1])
-    step = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + penalty)
+    step = 1 / (2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + penalty)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - step * (penalty * v - 2 * x.T @ (weight * slack * y))
@@ -182,22 +193,20 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4
     return w[:-1], float(w[-1])
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve with Platt's smoothed targets."""
+def _logistic(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Coefficients and offset of a logistic curve, by Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
     if not 0 < label.sum() < len(label):
-        return 4.0, 0.0
-    target = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-(a * margin + b)))
-        g, h = p - target, np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(g * margin).sum() + 1e-3 * a, g.sum()])
-        hess = np.array([[(h * margin ** 2).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
+        return np.array([1.0] * (x.shape[1] - 1) + [0.0])
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([0.1] * (len(w) - 1) + [1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - label) + ridge @ w)
+        w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return w
 
 
 def _pick(words: list[str], most: int) -> list[str]:
@@ -233,11 +242,11 @@ def _count_tokens(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed) -> dict:
-    """The folded model: slots, weights, bias, slope, offset."""
+    """The folded model: slots, weights, bias, and the curve of the scores."""
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, allowed).select("text", F.col("toxic").cast("int").alias("toxic"), F.col("part").cast("int").alias("part")).persist()
     try:
-        nothing = {"slots": np.empty(0, np.int64), "weights": np.empty(0), "bias": -1.0, "slope": 0.0, "offset": -50.0}
+        nothing = {"slots": np.empty(0, np.int64), "weights": np.empty(0), "bias": -1.0, "curve": np.array([0.0] * BEST + [-50.0])}
         if rows.select("toxic").distinct().count() < 2:
             return nothing
         counts = (rows.where("part > 0").mapInArrow(_count_tokens, "token string, toxic int")
@@ -253,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed) -> dict:
         clean = [w for w in dict.fromkeys(clean) if w not in known]
         if not witness or not clean:
             return nothing
-        model = _fit(witness, clean)
+        model = _fit(witness, clean, [])
         for _ in range(ROUNDS):
             # clean tokens that the machine takes for toxic or nearly so become
             # negatives; the best token of a bag without any becomes positive
@@ -266,16 +275,16 @@ def train(docs: DataFrame, labels: DataFrame, allowed) -> dict:
             bags = rows.where("part > 0 and toxic = 1").mapInArrow(_missed(shared), "token string, margin double").where(F.col("margin") > floor)
             more = [r.token for r in bags.groupBy("token").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), order).limit(SAMPLE_TOKENS).collect()]
             known |= set(clean)
-            clean += [r.token for r in hard if r.token not in known]
+            taken = [r.token for r in hard]
+            clean += [w for w in taken if w not in known]
             known |= set(clean)
             witness += [w for w in more if w not in known]
             known |= set(witness)
-            model = _fit(witness, clean)
+            model = _fit(witness, clean, taken)
         counts.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        held = rows.where("part = 0").mapInArrow(_margins(shared, "toxic"), "toxic int, margin double").toPandas()
-        slope, offset = _logistic(held["margin"].to_numpy(), held["toxic"].to_numpy())
-        return model | {"slope": slope, "offset": offset}
+        held = rows.where("part = 0").mapInArrow(_margins(shared, "toxic"), "toxic int, margins array<double>").toPandas()
+        return model | {"curve": _logistic(np.array(held["margins"].tolist()).reshape(-1, BEST), held["toxic"].to_numpy())}
     finally:
         rows.unpersist()
 
@@ -296,9 +305,9 @@ def _variant(word: str) -> str:
     return word[:at] + "abcdefghijklmnopqrstuvwxyz0123456789"[h // 64 % 36] + word[at:]
 
 
-def _fit(positive: list[str], clean: list[str]) -> dict:
+def _fit(positive: list[str], clean: list[str], hard: list[str]) -> dict:
     """SVM on Nyström features of tokens and of their one-insertion variants."""
-    landmarks = positive[:LANDMARKS // 2] + clean[:LANDMARKS // 4] + _pick(clean, LANDMARKS // 4)
+    landmarks = positive[:LANDMARKS // 2] + hard[:LANDMARKS // 4] + _pick(clean, LANDMARKS // 4)
     landmarks = list(dict.fromkeys(landmarks))
     words = [*positive, *map(_variant, positive), *clean, *map(_variant, clean)]
     y = np.repeat([1.0, -1.0], [2 * len(positive), 2 * len(clean)])
@@ -345,8 +354,8 @@ def _margins(shared, keep: str):
         model = shared.value
         scorer = Scorer(model["slots"], model["weights"], model["bias"])
         for batch in batches:
-            out = [scorer.texts(group) for group in in_groups(strings(batch, "text"), 1 << 20)]
-            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())], [keep, "margin"])
+            best = [row for group in in_groups(strings(batch, "text"), 1 << 20) for row in scorer.texts(group).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(best, pa.list_(pa.float64()))], [keep, "margins"])
 
     return run
 
@@ -356,8 +365,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_margins(shared, "doc_id"), f"doc_id {kind}, margin double")
-    return scored.select("doc_id", (1 / (1 + F.exp(-(F.col("margin") * model["slope"] + model["offset"])))).alias("score"))
+    scored = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_margins(shared, "doc_id"), f"doc_id {kind}, margins array<double>")
+    curve = model["curve"].tolist()
+    value = sum((F.col("margins")[k] * curve[k] for k in range(BEST)), F.lit(curve[-1]))
+    return scored.select("doc_id", (1 / (1 + F.exp(-value))).alias("score"))
 
 
 def held_out(doc_id):
