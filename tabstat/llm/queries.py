@@ -48,3 +48,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import secrets
+
+    return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents")))
