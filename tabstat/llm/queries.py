@@ -55,3 +55,43 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabstat.llm import secrets
 
     return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+_EXTRA_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op4_chat", r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
+         sum(length(role) + length(text) + 18 + len(regexp_extract_all(role, '(<\\*/?s>|\[\\*(?:/?INST|END)\])'))
+             + len(regexp_extract_all(text, '(<\\*/?s>|\[\\*(?:/?INST|END)\])'))) AS chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+       sha256(learnt) AS loss_sha256, CAST(chars + 7 AS BIGINT) AS formatted_chars
+FROM g""")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import chat
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(_EXTRA_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.conversations(rows.unionByName(extra)))
+
+
+@query("op5_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import top_k
+
+    return top_k.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
