@@ -95,3 +95,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabstat.llm import top_k
 
     return top_k.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import packing
+
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
