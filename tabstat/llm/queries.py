@@ -102,3 +102,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabstat.llm import packing
 
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN keep END AS refers_to
+FROM g""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import warc
+
+    return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
