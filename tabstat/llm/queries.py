@@ -116,3 +116,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabstat.llm import warc
 
     return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
+@query("op8_fingerprint")
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import fingerprint
+
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
