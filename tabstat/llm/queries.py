@@ -123,3 +123,11 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabstat.llm import fingerprint
 
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import pii
+
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.digests(pii.scan(docs, pii.train(docs)))
