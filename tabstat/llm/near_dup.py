@@ -308,12 +308,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.select("bucket", "left", "right", "side", "node", "sig", "items").mapInArrow(_forests, "a binary, b binary")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) for every row.
-
-    ``class_id`` is the smallest doc_id of the class; ``kept`` marks one row
-    of each class (of repeated rows with that id, all of them).
-    """
+def _classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, label, class_id, class_size) for every row."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", text_or_empty().alias("text"))
@@ -323,6 +319,47 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(links(docs, nodes))
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "n")
     totals = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = labelled.select("node", "label").join(totals, "label").select("node", "class_id", "class_size")
-    return (profiles.select("doc_id", "node").join(by_node, "node")
-            .select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+    by_node = labelled.select("node", "label").join(totals, "label")
+    return profiles.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "label", "class_id", "class_size")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, class_size, kept) for every row.
+
+    ``class_id`` is the smallest doc_id of the class; ``kept`` marks one row
+    of each class (of repeated rows with that id, all of them).
+    """
+    return _classified(docs).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without all but one of each class, columns unchanged.
+
+    Rows go by their id. The ids that go, and the ids that several rows share,
+    are written tables, so Spark joins by their real size. Rows that share an
+    id are told apart by their text, and one row of their class stays.
+    """
+    found = written(_classified(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))), "classes")
+    repeated = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "repeated")
+    gone = written(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).union(repeated).distinct(), "gone")
+    single = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
+    shared = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["id"]), "left_semi")
+    place = docs.columns.index("text")
+
+    def with_node(batches):
+        for batch in batches:
+            nodes = [_node((t or "").lower().split()) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "own node"])
+
+    rows = shared.mapInArrow(with_node, _with(docs.schema, "own node"))
+    kept = found.where("kept").select(F.col("doc_id").alias("kept id"), F.col("node").alias("kept node"), F.col("label").alias("kept label")).distinct()
+    one = (rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept id"]) & (rows["own node"] == kept["kept node"]))
+           .dropDuplicates(["kept label"]).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return single.unionByName(one)
+
+
+def _with(schema, name: str):
+    """The schema with one more binary column."""
+    from pyspark.sql import types as T
+
+    return T.StructType([*schema.fields, T.StructField(name, T.BinaryType())])

@@ -371,6 +371,23 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return scored.select("doc_id", (1 / (1 + F.exp(-value))).alias("score"))
 
 
+def reject(docs: DataFrame, model: dict) -> DataFrame:
+    """The documents that score below 0.5, columns and types unchanged."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(*(shared.value[k] for k in ("slots", "weights", "bias")))
+        curve = shared.value["curve"]
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            clean = [v < 0 for group in in_groups(texts, 1 << 20) for v in scorer.texts(group) @ curve[:-1] + curve[-1]]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     """The fold that no label may be learnt from."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
