@@ -74,7 +74,7 @@ def _encode_short(ranks_path: str, pattern: str):
         for batch in batches:
             ids = []
             for group in in_groups(strings(batch, "text")):
-                ids += cache.ids([split_units(t) if t else [] for t in group])
+                ids += cache.packed([split_units(t) if t else [] for t in group])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), int_lists(ids, pa.int32())], ["doc_id", "ids"])
 
     return run
@@ -107,13 +107,13 @@ def _encode_spans(ranks_path: str, pattern: str, chunk: int):
             ids, body = [], []
             for window, cuts, since, until, whole in zip(*(batch.column(c).to_pylist() for c in ("window", "cuts", "since", "until", "stitched"))):
                 if not whole:
-                    ids.append([])
+                    ids.append(b"")
                     body.append(window[:chunk])
                     continue
                 body.append("")
                 until = cuts[-1] if until is None else until
                 ends = [c for c in cuts if since <= c <= until]
-                ids += cache.ids([[window[a:b] for a, b in zip(ends, ends[1:])]])
+                ids += cache.packed([[window[a:b] for a, b in zip(ends, ends[1:])]])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "text_sha", "copies", "stitched", "w")), int_lists(ids, pa.int32()), pa.array(body, pa.string())],
                 ["doc_id", "text_sha", "copies", "stitched", "w", "ids", "body"])

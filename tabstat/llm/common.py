@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,63 +49,110 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def int_lists(rows: list, kind: pa.DataType) -> pa.ListArray:
-    """Lists of integers as one Arrow array without a Python object per item."""
+def int_lists(rows: list, kind: pa.DataType) -> pa.Array:
+    """Rows of integers (lists, arrays, or bytes of that kind) as one Arrow
+    array without a Python object per item."""
     import numpy as np
 
+    dtype = np.dtype(kind.to_pandas_dtype())
+    rows = [np.frombuffer(r, dtype) if isinstance(r, bytes) else np.asarray(r, dtype) for r in rows]
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+    flat = pa.array(np.concatenate(rows) if rows else np.empty(0, dtype), kind)
     if ends[-1] >= 2 ** 31:
-        return pa.array(rows, pa.list_(kind))
-    flat = np.concatenate([np.asarray(r, dtype=kind.to_pandas_dtype()) for r in rows]) if rows else np.empty(0, kind.to_pandas_dtype())
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32()), pa.array(flat, kind))
+        return pa.LargeListArray.from_arrays(pa.array(ends), flat).cast(pa.list_(kind))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
 
 
 def split_units(text: str) -> list[str]:
-    """Cut a text before every space that a non-space character follows.
+    """Cut a text at places where the byte-level pre-tokenisation pattern
+    always cuts, such that each unit alone gets the tokens it has in the text.
 
-    In the byte-level pre-tokenisation pattern such a space always opens a
-    new pre-token (``' ?X+'``), and a run of white space before it ends where
-    it would end at the end of a text. So the tokens of a text are those of
-    its units in order, and a repeated unit need be encoded only once.
+    * Before a space that a non-space character follows: such a space opens a
+      pre-token (``' ?X+'``), and a run of white space before it ends where it
+      would end at the end of a text.
+    * Between a letter and one final punctuation mark.
+    * Around a single newline between two other characters.
+
+    A repeated unit need be encoded only once.
     """
     parts = text.split(" ")
-    units = [parts[0]]
+    units: list[str] = []
+    _words(parts[0], units)
     for part in parts[1:]:
-        if part and not part[0].isspace():
+        if part.isalpha():
             units.append(" " + part)
-        else:  # a longer run of white space stays with the unit before it
+        elif part and not part[0].isspace():
+            _words(" " + part, units)
+        elif units:  # a longer run of white space stays with the unit before it
             units[-1] += " " + part
+        else:
+            units.append(" " + part)
     return units
 
 
+def _words(part: str, units: list[str]) -> None:
+    """Append the units of a piece of text without inner spaces."""
+    if "\n" in part:
+        lines = part.split("\n")
+        if all(line and not line[0].isspace() and not line[-1].isspace() for line in lines[1:]) and (not lines[0] or not lines[0][-1].isspace()) and lines[0]:
+            for k, line in enumerate(lines):
+                if k:
+                    units.append("\n")
+                _words(line, units)
+            return
+    if part and part[-1] in ",.;:!?" and part[-2:-1].isalpha():
+        units.append(part[:-1])
+        units.append(part[-1])
+    else:
+        units.append(part)
+
+
 class UnitCache:
     """Token ids of short units, kept between the batches of a worker.
 
-    ``encode_many`` encodes a list of texts. The cache is emptied when it
-    holds ``limit`` units, so memory stays bounded; results do not depend on
-    what it holds.
+    ``encode_many`` encodes a list of texts. Ids are kept as little-endian
+    32-bit bytes, so a row's ids are one join. The cache has two generations
+    of at most ``limit`` units; what is used again moves to the new one when
+    the old one goes. Memory stays bounded; results do not depend on what it
+    holds.
     """
 
-    def __init__(self, encode_many, limit: int = 300_000, longest: int = 48):
+    def __init__(self, encode_many, limit: int = 400_000, longest: int = 48):
         self.encode_many, self.limit, self.longest = encode_many, limit, longest
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def ids(self, rows: list[list[str]]) -> Iterator[list[int]]:
+    def packed(self, rows: list[list[str]]) -> list[bytes]:
         """Ids of each row of units."""
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = list({u for row in rows for u in row if u not in known})
-        fresh = dict(zip(new, map(tuple, self.encode_many(new))))
-        for u, v in fresh.items():
-            if len(u) <= self.longest:
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        found = [list(map(known.get, row)) for row in rows]
+        gaps = [(row, own, _gaps(own)) for row, own in zip(rows, found) if None in own]
+        new, long = [], []
+        for u in {row[i] for row, _, at in gaps for i in at}:
+            v = old.get(u)
+            if v is not None:
                 known[u] = v
-        for row in rows:
-            out: list[int] = []
-            for u in row:
-                v = known.get(u)
-                out += fresh[u] if v is None else v
-            yield out
+            else:
+                (new if len(u) <= self.longest else long).append(u)
+        for units in (new, long):
+            known.update(zip(units, (array("I", ids).tobytes() for ids in self.encode_many(units))))
+        for row, own, at in gaps:
+            for i in at:
+                own[i] = known[row[i]]
+        for u in long:
+            del known[u]
+        return [b"".join(own) for own in found]
+
+
+def _gaps(values: list) -> list[int]:
+    """Places of None."""
+    out, at = [], -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        out.append(at)
+    return out
 
 
 def in_groups(rows: list, most: int = 2 << 20, size=len) -> Iterator[list]:

@@ -1,14 +1,19 @@
 """Operator 3: pieces against the tokenizers library, plans against bounds."""
 
+import json
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tabstat.llm import packing
+from tabstat.llm.common import split_units
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -54,5 +59,31 @@ def test_documents(spark, odd_docs):
         assert at <= 2048
 
 
+@lru_cache(maxsize=1)
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab Zé1²٣.'s \n\t\u00a0\u3000𝄞,’ß<|>"), st.characters(exclude_categories=["Cs"])), max_size=50))
+def test_ids_are_those_of_the_library(text):
+    tokenizer = library()
+    got = packing._tokenizer(PATH).packed([split_units(text)])[0]
+    assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_use_the_library(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["model"]["merges"] = spec["model"]["merges"][:100] + spec["model"]["merges"][101:]
+    other = tmp_path / "t.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert packing._ranks(str(other)) is None and packing._ranks(PATH) is not None
+    text = "the quick brown fox, and then some."
+    got = packing._tokenizer(str(other)).packed([split_units(text)])[0]
+    assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+
+
 def test_empty_table(spark, odd_docs):
     assert packing.pack_documents(odd_docs.limit(0), PATH).collect() == []
