@@ -12,10 +12,9 @@ sources    reading and writing tables (CSV / parquet), numeric projection
 functions  Column expressions (normal cdf / quantile, bins, Box-Cox) and
            driver-side scalar special functions (t, F, chi-square tails)
 operators  the operators: clean, features, rank, profile, normality,
-           matrix, regress, sample, neighbors, evaluate, models, cluster
+           matrix, regress, sample, neighbors, evaluate, models, pruning
 plans      end-to-end compositions (classification comparison, regression
            comparison) and the query registry on the test tables
-streaming  intentionally empty: the reference has no streams
 """
 
 from tabstat.session import get_session, checkpoint_dir  # noqa: F401

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.functions.exprs import boxcox_expr
-from tabstat.operators.order_stats import _choose_method, modes, quantile_wide
+from tabstat.operators.order_stats import modes, quantile_wide
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -33,24 +33,35 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return wide.unpivot([], cols, "column", "pct_null")
 
 
-def median_values(df: DataFrame, cols: Sequence[str], method: str = "auto") -> dict:
+def median_values(df: DataFrame, cols: Sequence[str], method: str = "exact") -> dict:
     q = quantile_wide(df, cols, {"median": 0.5}, method=method).collect()
     return {r["column"]: r["median"] for r in q}
 
 
-def _fill(df: DataFrame, values: dict) -> DataFrame:
+def _known(c: str, kind: str):
+    """The column with NaN as NULL."""
+    return F.when(~F.isnan(c), F.col(c)) if kind in ("double", "float") else F.col(c)
+
+
+def _fill(df: DataFrame, values: dict, widen: bool = False) -> DataFrame:
+    """NULL and NaN replaced. ``widen``: integer columns become double."""
     types = dict(df.dtypes)
     exprs = {}
     for c, v in values.items():
         if v is None:
             continue
-        exprs[c] = F.coalesce(F.col(c), F.lit(v).cast(types[c]))
+        kind = "double" if widen and types[c] in ("tinyint", "smallint", "int", "bigint") else types[c]
+        exprs[c] = F.coalesce(_known(c, types[c]).cast(kind), F.lit(v).cast(kind))
     return df.withColumns(exprs) if exprs else df
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
-    """Fill NULL with the exact whole-column median."""
-    return _fill(df, median_values(df, cols, method))
+def impute_median(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
+    """Fill NULL and NaN with the exact whole-column median.
+
+    Integer columns become double, as the median may lie between two values;
+    a column without any value stays as it is.
+    """
+    return _fill(df, median_values(df, cols, method), widen=True)
 
 
 def mode_values(df: DataFrame, cols: Sequence[str]) -> dict:
@@ -58,12 +69,13 @@ def mode_values(df: DataFrame, cols: Sequence[str]) -> dict:
     types = dict(df.dtypes)
     out = {}
     for r in rows:
-        out[r["column"]] = r["str_value"] if types[r["column"]] == "string" else r["num_value"]
+        kind = "str_value" if types[r["column"]] == "string" else "num_value" if r["int_value"] is None else "int_value"
+        out[r["column"]] = r[kind]
     return out
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill NULL with the most frequent value (smallest on ties)."""
+    """Fill NULL and NaN with the most frequent value (smallest on ties)."""
     return _fill(df, mode_values(df, cols))
 
 
@@ -78,7 +90,7 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def iqr_table(df: DataFrame, cols: Sequence[str], decimals: int | None = 2,
-              method: str = "auto") -> DataFrame:
+              method: str = "exact") -> DataFrame:
     """(column, q1, q3, iqr) with linear-interpolated quartiles."""
     q = quantile_wide(df, cols, {"q1": 0.25, "q3": 0.75}, method=method)
     iqr = F.col("q3") - F.col("q1")
@@ -88,7 +100,7 @@ def iqr_table(df: DataFrame, cols: Sequence[str], decimals: int | None = 2,
                     F.round(iqr, decimals).alias("iqr"))
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "auto") -> dict:
+def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str = "exact") -> dict:
     rows = quantile_wide(df, cols, {"q1": 0.25, "q3": 0.75}, method=method).collect()
     out = {}
     for r in rows:
@@ -107,17 +119,16 @@ def _keep(col: str, lo, hi):
 
 
 def remove_outliers_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-                        sequential: bool = True, method: str = "auto") -> DataFrame:
+                        sequential: bool = True, method: str = "exact") -> DataFrame:
     """Keep rows with Q1 - k·IQR <= x <= Q3 + k·IQR (inclusive).
 
     ``sequential`` (the reference's behaviour): each column's quartiles are
     taken on the rows that survived the previous columns, so the result
     depends on column order. Otherwise all bounds come from one pass.
-    Rows with NULL in a filtered column are dropped.
+    Rows with NULL in a filtered column are dropped, so a column without any
+    value leaves no row.
     """
     cols = list(cols)
-    if method == "auto":
-        method = _choose_method(df, cols, [])
     if not sequential:
         bounds = iqr_bounds(df, cols, k, method)
         cond = F.lit(True)
@@ -163,8 +174,8 @@ def _power_moments(df: DataFrame, grids: dict) -> dict:
     """var_pop(x^λ) (ln x at λ = 0) for every column and λ, one pass.
 
     Each partition evaluates its whole λ grid with numpy and emits
-    (n, mean, M2) per (column, λ); the partials are merged per (column, λ)
-    with Chan's parallel update (numerically stable, no Σy² cancellation).
+    (n, mean, M2) per (column, λ); built-in aggregates merge the partials
+    about the mean of their means (numerically stable, no Σy² cancellation).
     Output rows are columns × grid points × partitions, merged by Spark.
     """
     import numpy as np
@@ -198,17 +209,15 @@ def _power_moments(df: DataFrame, grids: dict) -> dict:
         if rows:
             yield pd.concat(rows, ignore_index=True)
 
-    def merge(pdf):
-        n, m, m2 = 0, 0.0, 0.0
-        for nb, mb, m2b in zip(pdf["n"], pdf["mean"], pdf["m2"]):
-            tot = n + nb
-            delta = mb - m
-            m, m2, n = m + delta * nb / tot, m2 + m2b + delta * delta * n * nb / tot, tot
-        return pd.DataFrame({"col": [pdf["col"].iloc[0]], "g": [pdf["g"].iloc[0]], "var": [m2 / n if n else None]})
-
     schema = "col int, g long, n long, mean double, m2 double"
     parts = sel.mapInPandas(part, schema)
-    merged = parts.groupBy("col", "g").applyInPandas(merge, "col int, g long, var double").collect()
+    # Chan's update for all partials of a cell at once: their own M2, and the
+    # spread of their means about a mean of means that is close to all of them
+    near = parts.groupBy("col", "g").agg(F.avg("mean").alias("near"))
+    shifted = parts.join(near, ["col", "g"]).withColumn("d", F.col("mean") - F.col("near"))
+    merged = shifted.groupBy("col", "g").agg(
+        ((F.sum("m2") + F.sum(F.col("n") * F.col("d") * F.col("d")) - F.sum(F.col("n") * F.col("d")) * F.sum(F.col("n") * F.col("d")) / F.sum("n"))
+         / F.sum("n")).alias("var")).collect()
     out = {c: [None] * len(grids[c]) for c in cols}
     for r in merged:
         out[cols[r["col"]]][r["g"]] = r["var"]
@@ -238,7 +247,7 @@ def boxcox_lambdas(df: DataFrame, cols: Sequence[str], lo: float = -5.0, hi: flo
     for c in cols:
         m = first[f"{c}__min"]
         if m is not None and m <= 0:
-            raise ValueError(f"All values in {c} must be positive for Box-Cox transformation.")
+            raise ValueError(f"column {c!r} has values <= 0; shift it first (positive_shift)")
     grids = {c: [lo + (hi - lo) * i / (points - 1) for i in range(points)] for c in cols}
     best = {}
     narrowed = {c: 0 for c in cols}
@@ -283,5 +292,5 @@ def boxcox(df: DataFrame, cols: Sequence[str], lambdas: dict | None = None) -> t
         row = df.agg(*[F.min(c).alias(c) for c in cols]).first()
         for c in cols:
             if row[c] is not None and row[c] <= 0:
-                raise ValueError(f"All values in {c} must be positive for Box-Cox transformation.")
+                raise ValueError(f"column {c!r} has values <= 0; shift it first (positive_shift)")
     return df.withColumns({c: boxcox_expr(c, lambdas[c]) for c in cols}), lambdas

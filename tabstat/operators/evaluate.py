@@ -107,16 +107,21 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
             .agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - y).cast("double").alias("neg")))
 
 
+def _roc_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, pos, neg, pos_cum, neg_cum) at every distinct score."""
+    return prefix_sums(score_counts(df, label, score), ["threshold"], ["pos", "neg"], descending=True)
+
+
 def roc_curve(df: DataFrame, label: str, score: str, model: str | None = None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, descending.
 
     A row is "predicted positive" at threshold t when score >= t, so tied
-    scores move together. The (inf, 0, 0) start point is included.
+    scores move together. The start point (0, 0) has threshold inf and no
+    counts; a score of inf has a point of its own.
     """
-    counts = score_counts(df, label, score)
-    tot = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    cum = _roc_counts(df, label, score)
+    tot = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = float(tot["P"] or 0.0), float(tot["N"] or 0.0)
-    cum = prefix_sums(counts, ["threshold"], ["pos", "neg"], descending=True)
     pts = cum.select("threshold", (F.col("neg_cum") / F.lit(N if N else float("nan"))).alias("fpr"),
                      (F.col("pos_cum") / F.lit(P if P else float("nan"))).alias("tpr"),
                      "pos", "neg", "pos_cum", "neg_cum")
@@ -134,7 +139,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> float:
 
 def roc_auc_frame(df: DataFrame, label: str, score: str) -> DataFrame:
     """AUC = Σ_t neg_t · (tp_t - pos_t/2) / (P·N), tp_t inclusive at t."""
-    cum = roc_curve(df, label, score).where(F.col("threshold") != float("inf"))
+    cum = _roc_counts(df, label, score)
     return cum.agg((F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0))
                     / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
@@ -162,3 +167,52 @@ def compare_roc(scored: Mapping[str, DataFrame], label: str, score: str = "score
         out = c if out is None else out.unionByName(c)
     return out
 
+
+def compare_scored(scored: DataFrame, model: str = "model", label: str = "label", score: str = "score",
+                   pred: str = "pred", decimals: int | None = 4) -> DataFrame:
+    """E6 from one long frame: a row per model with metrics and exact AUC.
+
+    One aggregate for the counts of all models, one prefix sum over
+    (model, score) for all AUCs.
+    """
+    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    c = scored.groupBy(model).agg(*[F.sum(F.when((y == a) & (p == b), 1).otherwise(0)).cast("long").alias(k) for k, (a, b) in cells.items()])
+    tn, fp, fn, tp = (F.col(k).cast("double") for k in cells)
+    prec, rec = safe_div(tp, tp + fp, 0.0), safe_div(tp, tp + fn, 0.0)
+    values = {"accuracy": safe_div(tp + tn, tp + tn + fp + fn, 0.0), "precision": prec, "recall": rec,
+              "f1": safe_div(2 * prec * rec, prec + rec, 0.0), "specificity": safe_div(tn, tn + fp, 0.0)}
+    counts = (scored.where(F.col(score).isNotNull() & y.isNotNull())
+              .groupBy(F.col(model), F.col(score).cast("double").alias("threshold"))
+              .agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - y).cast("double").alias("neg")))
+    cum = prefix_sums(counts, [model, "threshold"], ["pos"], descending=True)
+    area = cum.groupBy(F.col(model).alias("_m")).agg(
+        F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)).alias("a"), F.min(F.col("pos_cum") - F.col("pos")).alias("s"),
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    auc = area.select("_m", safe_div(F.col("a") - F.col("s") * F.col("n"), F.col("p") * F.col("n")).alias("auc"))
+    rnd = (lambda e: F.round(e, decimals)) if decimals is not None else (lambda e: e)
+    return (c.join(auc, F.col(model).eqNullSafe(F.col("_m")))
+            .select(model, *[rnd(v).alias(k) for k, v in values.items()], *cells, rnd(F.col("auc")).alias("auc")))
+
+
+def roc_long(scored: DataFrame, model: str = "model", label: str = "label", score: str = "score") -> DataFrame:
+    """(model, threshold, fpr, tpr) of all models and the chance line.
+
+    Every curve has its start point (threshold inf); ``baseline`` is the
+    diagonal of a score that knows nothing.
+    """
+    y = F.col(label).cast("int")
+    counts = (scored.where(F.col(score).isNotNull() & y.isNotNull())
+              .groupBy(F.col(model).alias("model"), F.col(score).cast("double").alias("threshold"))
+              .agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - y).cast("double").alias("neg")))
+    cum = prefix_sums(counts, ["model", "threshold"], ["pos", "neg"], descending=True)
+    total = cum.groupBy(F.col("model").alias("_m")).agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min(F.col("pos_cum") - F.col("pos")).alias("p0"),
+        F.min(F.col("neg_cum") - F.col("neg")).alias("n0"))
+    points = cum.join(total, F.col("model") == F.col("_m")).select(
+        "model", "threshold", safe_div(F.col("neg_cum") - F.col("n0"), F.col("n")).alias("fpr"),
+        safe_div(F.col("pos_cum") - F.col("p0"), F.col("p")).alias("tpr"))
+    inf, zero = F.lit(float("inf")), F.lit(0.0)
+    starts = total.select(F.col("_m").alias("model"), inf.alias("threshold"), zero.alias("fpr"), zero.alias("tpr"))
+    ends = scored.sparkSession.createDataFrame([("baseline", float("inf"), 0.0, 0.0), ("baseline", 0.0, 1.0, 1.0)], points.schema)
+    return starts.unionByName(points).unionByName(ends)

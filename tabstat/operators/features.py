@@ -225,7 +225,7 @@ def sample_unit_sql(key_sql: str, seed: int) -> str:
     return f"(((({k} * 2654435761 + {seed * 40503}) % 4294967296) + 4294967296) % 4294967296) / 4294967296.0"
 
 
-def point_sample(df: DataFrame, cols: Sequence[str], key: str, fraction: float, seed: int = 5805,
+def point_sample(df: DataFrame, cols: Sequence[str], key: str, fraction: float, seed: int = 1729,
                  by: Sequence[str] = ()) -> DataFrame:
     """Raw points for scatter/pair/strip plots, bounded by a hash sample.
 

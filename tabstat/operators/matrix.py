@@ -1,11 +1,11 @@
 """M1-M5: Gramian, singular values, condition number, PCA.
 
-``gramian`` reduces a table to the p×p moment matrices in one scan: raw
-cross products (for no-intercept fits, VIF and the uncentred SVD) and
-centred co-moments computed by Spark's numerically stable ``covar_pop``
-(for intercept fits and PCA). Only the p×p matrices reach the driver. For
-wide inputs (p > ``WIDE_P``) each partition forms its block XᵀX with numpy
-inside an Arrow batch and the blocks are summed by a grouped aggregate.
+``gramian`` reduces a table of any width to the p×p moment matrices in two
+scans: the column means first, then the cross products of the columns shifted
+by those means, formed block by block with numpy inside Arrow batches and
+summed by a grouped aggregate. Shifted columns are centred up to the rounding
+of the means, so nothing cancels however large the means are. The raw moments
+follow from the centred ones. Only the p×p matrices reach the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDE_P = 40
-
 
 @dataclass
 class Gram:
@@ -37,72 +35,69 @@ class Gram:
         return Gram(list(names), self.n, self.mean[ix], self.raw[np.ix_(ix, ix)], self.centred[np.ix_(ix, ix)])
 
 
-def _gram_agg(df: DataFrame, cols: list[str]) -> Gram:
-    p = len(cols)
-    x = [F.col(c).cast("double") for c in cols]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(x[i]).alias(f"m{i}") for i in range(p)]
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(x[i] * x[j]).alias(f"r{i}_{j}"))
-            aggs.append(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}"))
-    row = df.agg(*aggs).first()
-    n = int(row["n"])
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(p)], dtype=float)
-    raw = np.zeros((p, p))
-    cen = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            raw[i, j] = raw[j, i] = row[f"r{i}_{j}"] or 0.0
-            cen[i, j] = cen[j, i] = (row[f"c{i}_{j}"] or 0.0) * n
-    return Gram(cols, n, mean, raw, cen)
-
-
-def _gram_blocks(df: DataFrame, cols: list[str]) -> Gram:
-    """Wide p: per-partition numpy blocks, summed by (i, j)."""
+def gramian(df: DataFrame, cols: Sequence[str]) -> Gram:
+    """M1: n, means, XᵀX and centred co-moments (rows with a NULL or NaN in
+    any column are dropped first)."""
+    cols = list(cols)
     p = len(cols)
-    sel = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     names = [f"x{i}" for i in range(p)]
+    sel = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(cols, names)]).na.drop()
+    row = sel.agg(*[F.avg(x).alias(x) for x in names]).first()
+    shift = np.array([row[x] or 0.0 for x in names])
+    ii, jj = np.triu_indices(p)
 
     def block(batches):
-        n = 0
-        s = np.zeros(p)
-        xx = np.zeros((p, p))
+        n, s, xx = 0, np.zeros(p), np.zeros((p, p))
         for pdf in batches:
-            a = pdf[names].to_numpy(dtype=float)
+            a = pdf[names].to_numpy(dtype=float) - shift
             n += a.shape[0]
             s += a.sum(axis=0)
             xx += a.T @ a
-        ii, jj = np.triu_indices(p)
-        rows = {"i": np.r_[ii, np.full(p, -1), [-2]], "j": np.r_[jj, np.arange(p), [-2]],
-                "v": np.r_[xx[ii, jj], s, [float(n)]]}
-        yield pd.DataFrame(rows)
-
-    parts = sel.mapInPandas(block, "i long, j long, v double")
-    tot = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    raw = np.zeros((p, p))
-    s = np.zeros(p)
-    n = 0
+        yield pd.DataFrame({"i": np.r_[ii, np.full(p, -1), [-2]], "j": np.r_[jj, np.arange(p), [-2]],
+                            "v": np.r_[xx[ii, jj], s, [float(n)]]})
+
+    tot = sel.mapInPandas(block, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    about, s, n = np.zeros((p, p)), np.zeros(p), 0
     for r in tot:
         if r["i"] == -2:
             n = int(r["v"])
         elif r["i"] == -1:
             s[r["j"]] = r["v"]
         else:
-            raw[r["i"], r["j"]] = raw[r["j"], r["i"]] = r["v"]
-    mean = s / n if n else s
-    cen = raw - n * np.outer(mean, mean)
-    return Gram(cols, n, mean, raw, cen)
+            about[r["i"], r["j"]] = about[r["j"], r["i"]] = r["v"]
+    off = s / n if n else s
+    centred = about - n * np.outer(off, off)
+    mean = shift + off
+    return Gram(cols, n, mean, centred + n * np.outer(mean, mean), centred)
 
 
-def gramian(df: DataFrame, cols: Sequence[str], method: str = "auto") -> Gram:
-    """M1: n, means, XᵀX and centred co-moments in one pass (rows with a
-    NULL in any column are dropped first)."""
+def cross_products(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """M1 as a table: (x, y, value) of XᵀX by plain sums of products, and the
+    row count as ('n', 'n'). One aggregate of p²/2 sums, for narrow tables;
+    ``gramian`` is the one for fits."""
     cols = list(cols)
-    d = df.na.drop(subset=cols)
-    if method == "auto":
-        method = "agg" if len(cols) <= WIDE_P else "blocks"
-    return _gram_agg(d, cols) if method == "agg" else _gram_blocks(d, cols)
+    sel = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).na.drop()
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    wide = sel.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit("n").alias("x"), F.lit("n").alias("y"), F.col("n").alias("value"))]
+    for i, j in pairs:
+        for a, b in {(i, j), (j, i)}:
+            cells.append(F.struct(F.lit(cols[a]).alias("x"), F.lit(cols[b]).alias("y"), F.col(f"s{i}_{j}").alias("value")))
+    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A moment matrix at unit diagonal, the scale of its columns, its rank.
+
+    The rank of columns with very different units is judged on the scaled
+    matrix; a column without any variation counts as dependent.
+    """
+    d = np.sqrt(np.clip(np.diag(a), 0.0, None))
+    d = np.where(d > 0, d, 1.0)
+    unit = a / np.outer(d, d)
+    ev = np.linalg.eigvalsh(unit) if len(a) else np.zeros(0)
+    rank = int((ev > len(a) * np.finfo(float).eps * max(ev.max(initial=0.0), 1.0)).sum())
+    return unit, d, rank
 
 
 def singular_values(g: Gram) -> np.ndarray:

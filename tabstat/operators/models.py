@@ -39,11 +39,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 30  # MLlib's hard limit for trees
@@ -82,7 +82,7 @@ def logistic(train: DataFrame, label: str = "label", features: str = "features",
 
 def decision_tree(train: DataFrame, label: str = "label", features: str = "features", max_depth: int = MAX_DEPTH,
                   min_instances: int = 1, impurity: str = "gini", weight_col: str | None = None,
-                  max_bins: int = 32, seed: int = 5805) -> Model:
+                  max_bins: int = 32, seed: int = 1729) -> Model:
     """(nearly) fully grown tree, depth capped at 30."""
     dt = DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=min(max_depth, MAX_DEPTH),
                                 minInstancesPerNode=min_instances, impurity=impurity, maxBins=max_bins, seed=seed)
@@ -92,10 +92,10 @@ def decision_tree(train: DataFrame, label: str = "label", features: str = "featu
 
 
 def tree_ensemble_importance(train: DataFrame, names: Sequence[str], label: str = "label",
-                             features: str = "features", num_trees: int = 100, seed: int = 5805) -> list[tuple]:
+                             features: str = "features", num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 1729) -> list[tuple]:
     """Importances of an unbootstrapped sqrt-feature forest, sorted."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees, bootstrap=False,
-                                featureSubsetStrategy="sqrt", maxDepth=12, seed=seed).fit(train)
+                                featureSubsetStrategy="sqrt", maxDepth=min(max_depth, MAX_DEPTH), seed=seed).fit(train)
     imp = rf.featureImportances.toArray()
     return sorted(zip(names, map(float, imp)), key=lambda t: -t[1])
 
@@ -104,7 +104,7 @@ def pre_pruned_tree_search(train: DataFrame, fold_col: str = "fold", label: str
                            features: str = "features", max_depth=(3, 5, 8), min_instances=(1, 5),
                            max_features=("all", "sqrt"), impurity=("gini", "entropy"),
                            weights: Mapping[str, Mapping[int, float] | None] | None = None,
-                           parallelism: int = 4, seed: int = 5805):
+                           parallelism: int = 4, seed: int = 1729):
     """Grid over depth, min leaf size, max features, criterion and class
     weights of a single tree (a one-tree forest without bootstrap exposes
     max-features). Each weighting is its own weight column; returns
@@ -135,8 +135,8 @@ def pre_pruned_tree_search(train: DataFrame, fold_col: str = "fold", label: str
 
 
 def random_forest(train: DataFrame, label: str = "label", features: str = "features", num_trees: int = 100,
-                  max_depth: int = 12, min_instances: int = 1, weight_col: str | None = None,
-                  seed: int = 5805, **kw) -> Model:
+                  max_depth: int = MAX_DEPTH, min_instances: int = 1, weight_col: str | None = None,
+                  seed: int = 1729, **kw) -> Model:
     """Random forest classifier (unlimited depth maps to 30)."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
                                 maxDepth=min(max_depth, MAX_DEPTH), minInstancesPerNode=min_instances, seed=seed, **kw)
@@ -147,7 +147,7 @@ def random_forest(train: DataFrame, label: str = "label", features: str = "featu
 
 def boosted_trees(train: DataFrame, label: str = "label", features: str = "features", max_iter: int = 50,
                   max_depth: int = 3, step_size: float = 0.1, subsampling: float = 1.0,
-                  feature_subset: str = "all", weight_col: str | None = None, seed: int = 5805) -> Model:
+                  feature_subset: str = "all", weight_col: str | None = None, seed: int = 1729) -> Model:
     """Gradient-boosted trees (scale_pos_weight -> a weight column)."""
     gbt = GBTClassifier(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step_size, subsamplingRate=subsampling, featureSubsetStrategy=feature_subset,
@@ -185,7 +185,7 @@ class KernelMap:
 
 
 def kernel_map(kind: str, dim: int, gamma: float | str = "scale", n_components: int = 100,
-               variance: float = 1.0, seed: int = 5805) -> KernelMap:
+               variance: float = 1.0, seed: int = 1729) -> KernelMap:
     """rbf: Rahimi-Recht features for exp(-γ‖x-y‖²); gamma 'scale' =
     1/(d·var), 'auto' = 1/d."""
     if kind in ("linear", "poly"):
@@ -211,15 +211,32 @@ def svm(train: DataFrame, label: str = "label", features: str = "features", C: f
     return svc.fit(train)
 
 
+def mean_variance(df: DataFrame, features: str = "features") -> float:
+    """Variance of all entries of a vector column, for gamma = 'scale'."""
+    entry = F.explode(vector_to_array(F.col(features))).alias("_x")
+    return float(df.select(entry).agg(F.var_pop("_x")).first()[0] or 0.0)
+
+
 def platt(model: Model, train: DataFrame, label: str = "label") -> Model:
     """Platt scaling: a 1-D logistic fit of the label on the SVM margin."""
-    scored = model.transform(train).withColumn("_margin", vector_to_array("rawPrediction")[1])
-    data = VectorAssembler(inputCols=["_margin"], outputCol="_mf").transform(scored)
-    return LogisticRegression(featuresCol="_mf", labelCol=label, regParam=0.0).fit(data)
+    data = _margin(model.transform(train))
+    return LogisticRegression(featuresCol="_mf", labelCol=label, regParam=0.0, predictionCol="_p", rawPredictionCol="_r",
+                              probabilityCol="_pp").fit(data)
+
+
+def platt_scores(scaler: Model, scored: DataFrame, out: str = "score") -> DataFrame:
+    """The probability of class 1 for rows an SVM has scored."""
+    done = scaler.transform(_margin(scored)).withColumn(out, vector_to_array("_pp")[1])
+    return done.drop("_mf", "_margin", "_p", "_r", "_pp")
+
+
+def _margin(scored: DataFrame) -> DataFrame:
+    wide = scored.withColumn("_margin", vector_to_array("rawPrediction")[1])
+    return VectorAssembler(inputCols=["_margin"], outputCol="_mf").transform(wide)
 
 
 def neural_net(train: DataFrame, n_features: int, label: str = "label", features: str = "features",
-               hidden: Sequence[int] = (64, 32), max_iter: int = 50, seed: int = 5805,
+               hidden: Sequence[int] = (64, 32), max_iter: int = 50, seed: int = 1729,
                initial_weights=None) -> Model:
     """Dense network d-64-32-2 (sigmoid hidden layers, L-BFGS)."""
     mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label,
@@ -230,7 +247,7 @@ def neural_net(train: DataFrame, n_features: int, label: str = "label", features
 
 
 def learning_curve(train: DataFrame, valid: DataFrame, n_features: int, label: str = "label",
-                   features: str = "features", epochs: Sequence[int] = (5, 10, 20, 50), seed: int = 5805) -> list:
+                   features: str = "features", epochs: Sequence[int] = (5, 10, 20, 50), seed: int = 1729) -> list:
     """Accuracy and log-loss on train and validation after rising
     iteration counts, each fit warm-started from the previous weights."""
     rows = []
@@ -255,7 +272,7 @@ def learning_curve(train: DataFrame, valid: DataFrame, n_features: int, label: s
 
 def grid_search(estimator: Estimator, grid: Mapping[str, Sequence], train: DataFrame, fold_col: str = "fold",
                 label: str = "label", parallelism: int = 4, max_points: int | None = None,
-                seed: int = 5805) -> tuple[Model, dict, float, list]:
+                seed: int = 1729) -> tuple[Model, dict, float, list]:
     """H1: k-fold accuracy over a parameter grid (folds from ``fold_col``).
 
     Returns (model refit on all of train, best params, best mean accuracy,
@@ -295,16 +312,21 @@ def cross_validate(fit, df: DataFrame, fold_col: str = "fold", label: str = "lab
 
 # --- U1 / U2 ------------------------------------------------------------------
 
-def kmeans(train: DataFrame, k: int, features: str = "features", seed: int = 5805, max_iter: int = 20) -> Model:
+def kmeans(train: DataFrame, k: int, features: str = "features", seed: int = 1729, max_iter: int = 20) -> Model:
     """K-means (k-means|| initialisation)."""
     return KMeans(featuresCol=features, k=k, seed=seed, maxIter=max_iter).fit(train)
 
 
 def elbow_curve(train: DataFrame, ks: Sequence[int] = range(2, 10), features: str = "features",
-                seed: int = 5805) -> list[tuple[int, float]]:
-    """Within-cluster sum of squares for each k (cache the input)."""
-    return [(int(k), float(kmeans(train, k, features, seed).summary.trainingCost)) for k in ks]
-
-
-def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> Column:
-    return F.avg((F.col(prediction) == F.col(label)).cast("double"))
+                seed: int = 1729, silhouette: bool = False) -> list[tuple]:
+    """Within-cluster sum of squares for each k (cache the input), with
+    the squared-Euclidean silhouette of each clustering if asked for."""
+    rows = []
+    for k in ks:
+        model = kmeans(train, k, features, seed)
+        row = (int(k), float(model.summary.trainingCost))
+        if silhouette:
+            score = ClusteringEvaluator(featuresCol=features, predictionCol="prediction")
+            row += (float(score.evaluate(model.transform(train))),)
+        rows.append(row)
+    return rows

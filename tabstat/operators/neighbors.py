@@ -5,9 +5,9 @@ pairs as rows:
 
 * every query row gets a query block ``qb = xxhash64(id) mod Q`` and every
   reference row a block ``tb = xxhash64(id) mod T``; T and Q come from the
-  counted row numbers, capped at ``MAX_BLOCKS`` so the replication factor
-  (shuffle volume n·Q + m·T) stays bounded as the table grows, while each
-  task computes its block in ``CHUNK_ROWS`` query slices (bounded memory);
+  counted row numbers and a fixed block size, so a task holds two blocks of
+  about ``BLOCK_ROWS`` rows and a ``CHUNK_ROWS`` x ``BLOCK_ROWS`` slice of
+  distances at any size; the shuffle carries n·Q + m·T rows;
 * query rows are replicated once per reference block and reference rows
   once per query block (an equi-join key, not a cross join), so each
   (tb, qb) cell is one cogroup task holding two bounded blocks;
@@ -29,8 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048      # smallest block; blocks grow with n so that ...
-MAX_BLOCKS = 64        # ... each side is split into at most this many blocks
+BLOCK_ROWS = 8192      # rows of a block, whatever the size of the table
 CHUNK_ROWS = 1024      # query rows per distance matrix inside a cell
 
 
@@ -45,12 +44,9 @@ def vector_column(df: DataFrame, features: str | Sequence[str]) -> Column:
 
 
 def _blocks(n: int, block_rows: int | None) -> int:
-    """Number of blocks: block_rows given -> ceil(n / block_rows); default ->
-    blocks of at least BLOCK_ROWS rows and at most MAX_BLOCKS blocks, so the
-    replication factor (and shuffle volume n·Q + m·T) stays bounded."""
-    if block_rows is not None:
-        return max(1, math.ceil(n / block_rows))
-    return max(1, min(MAX_BLOCKS, math.ceil(n / BLOCK_ROWS)))
+    """Number of blocks of about ``block_rows`` rows: what a task holds does
+    not depend on n, the number of tasks does."""
+    return max(1, math.ceil(n / (block_rows or BLOCK_ROWS)))
 
 
 def _block_of(col: str, nblocks: int, seed: int) -> Column:

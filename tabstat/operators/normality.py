@@ -107,7 +107,7 @@ def ks_statistic(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), sta
 def ks_test(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), standardize: bool = False) -> DataFrame:
     """Statistic plus p-value (Kolmogorov distribution, driver scalar)."""
     stat = ks_statistic(df, cols, by, standardize).collect()
-    rows = [(*[r[b] for b in by], r["column"], "K-S Test", float(r["statistic"]),
+    rows = [(*[r[b] for b in by], r["column"], "kolmogorov-smirnov", float(r["statistic"]),
              kolmogorov_sf(float(r["statistic"]), int(r["n"]))) for r in stat]
     return _report(df, rows, by)
 
@@ -190,7 +190,7 @@ def shapiro_test(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     rows = []
     for r in sums:
         w, p = shapiro_w(r)
-        rows.append((*[r[b] for b in by], r["column"], "Shapiro Test", w, p))
+        rows.append((*[r[b] for b in by], r["column"], "shapiro-wilk", w, p))
     return _report(df, rows, by)
 
 
@@ -242,7 +242,7 @@ def dagostino_sql(n_sql: str = "n", b1_sql: str = "b1", b2_sql: str = "b2"):
 
 def dagostino_test(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     k = dagostino_k2(df, cols, by).collect()
-    rows = [(*[r[b] for b in by], r["column"], "da_k_squared Test", r["k2"],
+    rows = [(*[r[b] for b in by], r["column"], "dagostino-k2", r["k2"],
              chi2_sf(r["k2"], 2) if r["k2"] is not None else None) for r in k]
     return _report(df, rows, by)
 
@@ -287,11 +287,11 @@ def normality_report(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
         for r in normality_stats(frame, cols, by).collect():
             key = [r[b] for b in by]
             w, p_sw = shapiro_w(r)
-            rows.append((*key, r["column"], "K-S Test", float(r["ks_d"]),
+            rows.append((*key, r["column"], "kolmogorov-smirnov", float(r["ks_d"]),
                          kolmogorov_sf(float(r["ks_d"]), int(r["n"])), flag))
-            rows.append((*key, r["column"], "Shapiro Test", w, p_sw, flag))
+            rows.append((*key, r["column"], "shapiro-wilk", w, p_sw, flag))
             k2 = r["k2"]
-            rows.append((*key, r["column"], "da_k_squared Test", k2, chi2_sf(k2, 2) if k2 is not None else None,
+            rows.append((*key, r["column"], "dagostino-k2", k2, chi2_sf(k2, 2) if k2 is not None else None,
                          flag))
     types = dict(df.dtypes)
     schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["column string", "test string", "statistic double",

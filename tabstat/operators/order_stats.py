@@ -1,23 +1,12 @@
 """Exact quantiles and modes that stay bounded per task.
 
 Quantiles use linear interpolation at h = (n-1)p (numpy's default, DuckDB's
-``quantile_cont``). Two exact plans, chosen after a cheap check:
-
-* ``hash``: Spark's ``percentile`` aggregate, one pass with partial
-  aggregation; its buffer is a value -> count map, so it is chosen only when
-  every (group, column) has at most ``HASH_DISTINCT_LIMIT`` distinct values
-  (checked with ``approx_count_distinct`` in a first pass);
-* ``bracket`` (high cardinality): a ``percentile_approx`` pass brackets each
-  target rank between the sketch values at p ± 2/A (A = accuracy, whose
-  rank error bound is n/A); a second pass counts the rows below each
-  bracket and keeps only the rows inside it, collapsed to (value, count) so
-  a heavy value is one row; an exact prefix sum over those few distinct
-  values locates the order statistics. Nothing but the bracket contents is
-  sorted. If a bracket misses its target (it cannot under the sketch's
-  guarantee) the ``rank`` plan is used instead;
-* ``rank``: all columns melted into one long frame, ranked once by
-  :func:`global_rank` (one range shuffle), and only the two rows around each
-  quantile position are kept.
+``quantile_cont``). One plan at every size: values are collapsed to
+(group, column, value, count) with map-side partial aggregation, a distributed
+prefix sum over the distinct values gives each value's range of ranks, and the
+values whose ranges hold the wanted ranks are picked by one aggregate. No
+value list is held in one task or on the driver. NaN counts as missing; a
+column or group without values has NULL quantiles.
 
 ``approx`` uses ``percentile_approx`` (GK sketch, bounded memory, one pass).
 """
@@ -29,9 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabstat.operators.rank import _as_list, global_rank
-
-HASH_DISTINCT_LIMIT = 1_000_000
+from tabstat.operators.rank import _as_list
 
 
 def melt_values(df: DataFrame, cols: Sequence[str], by=None, var: str = "column",
@@ -41,123 +28,58 @@ def melt_values(df: DataFrame, cols: Sequence[str], by=None, var: str = "column"
     wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     long = wide.unpivot(by or [], list(cols), var, val)
     if dropna:
-        long = long.where(F.col(val).isNotNull())
+        long = long.where(F.col(val).isNotNull() & ~F.isnan(val))
     return long
 
 
-def _choose_method(df: DataFrame, cols, by) -> str:
-    aggs = [F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]
-    if by:
-        stats = df.groupBy(*by).agg(*aggs).agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(cols))])
-    else:
-        stats = df.agg(*aggs)
-    row = stats.first()
-    worst = max((row[f"d{i}"] or 0) for i in range(len(cols))) if row else 0
-    return "hash" if worst <= HASH_DISTINCT_LIMIT else "bracket"
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by=None,
-              method: str = "auto", accuracy: int = 100_000) -> DataFrame:
+              method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """Long table (by..., column, prob, value) of per-column quantiles."""
     cols = list(cols)
     by = _as_list(by)
     probs = [float(p) for p in probs]
-    if method == "auto":
-        method = _choose_method(df, cols, by)
-    if method in ("hash", "approx"):
-        if method == "hash":
-            aggs = [F.percentile(F.col(c).cast("double"), probs).alias(c) for c in cols]
-        else:
-            aggs = [F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]
+    if method == "approx":
+        aggs = [F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), probs, accuracy).alias(c) for c in cols]
         wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
         long = wide.unpivot(by or [], cols, "column", "_q")
-        prob_arr = F.array(*[F.lit(p) for p in probs])
-        return (long.select(*by, "column", F.arrays_zip(prob_arr.alias("prob"), F.col("_q").alias("value")).alias("_z"))
-                .select(*by, "column", F.explode("_z").alias("_z"))
-                .select(*by, "column", F.col("_z.prob").alias("prob"), F.col("_z.value").alias("value")))
-    if method == "bracket":
-        out = _bracket_quantiles(df, cols, probs, by, accuracy)
-        if out is not None:
-            return out
-        method = "rank"
-    if method != "rank":
+    elif method == "exact":
+        long = _exact(df, cols, probs, by)
+    else:
         raise ValueError(f"unknown quantile method {method!r}")
-    long = melt_values(df, cols, by)
-    keys = [*by, "column"]
-    ranked = global_rank(long, ["value"], by=keys, rank_col="_r", group_size_col="_n")
-    prob_arr = F.array(*[F.lit(p) for p in probs])
-    # positions (1-based) that any requested quantile needs
-    pos = ranked.select(*keys, "value", "_r", "_n",
-                        F.explode(prob_arr).alias("prob"))
-    h = (F.col("_n") - 1) * F.col("prob")
-    lo = F.floor(h) + 1
-    pos = pos.where((F.col("_r") == lo) | (F.col("_r") == lo + 1))
-    out = pos.groupBy(*keys, "prob").agg(
-        F.max(F.when(F.col("_r") == lo, F.col("value"))).alias("_lo"),
-        F.max(F.when(F.col("_r") == lo + 1, F.col("value"))).alias("_hi"),
-        F.first(h - F.floor(h)).alias("_f"))
-    val = F.when(F.col("_hi").isNull() | (F.col("_f") == 0), F.col("_lo")) \
-        .otherwise(F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo")))
-    return out.select(*keys, "prob", val.alias("value"))
-
-
-def _bracket_quantiles(df: DataFrame, cols, probs, by, accuracy: int):
-    """Exact quantiles from sketch brackets (see module docstring).
-
-    Returns None when a bracket does not contain its target ranks.
-    """
+    probabilities = F.array(*[F.lit(p) for p in probs])
+    return long.select(*by, "column", F.posexplode(probabilities).alias("_j", "prob"), "_q").select(
+        *by, "column", "prob", F.get("_q", F.col("_j")).alias("value"))
+
+
+def _exact(df: DataFrame, cols, probs, by) -> DataFrame:
+    """(by..., column, _q array) from collapsed values (module docstring)."""
     from tabstat.operators.evaluate import prefix_sums
-    from tabstat.operators.rank import broadcast_if_small
 
     keys = [*by, "column"]
-    long = melt_values(df, cols, by)
-    eps = 2.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
-    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                     F.percentile_approx("value", lo_p + hi_p, accuracy).alias("_b"))
-    k = len(probs)
-    br = sketch.select(*keys, "_n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_j", "prob"),
-                       "_b")
-    br = br.select(*keys, "_n", "prob", F.element_at("_b", F.col("_j") + 1).alias("_lo"),
-                   F.element_at("_b", F.col("_j") + 1 + k).alias("_hi"))
-    h = (F.col("_n") - 1) * F.col("prob")
-    br = br.withColumns({"_r1": F.floor(h) + 1, "_f": h - F.floor(h)})
-    small, _ = broadcast_if_small(br)
-    joined = long.join(small, on=keys, how="inner")
-    below = joined.groupBy(*keys, "prob").agg(
-        F.sum(F.when(F.col("value") < F.col("_lo"), 1).otherwise(0)).alias("_below"))
-    inside = (joined.where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
-              .groupBy(*keys, "prob", "value").agg(F.count(F.lit(1)).alias("_c")))
-    # running count of the distinct bracket values, in (keys, prob, value) order
-    cum = prefix_sums(inside.withColumn("_grp", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys],
-                                                             F.col("prob").cast("string"))),
-                      ["_grp", "value"], ["_c"])
-    grp_start = cum.groupBy("_grp").agg(F.min(F.col("_c_cum") - F.col("_c")).alias("_g0"))
-    cum = cum.join(grp_start, "_grp").withColumn("_cum", F.col("_c_cum") - F.col("_g0"))
-    info = small.join(below, on=[*keys, "prob"], how="left")
-    pos = cum.join(info.select(*keys, "prob", "_r1", "_f", "_n", "_below"), on=[*keys, "prob"])
-    t1 = F.col("_r1") - F.col("_below")           # rank inside the bracket (1-based)
-    t2 = F.least(F.col("_r1") + 1, F.col("_n")) - F.col("_below")
-    picked = pos.groupBy(*keys, "prob").agg(
-        F.min(F.when(F.col("_cum") >= t1, F.col("value"))).alias("_v1"),
-        F.min(F.when(F.col("_cum") >= t2, F.col("value"))).alias("_v2"),
-        F.max("_cum").alias("_inside"), F.first("_below").alias("_below"), F.first("_r1").alias("_r1"),
-        F.first("_n").alias("_n"), F.first("_f").alias("_f"))
-    rows = picked.collect()
-    if len(rows) != br.count() or any(
-            r["_v1"] is None or r["_v2"] is None or r["_below"] >= r["_r1"]
-            or r["_below"] + r["_inside"] < min(r["_r1"] + 1, r["_n"]) for r in rows):
-        return None
-    out = [(*[r[c] for c in keys], float(r["prob"]),
-            float(r["_v1"] + r["_f"] * (r["_v2"] - r["_v1"])) if r["_f"] else float(r["_v1"])) for r in rows]
-    types = dict(df.dtypes)
-    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["column string", "prob double", "value double"])
-    return df.sparkSession.createDataFrame(out, schema)
+    counted = melt_values(df, cols, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(counted, [*keys, "value"], ["_c"])
+    totals = cum.groupBy(*keys).agg(F.min(F.col("_c_cum") - F.col("_c")).alias("_before"), F.sum("_c").alias("_n"))
+    # every group and column has a row, also those without values
+    groups = (df.select(*by).distinct() if by else df.sparkSession.range(1)).select(
+        *by, F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+    placed = cum.alias("_l").join(totals.alias("_r"), same).select(
+        *[F.col(f"_l.{k}") for k in keys], "value", (F.col("_c_cum") - F.col("_before")).alias("_to"), "_n")
+    picks = []
+    for j, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
+        low = F.floor(h) + 1
+        picks += [F.min(F.when(F.col("_to") >= low, F.col("value"))).alias(f"_a{j}"),
+                  F.min(F.when(F.col("_to") >= F.least(low + 1, F.col("_n")), F.col("value"))).alias(f"_b{j}"),
+                  F.first(h - F.floor(h)).alias(f"_f{j}")]
+    picked = placed.groupBy(*keys).agg(*picks)
+    value = [F.when(F.col(f"_f{j}") == 0, F.col(f"_a{j}")).otherwise(
+        F.col(f"_a{j}") + F.col(f"_f{j}") * (F.col(f"_b{j}") - F.col(f"_a{j}"))) for j in range(len(probs))]
+    return groups.alias("_l").join(picked.alias("_r"), same, "left").select(*[F.col(f"_l.{k}") for k in keys], F.array(*value).alias("_q"))
 
 
 def quantile_wide(df: DataFrame, cols: Sequence[str], probs: dict[str, float], by=None,
-                  method: str = "auto") -> DataFrame:
+                  method: str = "exact") -> DataFrame:
     """One row per (by..., column) with a column per named probability."""
     by = _as_list(by)
     names = list(probs)
@@ -167,27 +89,28 @@ def quantile_wide(df: DataFrame, cols: Sequence[str], probs: dict[str, float], b
 
 
 def modes(df: DataFrame, cols: Sequence[str], by=None) -> DataFrame:
-    """Most frequent non-null value per column; ties -> smallest value.
+    """Most frequent value per column (NULL and NaN aside); ties -> smallest.
 
-    One shuffle for all columns: melt to (column, number, text), count each
-    value (partial aggregation absorbs hot values), keep the first of
-    (count desc, value asc) with a ``min(struct)`` aggregate. Output:
-    (by..., column, num_value double, str_value string, count long).
+    One shuffle for all columns: melt to (column, value in its own kind),
+    count each value (partial aggregation absorbs hot values), keep the first
+    of (count desc, value asc) with a ``min(struct)`` aggregate. Output:
+    (by..., column, num_value double, int_value decimal, str_value string,
+    count long); ``int_value`` is exact for integers of any size.
     """
     by = _as_list(by)
     types = dict(df.dtypes)
+    whole = "decimal(38,0)"
     parts = []
     for c in cols:
-        is_str = types[c] == "string"
-        parts.append(F.struct(
-            F.lit(c).alias("column"),
-            (F.lit(None).cast("double") if is_str else F.col(c).cast("double")).alias("num"),
-            (F.col(c) if is_str else F.lit(None).cast("string")).alias("txt"),
-            F.col(c).isNull().alias("isnull")))
-    long = df.select(*by, F.explode(F.array(*parts)).alias("_m")).select(*by, "_m.*")
-    long = long.where(~F.col("isnull"))
-    counted = long.groupBy(*by, "column", "num", "txt").agg(F.count(F.lit(1)).alias("cnt"))
+        kind = "txt" if types[c] == "string" else "int" if types[c] in ("tinyint", "smallint", "int", "bigint") else "num"
+        value = F.col(c) if kind == "txt" else F.col(c).cast(whole if kind == "int" else "double")
+        if kind == "num":
+            value = F.when(~F.isnan(value), value)
+        own = {"num": F.lit(None).cast("double"), "int": F.lit(None).cast(whole), "txt": F.lit(None).cast("string"), kind: value}
+        parts.append(F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in own.items()], value.isNull().alias("isnull")))
+    long = df.select(*by, F.explode(F.array(*parts)).alias("_m")).select(*by, "_m.*").where(~F.col("isnull"))
+    counted = long.groupBy(*by, "column", "num", "int", "txt").agg(F.count(F.lit(1)).alias("cnt"))
     best = counted.groupBy(*by, "column").agg(
-        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("num"), F.col("txt"))).alias("_b"))
-    return best.select(*by, "column", F.col("_b.num").alias("num_value"),
-                       F.col("_b.txt").alias("str_value"), (-F.col("_b.neg")).alias("count"))
+        F.min(F.struct((-F.col("cnt")).alias("neg"), "num", "int", "txt")).alias("_b"))
+    return best.select(*by, "column", F.coalesce("_b.num", F.col("_b.int").cast("double")).alias("num_value"),
+                       F.col("_b.int").alias("int_value"), F.col("_b.txt").alias("str_value"), (-F.col("_b.neg")).alias("count"))

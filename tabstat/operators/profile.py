@@ -24,12 +24,14 @@ _AGGS = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max,
 
 
 def _attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach per-group statistics: an equi-join on the group keys against
-    the size-checked, broadcast side table; without group keys the single
-    statistics row is inlined as literals (no join)."""
+    """Attach per-group statistics: a null-safe equi-join on the group keys
+    against the size-checked side table (a NULL group keeps its rows); without
+    group keys the single statistics row is inlined as literals (no join)."""
     if by:
         small, _ = broadcast_if_small(stats)
-        return df.join(small, on=list(by), how="inner")
+        left, right = df.alias("_l"), small.alias("_s")
+        on = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_s.{k}")) for k in by]
+        return left.join(right, on=on, how="inner").select("_l.*", *[F.col(f"_s.{c}") for c in stats.columns if c not in by])
     row = stats.first()
     if row is None:
         return df.where(F.lit(False)).select("*", *[F.lit(None).alias(c) for c in stats.columns])
@@ -57,11 +59,13 @@ def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
 def share_of_total(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """A5: each group's total and its share of the grand total.
 
-    The window runs over the aggregated rows only (one per group).
+    The grand total is one aggregate over the groups, so a key of any
+    cardinality stays distributed.
     """
     amount = F.sum(value) if value else F.count(F.lit(1))
     agg = df.groupBy(key).agg(amount.cast("double").alias("total"))
-    return agg.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy()))
+    grand = agg.agg(F.sum("total")).first()[0]
+    return agg.withColumn("share", F.col("total") / F.lit(grand).cast("double"))
 
 
 _UNIT_INTERVAL = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days",
@@ -101,7 +105,7 @@ def resample(df: DataFrame, ts: str, unit: str, spec: Mapping[str, tuple[str, st
     return joined.select(F.date_format(lab, fmt).alias("period"), *out)
 
 
-def describe_table(df: DataFrame, cols: Sequence[str], decimals: int = 2, method: str = "auto") -> DataFrame:
+def describe_table(df: DataFrame, cols: Sequence[str], decimals: int = 2, method: str = "exact") -> DataFrame:
     """(column, mean, median, mode, stddev, min, max).
 
     Mean, median, mode and sample std rounded to ``decimals``; min and max
@@ -200,20 +204,14 @@ def histogram_2d(df: DataFrame, x: str, y: str, nx: int = 40, ny: int = 40) -> D
     """2-D equal-width count grid (bx, by, count), non-empty cells."""
     r = df.agg(F.min(x).cast("double").alias("xl"), F.max(x).cast("double").alias("xh"),
                F.min(y).cast("double").alias("yl"), F.max(y).cast("double").alias("yh")).first()
+    if r["xl"] is None or r["yl"] is None:  # no row has both values
+        return df.sparkSession.createDataFrame([], "bx long, by long, count long")
     bx = bin_index(x, r["xl"], (r["xh"] - r["xl"]) / nx, nx)
     by_ = bin_index(y, r["yl"], (r["yh"] - r["yl"]) / ny, ny)
     return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
             .groupBy(bx.alias("bx"), by_.alias("by")).agg(F.count(F.lit(1)).alias("count")))
 
 
-def _bandwidth_factor(n, rule, d=1):
-    if rule == "scott":
-        return n ** (-1.0 / (d + 4))
-    if rule == "silverman":
-        return (n * (d + 2) / 4.0) ** (-1.0 / (d + 4))
-    return float(rule)
-
-
 def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: str | float = "scott",
         bins: int | None = None) -> DataFrame:
     """Gaussian KDE on a grid of ``grid`` points per group.
@@ -224,6 +222,9 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
     adds count·φ((x_i - v)/h) to every grid point: exact, with work
     proportional to the number of distinct values.
 
+    A group of one row or one distinct value has no density: it gives one row
+    (i = 0, x = the value, density NULL).
+
     ``bins``: snap values to the centres of ``bins`` equal-width bins per
     group before collapsing (linear-binning approximation, error O((w/h)²)
     for bin width w), so the density work is groups × bins × grid whatever
@@ -242,7 +243,10 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
         fac = F.pow(F.col("_n").cast("double") * F.lit(0.75), F.lit(-0.2))
     else:
         fac = F.lit(float(bw))
-    stats = stats.withColumn("_h", fac * F.col("_s")).where(F.col("_h") > 0)
+    stats = stats.withColumn("_h", fac * F.col("_s"))
+    flat = stats.where(~F.coalesce(F.col("_h") > 0, F.lit(False))).select(
+        *by, F.lit(0).cast("long").alias("i"), F.col("_lo").alias("x"), F.lit(None).cast("double").alias("density"))
+    stats = stats.where(F.col("_h") > 0)
     if bins:
         with_stats = _attach(data, stats, by)
         w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
@@ -260,7 +264,8 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
     dens = expanded.groupBy(*by, "i").agg(
         F.sum(contrib).alias("_k"), F.first(gx).alias("x"),
         F.first(F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))).alias("_norm"))
-    return dens.select(*by, F.col("i").cast("long").alias("i"), "x", (F.col("_k") / F.col("_norm")).alias("density"))
+    return dens.select(*by, F.col("i").cast("long").alias("i"), "x", (F.col("_k") / F.col("_norm")).alias("density")).unionByName(
+        flat if by else flat.where(F.col("x").isNotNull()))
 
 
 def violin(df: DataFrame, col: str, by: Sequence[str], grid: int = 100, bw: str | float = "scott",
@@ -269,8 +274,7 @@ def violin(df: DataFrame, col: str, by: Sequence[str], grid: int = 100, bw: str
     the group keys; both sides are per-group tables)."""
     dens = kde(df, col, by=by, grid=grid, bw=bw, bins=bins)
     box = box_stats(df, col, by=by)
-    small, _ = broadcast_if_small(box)
-    return dens.join(small, on=list(by), how="left")
+    return _attach(dens, box, by)
 
 
 def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40,
@@ -327,7 +331,7 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
                        (F.col("_s") / F.col("_norm")).alias("density"))
 
 
-def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5, method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5, method: str = "exact") -> DataFrame:
     """Per group q1, median, q3, whiskers and outlier count.
 
     Whiskers are the most extreme values inside the fences q1 - k·IQR and

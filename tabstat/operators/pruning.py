@@ -16,6 +16,7 @@ size of the model, which MLlib already keeps on the driver.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.operators.models import decision_tree
-from tabstat.session import checkpoint_dir
+from tabstat.session import checkpoint_dir, remove_path
 
 
 @dataclass
@@ -45,6 +46,7 @@ def tree_table(model, spark) -> TreeTable:
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         "id", "impurity", "impurityStats", "leftChild", "rightChild").orderBy("id").toPandas()
+    remove_path(spark, path)
     pos = {int(i): k for k, i in enumerate(nodes["id"])}
     left = np.array([pos.get(int(c), -1) if c >= 0 else -1 for c in nodes["leftChild"]])
     right = np.array([pos.get(int(c), -1) if c >= 0 else -1 for c in nodes["rightChild"]])
@@ -75,8 +77,12 @@ def _leaf_counts(pred: DataFrame, label: str, n_classes: int) -> np.ndarray:
     return out
 
 
-def pruning_path(t: TreeTable, counts: dict[str, np.ndarray]) -> pd.DataFrame:
-    """α path with leaf counts, total leaf impurity and accuracy per frame."""
+def pruning_path(t: TreeTable, counts: dict[str, np.ndarray], order_out: list | None = None) -> pd.DataFrame:
+    """α path with leaf counts, total leaf impurity and accuracy per frame.
+
+    ``order_out`` receives the pruned nodes in order, one for each row after
+    the first.
+    """
     n = len(t.ids)
     w = t.stats.sum(1)
     W = w[t.parent < 0].sum()
@@ -123,6 +129,7 @@ def pruning_path(t: TreeTable, counts: dict[str, np.ndarray]) -> pd.DataFrame:
     root = int(np.nonzero(t.parent < 0)[0][0])
     in_tree = np.ones(n, dtype=bool)
     internal = ~is_leaf
+    pruned = [] if order_out is None else order_out
     rows = []
 
     def record(alpha):
@@ -133,14 +140,20 @@ def pruning_path(t: TreeTable, counts: dict[str, np.ndarray]) -> pd.DataFrame:
         rows.append(row)
 
     record(0.0)
+
+    def gain(k):
+        return float((r_node[k] - r_branch[k]) / (n_leaves[k] - 1))
+
+    # weakest links first; an entry counts only while its node's gain stands
+    weakest = [(gain(k), int(k)) for k in np.nonzero(internal)[0]]
+    heapq.heapify(weakest)
     prev = 0.0
     while internal[root]:
-        cand = np.nonzero(internal & in_tree)[0]
-        g = (r_node[cand] - r_branch[cand]) / (n_leaves[cand] - 1)
-        j = int(cand[np.argmin(g)])
-        alpha = max(prev, float(g.min()))
+        g, j = heapq.heappop(weakest)
+        if not (internal[j] and in_tree[j]) or g != gain(j):
+            continue
+        alpha = max(prev, g)
         # prune j: its subtree leaves the tree, j becomes a leaf
-        sub = [j]
         stack = [j]
         while stack:
             k = stack.pop()
@@ -148,7 +161,6 @@ def pruning_path(t: TreeTable, counts: dict[str, np.ndarray]) -> pd.DataFrame:
                 for c in (t.left[k], t.right[k]):
                     in_tree[c] = False
                     stack.append(c)
-                    sub.append(c)
         d_r = r_node[j] - r_branch[j]
         d_n = n_leaves[j] - 1
         d_c = {name: correct_at[name][j] - cur_correct[name][j] for name in cur_correct}
@@ -162,24 +174,65 @@ def pruning_path(t: TreeTable, counts: dict[str, np.ndarray]) -> pd.DataFrame:
             n_leaves[a] -= d_n
             for name in cur_correct:
                 cur_correct[name][a] += d_c[name]
+            heapq.heappush(weakest, (gain(a), int(a)))
             a = t.parent[a]
+        pruned.append(j)
         prev = alpha
         record(alpha)
     return pd.DataFrame(rows)
 
 
+@dataclass
+class PrunedTree:
+    """A fitted tree cut back at one α: the leaves of the full tree vote as
+    the node they were pruned to."""
+
+    model: object
+    alpha: float
+    n_leaves: int
+    prediction: list     # class of each leaf of the full tree
+    probability: list    # class shares of each leaf of the full tree
+
+    def transform(self, df: DataFrame, prediction: str = "prediction", probability: str = "score") -> DataFrame:
+        """Adds the class and the share of the highest class."""
+        at = F.col("leaf").cast("int") + 1
+        out = self.model.transform(df.drop(prediction))
+        keep = [c for c in df.columns if c not in (prediction, probability)]
+        return out.select(*keep, F.element_at(F.lit(self.prediction).cast("array<double>"), at).alias(prediction),
+                          F.element_at(F.lit([p[-1] for p in self.probability]).cast("array<double>"), at).alias(probability))
+
+
+def pruned_tree(model, t: TreeTable, pruned: list[int], alpha: float) -> PrunedTree:
+    """The tree after the given nodes became leaves."""
+    cut = set(pruned)
+    ends = []
+    for k in t.leaf_order:
+        top, a = k, k
+        while a >= 0:
+            if a in cut:
+                top = a
+            a = t.parent[a]
+        ends.append(int(top))
+    share = t.stats / np.maximum(t.stats.sum(1, keepdims=True), 1e-300)
+    return PrunedTree(model, float(alpha), len(set(ends)), [float(np.argmax(t.stats[e])) for e in ends], [share[e].tolist() for e in ends])
+
+
 def cost_complexity_prune(train: DataFrame, valid: DataFrame, label: str = "label", features: str = "features",
-                          n_classes: int = 2, max_depth: int = 30, weight_col: str | None = None, seed: int = 5805):
-    """Fit once, return (path DataFrame, best α, model).
+                          n_classes: int = 2, max_depth: int = 30, weight_col: str | None = None, seed: int = 1729):
+    """Fit once, return (path DataFrame, best α, pruned tree).
 
-    Best α = the first α with the highest validation accuracy.
+    Several links may go at one α; the tree at that α is the one after all of
+    them. Best α = the first α with the highest validation accuracy.
     """
     model = decision_tree(train, label, features, max_depth=max_depth, weight_col=weight_col, seed=seed)
     model.setLeafCol("leaf")
     t = tree_table(model, train.sparkSession)
     counts = {"train": _leaf_counts(model.transform(train), label, n_classes),
               "valid": _leaf_counts(model.transform(valid), label, n_classes)}
-    path = pruning_path(t, counts)
-    best = int(path["valid_accuracy"].to_numpy().argmax())
+    order: list[int] = []
+    path = pruning_path(t, counts, order)
+    last = path.groupby("alpha", sort=True)["step"].max().to_numpy()
+    best = int(last[path["valid_accuracy"].to_numpy()[last].argmax()])
+    alpha = float(path["alpha"].iloc[best])
     sdf = train.sparkSession.createDataFrame(path)
-    return sdf, float(path["alpha"].iloc[best]), model
+    return sdf, alpha, pruned_tree(model, t, order[:best], alpha)

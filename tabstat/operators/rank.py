@@ -54,12 +54,6 @@ def head(df: DataFrame, n: int, order_cols, ascending: bool | Sequence[bool] = T
     return df.orderBy(*order, ascending=ascending).limit(n)
 
 
-def _num_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, conf)
-
-
 def broadcast_if_small(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """Detach a derived side table from its lineage, broadcast it if small.
 
@@ -130,15 +124,3 @@ def global_rank(df: DataFrame, order_cols, by=None, tiebreak=None,
     if drop_tb and "_ts_tb" in out.columns:
         out = out.drop("_ts_tb")
     return out
-
-
-def rank_by_key(df: DataFrame, order_cols, by=None, descending: bool = False,
-                rank_col: str = "rank") -> DataFrame:
-    """Row number inside *bounded* groups (a small aggregated table).
-
-    Only for inputs whose groups are already aggregated (tens of thousands of
-    rows at most); row-level data goes through :func:`global_rank`.
-    """
-    order = [F.col(c).desc() if descending else F.col(c).asc() for c in _as_list(order_cols)]
-    w = Window.partitionBy(*_as_list(by)).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w))

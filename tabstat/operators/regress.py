@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.functions.dist import chi2_sf, f_sf, t_ppf, t_two_sided_p
-from tabstat.operators.matrix import Gram, condition_number, gramian
+from tabstat.operators.matrix import Gram, gramian, scaled
 from tabstat.operators.normality import _k2_exprs
 from tabstat.functions.dist import _E
 
@@ -153,12 +153,13 @@ class OLSResult:
 
 
 def _solve(a: np.ndarray, b: np.ndarray):
-    """Least-squares solve with rank report (pinv on deficiency)."""
+    """Least-squares solve at unit diagonal, with the rank (the minimum-norm
+    solution of the scaled system where columns depend on each other)."""
     if a.size == 0:
         return np.zeros(0), np.zeros((0, 0)), 0
-    rank = int(np.linalg.matrix_rank(a, tol=None))
-    inv = np.linalg.pinv(a) if rank < a.shape[0] else np.linalg.inv(a)
-    return inv @ b, inv, rank
+    unit, d, rank = scaled(a)
+    inv = np.linalg.pinv(unit, hermitian=True) if rank < a.shape[0] else np.linalg.inv(unit)
+    return (inv @ (b / d)) / d, inv / np.outer(d, d), rank
 
 
 def ols_from_gram(g: Gram, y: str, xs: Sequence[str], intercept: bool = True) -> OLSResult:
@@ -207,8 +208,9 @@ def ols_diagnostics(df: DataFrame, model: OLSResult, order_col: str | None = Non
     and the condition number of the design.
 
     Moments come from one aggregate over the residual column. Durbin-Watson
-    needs row order: residuals are ranked by ``order_col`` and joined to
-    their predecessor by rank (an equi-join, no window over all rows).
+    needs row order: residuals are ranked by ``order_col`` (ties by residual)
+    and joined to their predecessor by rank (an equi-join, no window over all
+    rows).
     """
     e = residual_column(model)
     d = df.na.drop(subset=[model.y, *model.xs]).select(*([order_col] if order_col else []), e.alias("e"))
@@ -222,7 +224,7 @@ def ols_diagnostics(df: DataFrame, model: OLSResult, order_col: str | None = Non
            "omnibus": k2v, "omnibus_p": chi2_sf(k2v, 2) if k2v is not None else None}
     if order_col:
         from tabstat.operators.rank import global_rank
-        r = global_rank(d, [order_col], rank_col="_r").select("_r", "e")
+        r = global_rank(d, [order_col], tiebreak=["e"], rank_col="_r").select("_r", "e")
         prev = r.select((F.col("_r") + 1).alias("_r"), F.col("e").alias("_e0"))
         num = r.join(prev, "_r").agg(F.sum((F.col("e") - F.col("_e0")) ** 2).alias("s")).first()["s"]
         out["durbin_watson"] = float(num) / float(mom["ss"]) if mom["ss"] else float("nan")
@@ -256,10 +258,11 @@ def vif_from_gram(g: Gram, cols: Sequence[str] | None = None) -> list[tuple[str,
     cols = list(cols or g.cols)
     ix = g.index(cols)
     a = g.raw[np.ix_(ix, ix)]
-    if np.linalg.matrix_rank(a) < len(cols):
+    unit, _, rank = scaled(a)
+    if rank < len(cols):
         return [(c, float("inf")) for c in cols]
-    inv = np.linalg.inv(a)
-    return [(c, float(inv[i, i] * a[i, i])) for i, c in enumerate(cols)]
+    inv = np.linalg.inv(unit)
+    return [(c, float(inv[i, i])) for i, c in enumerate(cols)]
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -324,8 +327,8 @@ def compare_regressions(models: dict, test: DataFrame | dict | None = None, deci
     return rows
 
 
-def forest_importance(df: DataFrame, y: str, xs: Sequence[str], num_trees: int = 100, max_depth: int = 12,
-                      min_importance: float = 0.01, seed: int = 5805) -> DataFrame:
+def forest_importance(df: DataFrame, y: str, xs: Sequence[str], num_trees: int = 100, max_depth: int = 30,
+                      min_importance: float = 0.01, seed: int = 1729) -> DataFrame:
     """Impurity importance of a random-forest regressor, sorted, >= cut."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor

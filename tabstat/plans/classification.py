@@ -1,8 +1,10 @@
 """End-to-end classification comparison (the flagship query).
 
 embeddings -> binary target -> stratified split -> standard scaling fitted
-on train -> logistic, tree, forest and k-NN -> one metrics row per model
-(accuracy, precision, recall, f1, specificity, counts, exact ROC AUC).
+on train -> weighted logistic (plain and on PCA scores), trees (plain and
+pruned), forest, boosting, kernel SVM with Platt scores, network and k-NN ->
+one metrics row per model (accuracy, precision, recall, f1, specificity,
+counts, exact ROC AUC) and one ROC table.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 
 from tabstat.operators import evaluate as ev
 from tabstat.operators import features as fe
+from tabstat.operators import matrix as mx
 from tabstat.operators import models as md
 from tabstat.operators import neighbors as nb
 from tabstat.operators import sample as sm
+from tabstat.operators.profile import class_weights, with_weight_column
+from tabstat.operators.pruning import cost_complexity_prune
 from tabstat.session import materialize
 from tabstat.sources.io import read_table
 
@@ -23,10 +28,10 @@ def embedding_frame(spark: SparkSession, sf_dir: str, positive_class: int = 0) -
     """(vec_id, binary label, embedding array<double>)."""
     emb = read_table(spark, sf_dir, "embeddings")
     return emb.select("vec_id", (F.col("label") == positive_class).cast("int").alias("label"),
-                      F.col("embedding").cast("array<double>").alias("embedding"))
+                      F.col("embedding").cast("array<double>").alias("embedding")).na.drop()
 
 
-def prepared(spark: SparkSession, sf_dir: str, seed: int = 5805):
+def prepared(spark: SparkSession, sf_dir: str, seed: int = 1729):
     """Stratified 80/20 split, standard scaling fitted on train, vectors.
 
     Returns (train, test) with the scaled array plus their ML-vector forms
@@ -44,32 +49,60 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 5805):
     return tr, te, tr_v, te_v, dim
 
 
-def _model_row(pred: DataFrame, name: str) -> DataFrame:
-    metrics = ev.classification_metrics(pred, "label", "pred", model=name)
-    auc = ev.roc_auc_frame(pred, "label", "score").select(F.lit(name).alias("model"),
-                                                          F.round("auc", 4).alias("auc"))
-    return metrics.join(auc, "model")  # one row each
+def scored_models(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFrame:
+    """(model, vec_id, label, score, pred) of every model on the held-out rows.
 
+    Classes are weighted (balanced; the positive class by n_neg / n_pos for
+    boosting). Sizes below the operators' defaults, to keep the plan short:
+    forest of 20 trees of depth 8, 10 boosting rounds, 64 random features.
+    """
+    tr, te, tr_v, te_v, dim = prepared(spark, sf_dir, seed)
+    weights = {r["label"]: r for r in class_weights(tr_v, "label").collect()}  # two rows
+    balanced = {k: r["balanced_weight"] for k, r in weights.items()}
+    tr_w = materialize(with_weight_column(tr_v, "label", balanced, out="w"), "persist")
+    tr_p = with_weight_column(tr_v, "label", {0: 1.0, 1: weights[1]["pos_weight"] if 1 in weights else 1.0}, out="w")
+
+    names = [f"e{i}" for i in range(dim)]
+    spread = lambda d: d.select("vec_id", "label", *[F.col("embedding")[i].alias(c) for i, c in enumerate(names)])
+    pca = mx.pca_fit(spread(tr), names, variance=0.95)
+    scores = lambda d: md.assemble(pca.transform(spread(d), keep=["vec_id", "label"]), [f"pc{i + 1}" for i in range(pca.k)], keep=["vec_id", "label"])
+    tr_pc = materialize(with_weight_column(scores(tr), "label", balanced, out="w"), "persist")
+
+    out = []
 
-def scored_models(spark: SparkSession, sf_dir: str, seed: int = 5805) -> dict[str, DataFrame]:
-    tr, te, tr_v, te_v, _ = prepared(spark, sf_dir, seed)
-    out = {}
-    for name, model in (("logistic", md.logistic(tr_v, C=1.0)),
-                        ("tree", md.decision_tree(tr_v, max_depth=5)),
-                        ("forest", md.random_forest(tr_v, num_trees=20, max_depth=8, seed=seed))):
-        p = md.positive_probability(model.transform(te_v))
-        out[name] = p.select("vec_id", "label", "score", F.col("prediction").cast("int").alias("pred"))
+    def add(name, pred, score="score"):
+        out.append(pred.select(F.lit(name).alias("model"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
+                               F.col(score).cast("double").alias("score"), F.col("prediction").cast("int").alias("pred")))
+
+    for name, model, test in (
+            ("logistic", md.logistic(tr_w, C=1.0, weight_col="w"), te_v),
+            ("logistic_pca", md.logistic(tr_pc, C=1.0, weight_col="w"), scores(te)),
+            ("tree", md.decision_tree(tr_w, max_depth=5, weight_col="w"), te_v),
+            ("forest", md.random_forest(tr_w, num_trees=20, max_depth=8, weight_col="w", seed=seed), te_v),
+            ("boost", md.boosted_trees(tr_p, max_iter=10, weight_col="w", seed=seed), te_v),
+            ("network", md.neural_net(tr_v, dim, max_iter=30, seed=seed), te_v)):
+        add(name, md.positive_probability(model.transform(test)))
+    kernel = md.kernel_map("rbf", dim, n_components=64, variance=md.mean_variance(tr_v), seed=seed)
+    tr_k = materialize(kernel.transform(tr_w), "persist")
+    svm = md.svm(tr_k, features="kfeatures", weight_col="w")
+    add("svm_rbf", md.platt_scores(md.platt(svm, tr_k), svm.transform(kernel.transform(te_v))))
+    folds = sm.split_column(tr_v, "vec_id", 0.25, seed + 1, by=["label"])
+    _, _, pruned = cost_complexity_prune(folds.where("split = 'train'").drop("split"), folds.where("split = 'test'").drop("split"))
+    add("pruned_tree", pruned.transform(te_v))
     knn = nb.knn_classify(tr, te, 11, "embedding", "vec_id", "label", query_id="vec_id", positive=1)
     truth = te.select(F.col("vec_id").cast("long").alias("qid"), "label")
-    out["knn"] = knn.join(truth, "qid").select(F.col("qid").alias("vec_id"), "label", F.col("prob").alias("score"),
-                                               (F.col("prob") > 0.5).cast("int").alias("pred"))
-    return out
+    add("knn", knn.join(truth, "qid").select(F.col("qid").alias("vec_id"), "label", F.col("prob").alias("score"), (F.col("prob") > 0.5).cast("int").alias("prediction")))
+    scored = out[0]
+    for frame in out[1:]:
+        scored = scored.unionByName(frame)
+    return scored
 
 
-def compare_models_query(spark: SparkSession, sf_dir: str, seed: int = 5805) -> DataFrame:
+def compare_models_query(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFrame:
     """E6 end to end: one row per model with metrics and AUC."""
-    rows = None
-    for name, pred in scored_models(spark, sf_dir, seed).items():
-        r = _model_row(pred, name)
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+    return ev.compare_scored(scored_models(spark, sf_dir, seed))
+
+
+def compare_roc_query(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFrame:
+    """E6 end to end: all ROC curves and the chance line in one table."""
+    return ev.roc_long(scored_models(spark, sf_dir, seed))

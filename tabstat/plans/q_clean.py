@@ -132,7 +132,7 @@ def q_boxcox_fixed(spark, sf):
 
 @query("boxcox_mle")
 def q_boxcox_mle(spark, sf):
-    """MLE λ for shifted account balances and order prices (rows-only check;
+    """MLE λ for shifted account balances (rows-only check;
     pytest checks llf(λ̂) >= llf(λ̂ ± δ))."""
     c = clean.positive_shift(T(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])
     lam = clean.boxcox_lambdas(c, ["c_acctbal"])

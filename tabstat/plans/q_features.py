@@ -84,20 +84,20 @@ def q_standard_scale(spark, sf):
     return rounded(te.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
 
 
-RAIN_EDGES = [0.0, 0.1, 20.0, 50.0, 380.0]
-RAIN_LABELS = ["none", "light", "moderate", "heavy"]
+VALUE_EDGES = [0.0, 10.0, 25.0, 100.0, 400.0]
+VALUE_LABELS = ["q1", "q2", "q3", "q4"]
 
 
 @query("bin_labels", """
-SELECT CASE WHEN value IS NULL OR value < 0.0 OR value > 380.0 THEN NULL
-            WHEN value <= 0.1 THEN 'none' WHEN value <= 20.0 THEN 'light'
-            WHEN value <= 50.0 THEN 'moderate' WHEN value <= 380.0 THEN 'heavy' END AS bin,
+SELECT CASE WHEN value IS NULL OR value < 0.0 OR value > 400.0 THEN NULL
+            WHEN value <= 10.0 THEN 'q1' WHEN value <= 25.0 THEN 'q2'
+            WHEN value <= 100.0 THEN 'q3' WHEN value <= 400.0 THEN 'q4' END AS bin,
        count(*) AS count
 FROM events GROUP BY 1
 """)
 def q_bin_labels(spark, sf):
     ev = T(spark, sf, "events")
-    b = fe.bin_labels(ev, "value", RAIN_EDGES, RAIN_LABELS, out="bin")
+    b = fe.bin_labels(ev, "value", VALUE_EDGES, VALUE_LABELS, out="bin")
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -137,10 +137,10 @@ def q_distinct_values(spark, sf):
 
 
 @query("point_sample", f"""
-SELECT event_id, event_type, value FROM events WHERE {fe.sample_unit_sql("event_id", 5805)} < 0.1
+SELECT event_id, event_type, value FROM events WHERE {fe.sample_unit_sql("event_id", 1729)} < 0.1
 """)
 def q_point_sample(spark, sf):
-    return fe.point_sample(T(spark, sf, "events"), ["value"], key="event_id", fraction=0.1, seed=5805,
+    return fe.point_sample(T(spark, sf, "events"), ["value"], key="event_id", fraction=0.1, seed=1729,
                            by=["event_type"])
 
 

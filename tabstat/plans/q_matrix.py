@@ -29,10 +29,7 @@ def _frame(spark, rows, schema, digits=6):
     f"SELECT '{a}' AS x, '{b}' AS y, {r6(f'sum(CAST({a} AS DOUBLE) * {b})')} AS value FROM lineitem"
     for a in LINE_NUM for b in LINE_NUM) + "\nUNION ALL SELECT 'n', 'n', CAST(count(*) AS DOUBLE) FROM lineitem")
 def q_gramian(spark, sf):
-    g = mx.gramian(_li(spark, sf), LINE_NUM)
-    rows = [(a, b, float(g.raw[i, j])) for i, a in enumerate(LINE_NUM) for j, b in enumerate(LINE_NUM)]
-    rows.append(("n", "n", float(g.n)))
-    return _frame(spark, rows, "x string, y string, value double")
+    return rounded(mx.cross_products(_li(spark, sf), LINE_NUM))
 
 
 _RAW2 = ("(SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, "
@@ -211,6 +208,17 @@ def q_vif(spark, sf):
     return rg.vif(_li(spark, sf), LINE_NUM)
 
 
+@query("vif_3", """
+WITH m AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_discount) AS b, sum(l_quantity * l_tax) AS c,
+                  sum(l_discount * l_discount) AS d, sum(l_discount * l_tax) AS e, sum(l_tax * l_tax) AS f FROM lineitem),
+t AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m)
+SELECT 'l_quantity' AS variable, round(a * (d * f - e * e) / det, 6) AS vif FROM t
+UNION ALL SELECT 'l_discount', round(d * (a * f - c * c) / det, 6) FROM t
+UNION ALL SELECT 'l_tax', round(f * (a * d - b * b) / det, 6) FROM t""")
+def q_vif_3(spark, sf):
+    return rounded(rg.vif(_li(spark, sf), ["l_quantity", "l_discount", "l_tax"]))
+
+
 @query("pca_transform")
 def q_pca_transform(spark, sf):
     li = _li(spark, sf)
@@ -228,11 +236,17 @@ def q_cumulative_variance(spark, sf):
 
 @query("importance")
 def q_importance(spark, sf):
+    """R8 with 20 trees of depth 8 instead of the default 100 of depth 30, to
+    keep the query short."""
     return rg.forest_importance(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
                                 num_trees=20, max_depth=8)
 
 
-@query("drop_correlated")
+@query("drop_correlated", """
+SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem
+WHERE (SELECT greatest(abs(corr(l_quantity, l_extendedprice)), abs(corr(l_quantity, l_discount)), abs(corr(l_quantity, l_tax)),
+                       abs(corr(l_extendedprice, l_discount)), abs(corr(l_extendedprice, l_tax)), abs(corr(l_discount, l_tax)))
+       FROM lineitem) <= 0.5""")
 def q_drop_correlated(spark, sf):
     out, _ = rg.drop_correlated(_li(spark, sf).select(*LINE_NUM), LINE_NUM, threshold=0.5)
     return out
@@ -253,7 +267,11 @@ def q_compare_regressions(spark, sf):
     tr_p = pca.transform(train, keep=["l_extendedprice"])
     te_p = pca.transform(test, keep=["l_extendedprice"])
     on_pca = rg.ols_fit(tr_p, "l_extendedprice", pcs)
-    rows = rg.compare_regressions({"full": full, "backward": back, "pca": on_pca},
-                                  {"full": test, "backward": test, "pca": te_p})
+    # the features that a small forest finds important
+    imp = rg.forest_importance(train, "l_extendedprice", feats, num_trees=10, max_depth=6, min_importance=0.05)
+    picked = sorted(r["feature"] for r in imp.collect()) or feats
+    by_importance = rg.ols_from_gram(g, "l_extendedprice", picked)
+    rows = rg.compare_regressions({"full": full, "backward": back, "importance": by_importance, "pca": on_pca},
+                                  {"full": test, "backward": test, "importance": test, "pca": te_p})
     return spark.createDataFrame(rows, "model string, r2 double, adj_r2 double, aic double, bic double, mse double")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabstat.operators import neighbors as nb
 from tabstat.operators import sample as sm
+from tabstat.operators.features import sample_unit_sql
 from tabstat.plans.registry import T, query, r6, rounded
 
 _E = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -71,19 +72,35 @@ def q_silhouette_euclid(spark, sf):
     return rounded(nb.silhouette(_emb(spark, sf), "embedding", "label", "vec_id"))
 
 
-# --- rows-only: splits, folds, oversampling (pytest checks the properties) ---
+# --- splits and folds by the portable hash; oversampling is rows-only ---
 
-@query("split")
+_U = sample_unit_sql
+
+
+@query("split", f"""
+SELECT o_orderkey, o_orderstatus,
+       CASE WHEN row_number() OVER (ORDER BY {_U("o_orderkey", 1729)}, o_orderkey) <= ceil(count(*) OVER () * 0.2)
+            THEN 'test' ELSE 'train' END AS split
+FROM orders""")
 def q_split(spark, sf):
     return sm.split_column(T(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 0.2)
 
 
-@query("stratified_split")
+@query("stratified_split", f"""
+SELECT doc_id, quality, toxic,
+       CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY {_U("doc_id", 1729)}, doc_id)
+                 <= ceil(count(*) OVER (PARTITION BY toxic) * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM labels""")
 def q_stratified_split(spark, sf):
     return sm.split_column(T(spark, sf, "labels"), "doc_id", 0.2, by=["toxic"])
 
 
-@query("folds")
+@query("folds", f"""
+SELECT doc_id, quality, toxic,
+       CAST(floor((row_number() OVER (PARTITION BY toxic ORDER BY {_U("doc_id", 1729)}, doc_id) - 1) * 5
+                  / count(*) OVER (PARTITION BY toxic)) AS INTEGER) AS fold
+FROM labels"""
+)
 def q_folds(spark, sf):
     return sm.stratified_folds(T(spark, sf, "labels"), "doc_id", "toxic", k=5)
 

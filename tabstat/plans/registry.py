@@ -60,13 +60,11 @@ def r6(expr: str) -> str:
 # importing the query modules fills QUERIES / ORACLE
 from tabstat.plans import (  # noqa: E402,F401
     q_clean,
+    q_evaluate,
     q_features,
+    q_matrix,
+    q_models,
+    q_neighbors,
+    q_normality,
     q_profile,
 )
-
-for _mod in ("q_normality", "q_evaluate", "q_matrix", "q_neighbors", "q_models"):
-    try:
-        __import__(f"tabstat.plans.{_mod}")
-    except ModuleNotFoundError as exc:  # module not written yet
-        if exc.name != f"tabstat.plans.{_mod}":
-            raise

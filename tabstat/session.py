@@ -8,7 +8,9 @@ none (local tests); on a cluster the configured shared folder is used.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -46,8 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
     Read from the session first (``spark.checkpoint.dir`` or an earlier
-    ``setCheckpointDir``); only when none is configured (local tests) is a
-    fresh scratch folder set.
+    ``setCheckpointDir``). Without one, a local master gets a scratch folder
+    that goes with the process; any other master is refused, as executors
+    would not see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,7 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tabstat-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
@@ -80,12 +86,11 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     raise ValueError(f"unknown materialization {how!r}")
 
 
-def release(df: DataFrame) -> None:
-    """Unpersist if cached (no-op for checkpointed frames)."""
-    try:
-        df.unpersist(blocking=False)
-    except Exception:  # pragma: no cover - best effort
-        pass
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package wrote, on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _SHIPPED: set = set()

@@ -48,5 +48,5 @@ def test_query_matches_oracle(spark, duck, name):
 def test_entry_smoke(spark):
     out = entry.entry(spark)
     rows = out.collect()
-    assert len(rows) == 4
+    assert len(rows) == 9
     assert {"model", "accuracy", "precision", "recall", "f1", "specificity", "auc"} <= set(out.columns)
