@@ -49,8 +49,13 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 1729):
     return tr, te, tr_v, te_v, dim
 
 
-def scored_models(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFrame:
-    """(model, vec_id, label, score, pred) of every model on the held-out rows.
+#: Models that are fitted in a few passes; the others take dozens of jobs each.
+QUICK = ("logistic", "tree", "forest", "knn")
+
+
+def scored_models(spark: SparkSession, sf_dir: str, seed: int = 1729, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(model, vec_id, label, score, pred) of every model (or of ``only``
+    those named) on the held-out rows.
 
     Classes are weighted (balanced; the positive class by n_neg / n_pos for
     boosting). Sizes below the operators' defaults, to keep the plan short:
@@ -60,47 +65,52 @@ def scored_models(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFra
     weights = {r["label"]: r for r in class_weights(tr_v, "label").collect()}  # two rows
     balanced = {k: r["balanced_weight"] for k, r in weights.items()}
     tr_w = materialize(with_weight_column(tr_v, "label", balanced, out="w"), "persist")
-    tr_p = with_weight_column(tr_v, "label", {0: 1.0, 1: weights[1]["pos_weight"] if 1 in weights else 1.0}, out="w")
-
-    names = [f"e{i}" for i in range(dim)]
-    spread = lambda d: d.select("vec_id", "label", *[F.col("embedding")[i].alias(c) for i, c in enumerate(names)])
-    pca = mx.pca_fit(spread(tr), names, variance=0.95)
-    scores = lambda d: md.assemble(pca.transform(spread(d), keep=["vec_id", "label"]), [f"pc{i + 1}" for i in range(pca.k)], keep=["vec_id", "label"])
-    tr_pc = materialize(with_weight_column(scores(tr), "label", balanced, out="w"), "persist")
-
+    wanted = lambda name: only is None or name in only
     out = []
 
     def add(name, pred, score="score"):
         out.append(pred.select(F.lit(name).alias("model"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
                                F.col(score).cast("double").alias("score"), F.col("prediction").cast("int").alias("pred")))
 
-    for name, model, test in (
-            ("logistic", md.logistic(tr_w, C=1.0, weight_col="w"), te_v),
-            ("logistic_pca", md.logistic(tr_pc, C=1.0, weight_col="w"), scores(te)),
-            ("tree", md.decision_tree(tr_w, max_depth=5, weight_col="w"), te_v),
-            ("forest", md.random_forest(tr_w, num_trees=20, max_depth=8, weight_col="w", seed=seed), te_v),
-            ("boost", md.boosted_trees(tr_p, max_iter=10, weight_col="w", seed=seed), te_v),
-            ("network", md.neural_net(tr_v, dim, max_iter=30, seed=seed), te_v)):
-        add(name, md.positive_probability(model.transform(test)))
-    kernel = md.kernel_map("rbf", dim, n_components=64, variance=md.mean_variance(tr_v), seed=seed)
-    tr_k = materialize(kernel.transform(tr_w), "persist")
-    svm = md.svm(tr_k, features="kfeatures", weight_col="w")
-    add("svm_rbf", md.platt_scores(md.platt(svm, tr_k), svm.transform(kernel.transform(te_v))))
-    folds = sm.split_column(tr_v, "vec_id", 0.25, seed + 1, by=["label"])
-    _, _, pruned = cost_complexity_prune(folds.where("split = 'train'").drop("split"), folds.where("split = 'test'").drop("split"))
-    add("pruned_tree", pruned.transform(te_v))
+    for name, fit in (
+            ("logistic", lambda: md.logistic(tr_w, C=1.0, weight_col="w")),
+            ("tree", lambda: md.decision_tree(tr_w, max_depth=5, weight_col="w")),
+            ("forest", lambda: md.random_forest(tr_w, num_trees=20, max_depth=8, weight_col="w", seed=seed)),
+            ("network", lambda: md.neural_net(tr_v, dim, max_iter=30, seed=seed))):
+        if wanted(name):
+            add(name, md.positive_probability(fit().transform(te_v)))
+    if wanted("logistic_pca"):
+        names = [f"e{i}" for i in range(dim)]
+        spread = lambda d: d.select("vec_id", "label", *[F.col("embedding")[i].alias(c) for i, c in enumerate(names)])
+        pca = mx.pca_fit(spread(tr), names, variance=0.95)
+        scores = lambda d: materialize(md.assemble(pca.transform(spread(d), keep=["vec_id", "label"]), [f"pc{i + 1}" for i in range(pca.k)], keep=["vec_id", "label"]), "persist")
+        tr_pc = materialize(with_weight_column(scores(tr), "label", balanced, out="w"), "persist")
+        add("logistic_pca", md.positive_probability(md.logistic(tr_pc, C=1.0, weight_col="w").transform(scores(te))))
+    if wanted("boost"):
+        ratio = weights[1]["pos_weight"] if 1 in weights else 1.0
+        tr_p = materialize(with_weight_column(tr_v, "label", {0: 1.0, 1: ratio}, out="w"), "persist")
+        add("boost", md.positive_probability(md.boosted_trees(tr_p, max_iter=10, weight_col="w", seed=seed).transform(te_v)))
+    if wanted("svm_rbf"):
+        kernel = md.kernel_map("rbf", dim, n_components=64, variance=md.mean_variance(tr_v), seed=seed)
+        tr_k = materialize(kernel.transform(tr_w), "persist")
+        svm = md.svm(tr_k, features="kfeatures", weight_col="w")
+        add("svm_rbf", md.platt_scores(md.platt(svm, tr_k), svm.transform(kernel.transform(te_v))))
+    if wanted("pruned_tree"):
+        folds = sm.split_column(tr_v, "vec_id", 0.25, seed + 1, by=["label"])
+        _, _, pruned = cost_complexity_prune(folds.where("split = 'train'").drop("split"), folds.where("split = 'test'").drop("split"))
+        add("pruned_tree", pruned.transform(te_v))
     knn = nb.knn_classify(tr, te, 11, "embedding", "vec_id", "label", query_id="vec_id", positive=1)
     truth = te.select(F.col("vec_id").cast("long").alias("qid"), "label")
     add("knn", knn.join(truth, "qid").select(F.col("qid").alias("vec_id"), "label", F.col("prob").alias("score"), (F.col("prob") > 0.5).cast("int").alias("prediction")))
     scored = out[0]
     for frame in out[1:]:
         scored = scored.unionByName(frame)
-    return scored
+    return materialize(scored, "persist")  # narrow rows, read by every metric
 
 
-def compare_models_query(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFrame:
+def compare_models_query(spark: SparkSession, sf_dir: str, seed: int = 1729, only: tuple[str, ...] | None = None) -> DataFrame:
     """E6 end to end: one row per model with metrics and AUC."""
-    return ev.compare_scored(scored_models(spark, sf_dir, seed))
+    return ev.compare_scored(scored_models(spark, sf_dir, seed, only))
 
 
 def compare_roc_query(spark: SparkSession, sf_dir: str, seed: int = 1729) -> DataFrame:
