@@ -18,7 +18,7 @@ meet the row of the neighbouring partition.
 
 Defined results: null text is the empty text; two empty texts have likeness 1,
 an empty and another text 0; documents are ordered by doc_id (nulls first),
-repeated ids by text; a single document is its own next; equal texts have
+repeated ids by a hash of their text; a single document is its own next; equal texts have
 equal fingerprints; other columns are not read; an empty table gives an empty
 result.
 """
@@ -172,9 +172,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    docs = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))  # bounds are sampled from the keys: no texts
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / PART))
-    ordered = docs.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def run(batches):
         number = TaskContext.get().partitionId()
