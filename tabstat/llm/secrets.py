@@ -8,10 +8,13 @@ short are dropped and not tried again from within.
 
 Linked spans. Weaker parts are looked for as well: identifiers (access-like
 tokens, words such as user or client with a value), secrets (long mixed tokens, values of credential words
-of 6 or more characters) and endpoints (URLs, host:port). Alone each is too
-common to report. The parts and the base spans of a text are interval-joined
-within scopes: a scope is a run of lines of one paragraph, at most SCOPE code
-points wide around the weak part. A weak secret is reported (kind ``linked``)
+of 6 or more characters) and endpoints (URLs with a scheme in any case, and
+host:port, where the host is a name with a letter, an IP address or an IPv6
+address in brackets, the port is at most 65535, and a URL or an assignment does
+not hold it already). Alone each is too common to report. The parts and the
+base spans of a text are interval-joined within scopes: a scope is a run of
+lines of one paragraph, at most SCOPE code points wide on either side of the
+weak part; a part of any length that overlaps it is in it. A weak secret is reported (kind ``linked``)
 only where its scope also has a part of another role, an identifier or an
 endpoint next to it, that does not overlap it; the identifier that complements
 it is reported with it.
@@ -24,7 +27,8 @@ other columns are not read by the scan; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +50,12 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 _ID_WORD = re.compile(r"""(?i:access_?key(?:_?id)?|client_?id|account|username|user|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9_.@-]{3,64})""", re.ASCII)
 _ID_TOKEN = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}")
 _SECRET_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,10}://[^\s\"'<>]+")
+_ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,10}://[^\s\"'<>]+")
+_PORT = re.compile(r":([0-9]{1,5})(?![0-9A-Za-z_])")
+_IP = re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?!$)|$)){4}")
+_HOST_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-_")
+#: Longest name of a host.
+_HOST_MOST = 253
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -64,13 +73,41 @@ def _mixed(token: str) -> bool:
     return kinds == 3 and len(set(token)) * 2 >= min(len(token), 40)
 
 
+def _host_ports(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """host:port outside the spans ``taken``."""
+    out = []
+    for m in _PORT.finditer(text):
+        if int(m[1]) > 65535:
+            continue
+        colon = at = m.start()
+        low = max(0, colon - _HOST_MOST)
+        if text[colon - 1:colon] == "]":
+            at = text.rfind("[", low, colon)
+            if at < 0 or text.count(":", at, colon) < 2 or not re.fullmatch(r"[0-9A-Fa-f:.]+", text[at + 1:colon - 1]):
+                continue
+        else:
+            while at > low and text[at - 1] in _HOST_CHARACTERS:
+                at -= 1
+            at += colon - at - len(text[at:colon].lstrip(".-_"))
+            host = text[at:colon]
+            if not host or host[-1] in ".-_" or ".." in host or not (any(c.isalpha() for c in host) or _IP.fullmatch(host)):
+                continue
+        if not any(a < m.end() and at < b for a, b in taken):
+            out.append((at, m.end()))
+    return out
+
+
 def _parts(text: str) -> list[tuple[int, int, str]]:
     """Weak parts with their roles: id, secret, endpoint."""
     parts = [(*m.span(1), "id") for m in _ID_WORD.finditer(text)]
     parts += ((*m.span(), "id") for m in _ID_TOKEN.finditer(text))
     parts += ((*m.span(), "secret") for m in _SECRET_TOKEN.finditer(text) if _mixed(m[0]))
     parts += ((*m.span(2), "secret") for m in _ASSIGN.finditer(text) if 6 <= m.end(2) - m.start(2) < ASSIGN_LEAST)
-    parts += ((*m.span(), "endpoint") for m in _ENDPOINT.finditer(text))
+    urls = [m.span() for m in _ENDPOINT.finditer(text)]
+    parts += ((*u, "endpoint") for u in urls)
+    if any(role == "secret" for *_, role in parts):  # endpoints alone link nothing
+        taken = urls + [m.span() for words in (_ASSIGN, _ID_WORD) for m in words.finditer(text)]
+        parts += ((*h, "endpoint") for h in _host_ports(text, taken))
     return parts
 
 
@@ -82,16 +119,16 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     others = sorted([p for p in parts if p[2] != "secret"] + [(s, e, "id") for s, e, k in base if k == "access"])
     starts = [p[0] for p in others]
-    widest = max((e - s for s, e, _ in others), default=0)
+    furthest = list(accumulate((p[1] for p in others), max))  # of an end, up to each part
     found = set()
     for s, e, _ in weak:
         low, high = max(0, s - SCOPE), min(len(text), e + SCOPE)
         low = max(low, text.rfind("\n\n", low, s) + 1)
         stop = text.find("\n\n", e, high)
         high = high if stop < 0 else stop
-        for k in range(bisect_left(starts, low - widest), bisect_left(starts, high)):
+        for k in range(bisect_right(furthest, low), bisect_left(starts, high)):
             a, b, role = others[k]
-            if low <= a and b <= high and (b <= s or a >= e):
+            if b > low and (b <= s or a >= e):
                 found.add((s, e, "linked"))
                 if role == "id" and not any(x < b and a < y for x, y, _ in base):
                     found.add((a, b, "linked"))

@@ -36,3 +36,19 @@ def test_redaction(spark):
     rows = [(1, "a token=abcdefghijklmn b", 5), (2, None, None), (3, "plain", 5)]
     out = {r.doc_id: r for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
     assert (out[1].text, out[1].n_chars) == ("a [ASSIGN] b", 12) and out[2].text is None and out[3].text == "plain"
+
+
+def test_endpoints():
+    for endpoint in ("db.internal:5432", "10.0.0.7:22", "localhost:8080", "[fe80::1]:443", "HTTPS://DB.INTERNAL/x"):
+        assert secrets.scan_text(f"password: hunter22 host {endpoint}") == [(10, 18, "linked")], endpoint
+        assert secrets.redact_text(f"password: hunter22 host {endpoint}") == f"password: [LINKED] host {endpoint}"
+    for other in ("at 12:30", "300.1.1.1:22", "token:12345", "db.internal:99999", "ratio :80", "a::b"):
+        assert secrets.scan_text(f"password: hunter22 host {other}") == [], other
+    assert secrets.scan_text("see https://example.com:443/Docs/Guide2024/index") == []
+
+
+def test_long_parts_beside_a_secret():
+    url = "https://x.org/?" + "q=a&" * 100
+    assert secrets.scan_text(f"{url} password: hunter22") == [(len(url) + 11, len(url) + 19, "linked")]
+    assert secrets.scan_text(f"password: hunter22 {url}") == [(10, 18, "linked")]
+    assert secrets.scan_text(f"{url} {'w ' * 100}password: hunter22") == []
