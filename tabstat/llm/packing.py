@@ -1,6 +1,8 @@
 """Operator 3: best-fit packing by a linear grouping scheme.
 
-Tokenising. Each text is encoded whole, an end token follows, and a document
+Tokenising. Each text is encoded whole, as ``encode(text,
+add_special_tokens=False)`` of the tokenizers library does it: strings of the
+file's added tokens in a text are those tokens. An end token follows, and a document
 longer than CAPACITY is cut into CAPACITY-token pieces of which the first may
 be shorter. A row per piece (id, place, length, digest of its ids) is written
 once; everything after works on those rows.
@@ -31,7 +33,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -66,23 +70,55 @@ def _tokenizer(path: str) -> UnitCache:
         import tiktoken
 
         coder = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        return UnitCache(lambda units: map(coder.encode_ordinary, units))
+        added = {t["content"]: [t["id"]] for t in _spec(path).get("added_tokens") or ()}
+        return UnitCache(lambda units: (added.get(u) or coder.encode_ordinary(u) for u in units))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return UnitCache(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _whole(spec: dict) -> bool:
+    """Added tokens take in text beside them or match a normalised text, so
+    that a text cannot be cut at their strings alone."""
+    return any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") and spec.get("normalizer") for t in spec.get("added_tokens") or ())
+
+
+@lru_cache(maxsize=2)
+def _units(path: str) -> Callable[[str], list[str]]:
+    """The worker's cut of a text into units; an added token is a unit."""
+    spec = _spec(path)
+    if _whole(spec):
+        return lambda text: [text]
+    added = sorted((t["content"] for t in spec.get("added_tokens") or () if t["content"]), key=len, reverse=True)
+    if not added:
+        return split_units
+    pattern = re.compile(f"({'|'.join(map(re.escape, added))})")  # the leftmost, then the longest, as in the library
+
+    def cut(text: str) -> list[str]:
+        if not any(a in text for a in added):
+            return split_units(text)
+        units: list[str] = []
+        for k, part in enumerate(pattern.split(text)):
+            units += [part] if k % 2 else split_units(part) if part else []
+        return units
+
+    return cut
+
+
 def _ranks(path: str) -> dict[bytes, int] | None:
     """Bytes of each token by id, None where ranks cannot stand for merges."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _spec(path)
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges") or ()]
-    if model.get("type") != "BPE" or not plain or any(model["vocab"].get(m) != 256 + k for k, m in enumerate(merges)):
+    if model.get("type") != "BPE" or not plain or _whole(spec) or any(model["vocab"].get(m) != 256 + k for k, m in enumerate(merges)):
         return None
     # byte-level vocabularies write each byte as a printable character
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -105,13 +141,13 @@ def tokenise(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY,
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        cache, last = _tokenizer(path), end.to_bytes(4, "little")
+        cache, cut, last = _tokenizer(path), _units(path), end.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             at = 0
             doc_ids = batch.column("doc_id").to_pylist()
             for group in in_groups(strings(batch, "text")):
-                for ids in cache.packed([split_units(t) if t else [] for t in group]):
+                for ids in cache.packed([cut(t) if t else [] for t in group]):
                     ids += last
                     for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                         raw = ids[4 * start:4 * (start + length)]

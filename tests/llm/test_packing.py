@@ -87,3 +87,28 @@ def test_other_vocabularies_use_the_library(tmp_path):
 
 def test_empty_table(spark, odd_docs):
     assert packing.pack_documents(odd_docs.limit(0), PATH).collect() == []
+
+
+ADDED = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y\n<|endoftext|><|endoftext|>.", "a <|endoftext|>  b", "end.\n<|endoftext|>\n\nnext", "<|endoftext| >", "<|<|endoftext|>|>", "né <|endoftext|>'s 12"]
+
+
+def test_added_tokens_are_matched(spark, tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["model"]["merges"] = spec["model"]["merges"][:100] + spec["model"]["merges"][101:]
+    other = tmp_path / "t.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    spec["added_tokens"][0]["lstrip"] = True
+    strips = tmp_path / "s.json"
+    strips.write_text(json.dumps(spec), encoding="utf-8")
+    for path in (PATH, str(other), str(strips)):
+        plain = Tokenizer.from_file(path)
+        for text in ADDED:
+            got = packing._tokenizer(path).packed([packing._units(path)(text)])[0]
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (path, text)
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode(ADDED[0], add_special_tokens=False).ids == [64, 50256, 65]
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.tokenise(docs, PATH).collect()}
+    for i, text in enumerate(ADDED):
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
