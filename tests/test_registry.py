@@ -50,3 +50,19 @@ def test_entry_smoke(spark):
     rows = out.collect()
     assert len(rows) == 4
     assert {"model", "accuracy", "precision", "recall", "f1", "specificity", "auc"} <= set(out.columns)
+
+
+def test_registry_without_the_optional_folders(tmp_path):
+    """A copy without the sub-package keeps every other query, the pipeline's file or not."""
+    import shutil
+    import subprocess
+
+    skip = shutil.ignore_patterns(".git", "__pycache__", "llm")
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=skip)
+    assert not (tmp_path / "repo/tabstat/llm").exists() and (tmp_path / "repo/corpus_pipeline.py").exists()
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    from tabstat.plans.registry import ORACLE, QUERIES
+
+    assert out.stdout.split()[-2:] == [str(len(QUERIES)), str(len(ORACLE))]
