@@ -131,3 +131,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return pii.digests(pii.scan(docs, pii.train(docs)))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import periodic_runs
+
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.planted(read_table(spark, sf_dir, "documents"))))
