@@ -138,3 +138,52 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabstat.llm import periodic_runs
 
     return periodic_runs.digests(periodic_runs.find(periodic_runs.planted(read_table(spark, sf_dir, "documents"))))
+
+
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import quality
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, ~quality.held_out(F.col("doc_id")))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: crc32 of a conversation's decimal id; the constants are the polynomial and
+#: the start value of CRC-32.
+_CRC = """
+WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c // 2, (c % 2) * 3988292384), i)) AS t),
+crc AS (
+  SELECT c, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                            lambda s, x: xor(s // 256, t[xor(s % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), poly)"""
+
+
+@query("op13_prefix_trie", _CRC + """,
+t AS (SELECT conv_id AS c, k, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos
+      FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                   strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)),
+r AS (SELECT crc.c, 0 AS own, pos, k, bytes FROM crc JOIN t ON t.c = crc.c - crc.c % 5 AND pos < h
+      UNION ALL SELECT crc.c, 1, pos, k, bytes FROM crc JOIN t ON t.c = crc.c AND pos >= h),
+p AS (SELECT c, bytes, row_number() OVER w AS depth, count(*) OVER (PARTITION BY c) AS n,
+             sha256(string_agg(k, ',') OVER w) AS pid FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos)),
+e AS (SELECT c, depth, pid, bytes, n FROM p
+      UNION ALL SELECT crc.c, 0, '', 0, coalesce(x.n, 0) FROM crc LEFT JOIN (SELECT c, max(n) AS n FROM p GROUP BY c) x USING (c)),
+f AS (SELECT *, lag(pid) OVER (PARTITION BY c ORDER BY depth) AS parent FROM e),
+g AS (SELECT depth, pid, min(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM f GROUP BY depth, pid),
+kids AS (SELECT parent AS pid, depth - 1 AS depth, count(*) AS n_children FROM g WHERE parent IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, q.conv_id AS parent_conv_id
+      FROM g LEFT JOIN kids USING (depth, pid) LEFT JOIN g q ON q.pid = g.parent AND q.depth = g.depth - 1),
+s AS (SELECT e.depth, e.pid, sum(coalesce(CAST(v.n_children = 0 AS BIGINT), 0)) OVER w AS leaves, sum(coalesce((v.n_convs - 1) * v.bytes, 0)) OVER w AS saved
+      FROM e LEFT JOIN v ON v.depth = e.depth AND v.pid = e.pid AND v.conv_id = e.c
+      WINDOW w AS (PARTITION BY e.c ORDER BY e.depth DESC)),
+u AS (SELECT depth, pid, CAST(sum(leaves) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM s GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM v JOIN u USING (depth, pid)""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabstat.llm import prefix_trie
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(rows)))
