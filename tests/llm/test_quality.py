@@ -91,3 +91,17 @@ def test_without_labels_of_both_kinds(spark, odd_docs):
     score = Q.score(odd_docs, model).select("score").distinct().collect()
     assert len(score) == 1 and score[0].score == pytest.approx(3 / 4)
     assert Q.score(odd_docs, Q.train(odd_docs.limit(0), labels.limit(0), F.lit(True))).first().score == pytest.approx(0.5)
+
+
+def test_lasso_is_at_the_optimum():
+    """The conditions of the minimum: slopes within the penalty, equal to it where a weight is not 0."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = (rng.random((400, 12)) < 0.3).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 1])))).astype(float)
+    bias, w = Q.lasso(x, y, np.ones(400), 0.02, rounds=5000)
+    slope = x.T @ (1 / (1 + np.exp(-(bias + x @ w))) - y) / 400
+    assert abs(np.mean(1 / (1 + np.exp(-(bias + x @ w))) - y)) < 1e-6
+    assert np.all(np.abs(slope) <= 0.02 + 1e-6) and np.allclose(slope[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-6)
+    assert 0 < (w != 0).sum() < 12
