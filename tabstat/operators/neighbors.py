@@ -66,13 +66,18 @@ def _sq_dist(q: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def knn(reference: DataFrame, query: DataFrame | None, k: int, features: str | Sequence[str],
         ref_id: str, query_id: str | None = None, exclude_self: bool = False,
-        block_rows: int | None = None, seed: int = 17) -> DataFrame:
-    """K1: the k nearest reference rows of every query row (exact).
+        block_rows: int | None = None, seed: int = 17, approx: bool = False) -> DataFrame:
+    """K1: the k nearest reference rows of every query row, exact unless
+    ``approx`` asks for the multi-probe search of ``approx_neighbors``.
 
     Output (qid, tid, rank, distance); ties broken by reference id; k > n
     returns all n. ``query=None`` searches the reference against itself;
     ``exclude_self`` drops the pair with equal ids.
     """
+    if approx:
+        from tabstat.operators.approx_neighbors import approx_knn
+
+        return approx_knn(reference, query, k, features, ref_id, query_id, exclude_self, block_rows=block_rows or BLOCK_ROWS, seed=seed)
     query_id = query_id or ref_id
     q_src = reference if query is None else query
     tr = reference.select(F.col(ref_id).cast("long").alias("_tid"), vector_column(reference, features).alias("_tv"))

@@ -29,6 +29,21 @@ def q_knn_topk(spark, sf):
     return out.select("qid", "tid", "rank", F.round("distance", 4).alias("distance"))
 
 
+@query("knn_approx")
+def q_knn_approx(spark, sf):
+    """K1 approximate: buckets of random projections, no all-pairs stage."""
+    return rounded(nb.knn(_emb(spark, sf), None, 5, "embedding", "vec_id", exclude_self=True, approx=True), 4)
+
+
+@query("knn_approx_recall")
+def q_knn_approx_recall(spark, sf):
+    """Recall of ``knn_approx`` by exact rank, all vectors as queries."""
+    from tabstat.operators.approx_neighbors import recall
+
+    exact = nb.knn(_emb(spark, sf), None, 5, "embedding", "vec_id", exclude_self=True)
+    return recall(exact, nb.knn(_emb(spark, sf), None, 5, "embedding", "vec_id", exclude_self=True, approx=True))
+
+
 def _vote_sql(k: int) -> str:
     return f"""(SELECT qid, label, count(*) AS v FROM {_RANKED} r JOIN embeddings e ON r.tid = e.vec_id
                WHERE rank <= {k} GROUP BY qid, label)"""
