@@ -6,7 +6,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabstat.functions.exprs import right_closed_bins
@@ -227,10 +229,69 @@ def sample_unit_sql(key_sql: str, seed: int) -> str:
 
 def point_sample(df: DataFrame, cols: Sequence[str], key: str, fraction: float, seed: int = 1729,
                  by: Sequence[str] = ()) -> DataFrame:
-    """Raw points for scatter/pair/strip plots, bounded by a hash sample.
+    """Raw points for scatter/pair/strip plots, a share of each group.
 
     A row is kept when the portable hash of its key is below ``fraction``,
     so the sample does not depend on partitioning and every group keeps the
-    same share.
+    same share; its size grows with the input. ``bounded_points`` has a bound.
     """
     return df.where(sample_unit(key, seed) < F.lit(float(fraction))).select(key, *by, *cols)
+
+
+#: Partial samples of a group that meet in one task at the last merge.
+MERGE = 32
+
+
+def _least(groups: int, most: int):
+    """Keeps the ``most`` least rows by (_u, _k, _h) of each group, the first
+    ``groups`` columns, of what a task reads: the partial of a bottom-m
+    aggregate. It holds at most that many rows and a batch."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        code = np.zeros(len(table), np.int64)
+        for c in range(groups):
+            own = table.column(c).combine_chunks().dictionary_encode("encode")
+            code = np.unique(np.stack([code, own.indices.to_numpy(zero_copy_only=False)]), axis=1, return_inverse=True)[1].ravel()
+        order = np.lexsort([*(table.column(c).to_numpy() for c in ("_h", "_k", "_u")), code])
+        own = code[order]
+        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        place = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+        return table.take(pa.array(order[place < most]))
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if batch.num_rows:
+                own = cut(pa.Table.from_batches([batch]))
+                kept = own if kept is None else cut(pa.concat_tables([kept, own]).combine_chunks())
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+    return run
+
+
+def bounded_points(df: DataFrame, cols: Sequence[str], key: str, most: int, seed: int = 1729,
+                   by: Sequence[str] = ()) -> DataFrame:
+    """At most ``most`` raw points of each group, for plots.
+
+    A group keeps its ``most`` rows of least (portable hash of the integer key,
+    key), all rows if it has fewer: a uniform sample without replacement, the
+    same at any partitioning. It is a mergeable aggregate: every task keeps the
+    ``most`` least rows of each group it reads and sends only these; the
+    partials are merged MERGE at a time and then by group, so a group of any
+    size never meets in one task.
+
+    Null is a group of ``by``; rows whose key is null come in no sample; rows of
+    equal keys count each and are ordered by a hash of their columns. Output:
+    key, by, cols, and ``n``, the number of rows with a key in the group.
+    """
+    names = list(dict.fromkeys([*by, key, *cols]))
+    rows = df.where(F.col(key).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *names)
+    groups = [f"_g{i}" for i in range(len(by))]
+    ranked = rows.withColumns({"_u": sample_unit(key, seed), "_k": F.col(key).cast("long"), "_h": F.xxhash64(*names)})
+    partial = ranked.mapInArrow(_least(len(by), most), ranked.schema).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(MERGE)))
+    merged = partial.repartition(*groups, "_part").drop("_part").mapInArrow(_least(len(by), most), ranked.schema)
+    order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_u", "_k", "_h")
+    kept = merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col(f"_p.{c}").eqNullSafe(F.col(f"_s.{c}")) for c in groups] or [F.lit(True)]
+    return kept.alias("_p").join(F.broadcast(sizes).alias("_s") if not by else sizes.alias("_s"), same).select(*[F.col(f"_p.{c}") for c in names], "n")

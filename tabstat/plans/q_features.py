@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabstat.operators import features as fe
 from tabstat.operators.rank import global_rank, head
-from tabstat.plans.registry import T, query, r6, rounded
+from tabstat.plans.registry import EV_NULLS, T, events_with_nulls, query, r6, rounded
 
 SPLIT_DATE = "1999-01-01"
 
@@ -144,6 +144,18 @@ def q_point_sample(spark, sf):
                            by=["event_type"])
 
 
+@query("bounded_points", f"""
+SELECT event_id, event_type, value, n FROM (
+  SELECT event_id, event_type, value, count(*) OVER (PARTITION BY event_type) AS n,
+         row_number() OVER (PARTITION BY event_type ORDER BY {fe.sample_unit_sql("event_id", 1729)}, event_id) AS r
+  FROM {EV_NULLS})
+WHERE r <= 500
+""")
+def q_bounded_points(spark, sf):
+    """500 points of each event type (null is one) for a scatter plot."""
+    return fe.bounded_points(events_with_nulls(spark, sf), ["value"], key="event_id", most=500, by=["event_type"])
+
+
 @query("head", """
 SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey ASC LIMIT 100
 """)
