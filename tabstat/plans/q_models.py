@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabstat.operators import evaluate as ev
+from tabstat.operators import grid as gr
 from tabstat.operators import models as md
 from tabstat.operators import sample as sm
 from tabstat.operators.profile import class_weights, with_weight_column
@@ -128,6 +129,23 @@ def q_grid_search(spark, sf):
                                  "params string, cv_accuracy double, best boolean")
 
 
+#: The logistic grid of the reference, 60 points.
+LOGISTIC_GRID = {
+    "penalty": ["l1", "l2"],
+    "C": [0.001, 0.01, 0.1, 1, 10],
+    "max_iter": [100, 300, 500],
+    "class_weight": [{0: 0.1, 1: 0.9}, {0: 0.3, 1: 0.7}],
+}
+
+
+@query("logistic_grid")
+def q_logistic_grid(spark, sf):
+    """H1 in full: 60 logistic points x 5 folds in shared scans."""
+    _, _, tr, _, _ = prepared(spark, sf)
+    folded = sm.stratified_folds(tr, "vec_id", "label", k=5)
+    return gr.grid_table(spark, gr.logistic_grid(folded, LOGISTIC_GRID))
+
+
 @query("cross_validate")
 def q_cross_validate(spark, sf):
     _, _, tr, _, _ = prepared(spark, sf)
