@@ -256,6 +256,7 @@ def _accuracy(rows: DataFrame, fits: list[list[Fit]], folds: list[int]) -> np.nd
         yield pd.DataFrame({"v": [np.concatenate([right.ravel(), seen])]})
 
     total = rows.mapInPandas(part, "v array<double>").select(array_to_vector("v").alias("v")).agg(Summarizer.sum(F.col("v"))).first()[0].toArray()
+    total = np.rint(total)
     return total[:-len(folds)].reshape(len(fits), len(folds)) / total[-len(folds):]
 
 

@@ -10,6 +10,7 @@ from tabstat.operators import evaluate as ev
 from tabstat.operators import grid as gr
 from tabstat.operators import models as md
 from tabstat.operators import sample as sm
+from tabstat.operators import trees as tg
 from tabstat.operators.profile import class_weights, with_weight_column
 from tabstat.plans.classification import compare_models_query, compare_roc_query, prepared
 from tabstat.plans.registry import query
@@ -146,6 +147,36 @@ def q_logistic_grid(spark, sf):
     return gr.grid_table(spark, gr.logistic_grid(folded, LOGISTIC_GRID))
 
 
+#: The grid of the reference's pre-pruned tree, 1,440 points.
+TREE_GRID = {
+    "max_depth": [5, 10, 15, 20],
+    "min_samples_split": [2, 6, 8, 10, 20],
+    "min_samples_leaf": [5, 10, 15],
+    "max_features": ["sqrt", "log2"],
+    "splitter": ["best", "random"],
+    "criterion": ["gini", "entropy"],
+    "class_weight": [{0: 3, 1: 7}, {0: 4, 1: 6}, {0: 1, 1: 9}],
+}
+
+
+@query("tree_grid")
+def q_tree_grid(spark, sf):
+    """G4 in full: 1,440 points x 5 folds from 432 trees grown in shared passes."""
+    _, _, tr, _, _ = prepared(spark, sf)
+    folded = sm.stratified_folds(tr, "vec_id", "label", k=5)
+    points, mean, best, _ = tg.pre_pruned_grid(folded, TREE_GRID)
+    rows = [(i, *(str(p[k]) for k in TREE_GRID), float(mean[i]), i == best) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "point int, " + ", ".join(f"{k} string" for k in TREE_GRID) + ", cv_accuracy double, best boolean")
+
+
+@query("extra_trees")
+def q_extra_trees(spark, sf):
+    """G3 as specified: 100 extremely randomised trees, classes weighted 3:7."""
+    _, _, tr, _, dim = prepared(spark, sf)
+    rows = tg.extra_trees_importance(tr, [f"e{i}" for i in range(dim)], weights=(3.0, 7.0))
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
 @query("cross_validate")
 def q_cross_validate(spark, sf):
     _, _, tr, _, _ = prepared(spark, sf)
