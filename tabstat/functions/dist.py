@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -408,14 +410,52 @@ def chi2_sf(x: float, k: float) -> float:
     return gammainc_upper(k / 2.0, x / 2.0)
 
 
+#: Largest n for which the distribution of D_n is evaluated exactly.
+EXACT_N = 2_000
+
+
+def kolmogorov_cdf_exact(d: float, n: int) -> float:
+    """P(D_n < d) for uniform samples, from the n-th power of a matrix of order
+    2k - 1, k = floor(nd) + 1 (Marsaglia, Tsang, Wang 2003). The power is by
+    squaring, exponents of ten kept apart."""
+    k = int(n * d) + 1
+    h, m = k - n * d, 2 * k - 1
+    i, j = np.indices((m, m))
+    a = np.where(i - j + 1 >= 0, 1.0, 0.0)
+    powers = h ** np.arange(1, m + 1)
+    a[:, 0] -= powers
+    a[m - 1, :] -= powers[::-1]
+    a[m - 1, 0] += max(2 * h - 1, 0.0) ** m
+    a *= np.exp([[-math.lgamma(max(x, 0) + 1) for x in row] for row in (i - j + 1).tolist()])
+    out, scale, base, base_scale, e = np.eye(m), 0, a, 0, n
+    while e:
+        if e & 1:
+            out, scale = out @ base, scale + base_scale
+        base, base_scale, e = base @ base, 2 * base_scale, e >> 1
+        if base[k - 1, k - 1] > 1e100:
+            base, base_scale = base * 1e-100, base_scale + 100
+        if out[k - 1, k - 1] > 1e100:
+            out, scale = out * 1e-100, scale + 100
+    p = out[k - 1, k - 1]
+    for x in range(1, n + 1):  # times n! / n^n
+        p *= x / n
+        if p < 1e-100:
+            p, scale = p * 1e100, scale - 100
+    return min(1.0, max(0.0, p * 10.0 ** scale))
+
+
 def kolmogorov_sf(d: float, n: int) -> float:
-    """P(D_n >= d), asymptotic Kolmogorov series with Stephens' small-n factor."""
+    """P(D_n >= d): exact up to n = EXACT_N, above it the asymptotic Kolmogorov
+    series with Stephens' factor. Where n d² is above 18 the value is below
+    1e-15 and the series is used at any n."""
     if n <= 0 or math.isnan(d):
         return math.nan
-    if d <= 0:
+    if d <= 1 / (2 * n):
         return 1.0
     if d >= 1:
         return 0.0
+    if n <= EXACT_N and n * d * d <= 18:
+        return max(0.0, 1.0 - kolmogorov_cdf_exact(d, n))
     sn = math.sqrt(n)
     lam = (sn + 0.12 + 0.11 / sn) * d
     if lam < 0.2:

@@ -12,6 +12,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def measured(x) -> Column:
+    """The value as double, NaN as NULL: a NaN is a missing measurement in
+    every operator that needs a place or a distance for each value."""
+    c = _c(x).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def safe_div(num, den, default=None) -> Column:
     """num / den, ``default`` (NULL) when den is 0 or NULL (ANSI-safe)."""
     n, d = _c(num), _c(den)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabstat.functions.exprs import right_closed_bins
+from tabstat.functions.exprs import measured, right_closed_bins
 
 # Largest vocabulary one_hot accepts (each category becomes a column).
 MAX_CATEGORIES = 10_000
@@ -100,7 +100,7 @@ class ScaleModel:
 
 
 def minmax_fit(df: DataFrame, cols: Sequence[str]) -> ScaleModel:
-    row = df.agg(*[F.min(c).alias(f"{c}__lo") for c in cols], *[F.max(c).alias(f"{c}__hi") for c in cols]).first()
+    row = df.agg(*[F.min(measured(c)).alias(f"{c}__lo") for c in cols], *[F.max(measured(c)).alias(f"{c}__hi") for c in cols]).first()
     shift, scale = {}, {}
     for c in cols:
         lo, hi = row[f"{c}__lo"], row[f"{c}__hi"]
@@ -111,14 +111,16 @@ def minmax_fit(df: DataFrame, cols: Sequence[str]) -> ScaleModel:
 
 
 def minmax_scale(train: DataFrame, test: DataFrame | None, cols: Sequence[str]):
-    """P5: fit min/max on train, apply to train and test."""
+    """P5: fit min/max on train (NaN counts as missing and stays NaN), apply to
+    train and test."""
     m = minmax_fit(train, cols)
     return m.transform(train, cols), (m.transform(test, cols) if test is not None else None), m
 
 
 def standard_fit(df: DataFrame, cols: Sequence[str]) -> ScaleModel:
-    """Mean and *population* std (the reference's scaler), zero std -> 1."""
-    row = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_pop(c).alias(f"{c}__s") for c in cols]).first()
+    """Mean and *population* std (the reference's scaler), zero std -> 1; NaN
+    counts as missing and stays NaN when scaled."""
+    row = df.agg(*[F.avg(measured(c)).alias(f"{c}__m") for c in cols], *[F.stddev_pop(measured(c)).alias(f"{c}__s") for c in cols]).first()
     shift = {c: float(row[f"{c}__m"] or 0.0) for c in cols}
     scale = {c: (float(row[f"{c}__s"]) if row[f"{c}__s"] else 1.0) for c in cols}
     return ScaleModel(shift, scale)
@@ -270,7 +272,7 @@ def _least(groups: int, most: int):
 
 
 def bounded_points(df: DataFrame, cols: Sequence[str], key: str, most: int, seed: int = 1729,
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), unit: Column | None = None) -> DataFrame:
     """At most ``most`` raw points of each group, for plots.
 
     A group keeps its ``most`` rows of least (portable hash of the integer key,
@@ -283,11 +285,13 @@ def bounded_points(df: DataFrame, cols: Sequence[str], key: str, most: int, seed
     Null is a group of ``by``; rows whose key is null come in no sample; rows of
     equal keys count each and are ordered by a hash of their columns. Output:
     key, by, cols, and ``n``, the number of rows with a key in the group.
+    ``unit`` is another number to order by, such as a hash whose order differs
+    more between seeds (the portable one is shifted by the seed).
     """
     names = list(dict.fromkeys([*by, key, *cols]))
     rows = df.where(F.col(key).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *names)
     groups = [f"_g{i}" for i in range(len(by))]
-    ranked = rows.withColumns({"_u": sample_unit(key, seed), "_k": F.col(key).cast("long"), "_h": F.xxhash64(*names)})
+    ranked = rows.withColumns({"_u": sample_unit(key, seed) if unit is None else unit.cast("double"), "_k": F.col(key).cast("long"), "_h": F.xxhash64(*names)})
     partial = ranked.mapInArrow(_least(len(by), most), ranked.schema).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(MERGE)))
     merged = partial.repartition(*groups, "_part").drop("_part").mapInArrow(_least(len(by), most), ranked.schema)
     order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_u", "_k", "_h")

@@ -100,16 +100,57 @@ def scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return unit, d, rank
 
 
-def singular_values(g: Gram) -> np.ndarray:
-    """M2: singular values of the uncentred matrix X (descending)."""
-    ev = np.linalg.eigvalsh(g.raw)
-    return np.sqrt(np.clip(ev[::-1], 0.0, None))
+#: Triangles merged in one task before the driver merges the rest.
+MERGE = 64
 
 
-def condition_number(g: Gram, rtol: float = 1e-12) -> float:
-    """M3: σmax/σmin; rank-deficient (σmin ≈ 0) -> inf."""
-    s = singular_values(g)
-    if s.size == 0 or s[-1] <= rtol * s[0]:
+def triangle(df: DataFrame, cols: Sequence[str], intercept: bool = False) -> np.ndarray:
+    """The R of X = QR (p x p; rows with a NULL or NaN are dropped first), with
+    a column of ones in front if ``intercept`` is set.
+
+    Every task keeps the R of what it has read and reads on; the tasks' R are
+    merged MERGE ways by a shuffle, then on the driver. X is never squared, so
+    the singular values of R are those of X to working precision, where the
+    Gramian's are lost below 1e-8 of the largest.
+    """
+    names = [f"x{i}" for i in range(len(cols))]
+    sel = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(cols, names)]).na.drop()
+    p = len(cols) + intercept
+
+    def reduced(batches):
+        r = np.zeros((0, p))
+        for b in batches:
+            a = np.hstack([np.ones((len(b), 1)), b[names].to_numpy(float)]) if intercept else b[names].to_numpy(float)
+            r = np.linalg.qr(np.vstack([r, a]), mode="r")
+        yield pd.DataFrame({"r": [r.ravel()]})
+
+    def merged(own: pd.DataFrame) -> pd.DataFrame:
+        r = np.vstack([np.asarray(v).reshape(-1, p) for v in own["r"]])
+        return pd.DataFrame({"r": [np.linalg.qr(r, mode="r").ravel()]})
+
+    parts = sel.mapInPandas(reduced, "r array<double>").withColumn("k", F.pmod(F.spark_partition_id(), F.lit(MERGE)))
+    rows = parts.groupBy("k").applyInPandas(lambda own: merged(own[["r"]]), "r array<double>").collect()
+    r = np.vstack([np.zeros((0, p)), *[np.array(x["r"]).reshape(-1, p) for x in rows]])
+    return np.linalg.qr(r, mode="r") if len(r) else np.zeros((0, p))
+
+
+def singular_values(x: Gram | np.ndarray) -> np.ndarray:
+    """M2: singular values of the uncentred matrix X (descending), from its
+    ``triangle``, or from a Gramian with half the digits."""
+    if isinstance(x, Gram):
+        return np.sqrt(np.clip(np.linalg.eigvalsh(x.raw)[::-1], 0.0, None))
+    s = np.linalg.svd(x, compute_uv=False)
+    return np.concatenate([s, np.zeros(x.shape[1] - len(s))])
+
+
+def condition_number(x: Gram | np.ndarray) -> float:
+    """M3: σmax/σmin; infinite when σmin is within rounding of 0 (p · eps · σmax
+    for a triangle, its square root for a Gramian)."""
+    s = singular_values(x)
+    if s.size == 0:
+        return float("inf")
+    tiny = len(s) * np.finfo(float).eps
+    if s[-1] <= (np.sqrt(tiny) if isinstance(x, Gram) else tiny) * s[0]:
         return float("inf")
     return float(s[0] / s[-1])
 

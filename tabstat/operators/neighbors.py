@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabstat.session import ship_package
+
 BLOCK_ROWS = 8192      # rows of a block, whatever the size of the table
 CHUNK_ROWS = 1024      # query rows per distance matrix inside a cell
 
@@ -226,6 +228,74 @@ def silhouette(df: DataFrame, features, cluster: str, id_col: str, block_rows: i
     return stats.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+def stratified_mean(values: dict, sizes: dict) -> tuple[float, float]:
+    """Mean and standard error of a value of which some members of each stratum
+    are known: strata weighted by size, sampled without replacement. A stratum
+    with one known member takes the pooled variance."""
+    n = sum(sizes.values())
+    known = {c: np.asarray(v, float) for c, v in values.items()}
+    free = sum(max(len(v) - 1, 0) for v in known.values())
+    pooled = sum(((v - v.mean()) ** 2).sum() for v in known.values()) / free if free else 0.0
+    mean = sum(sizes[c] / n * v.mean() for c, v in known.items())
+    var = sum((sizes[c] / n) ** 2 * (v.var(ddof=1) if len(v) > 1 else pooled) / len(v) * (1 - len(v) / sizes[c]) for c, v in known.items())
+    return float(mean), math.sqrt(max(var, 0.0))
+
+
+def silhouette_sampled(df: DataFrame, features, cluster: str, id_col: str, anchors: int = 200, seed: int = 23) -> DataFrame:
+    """U3 in linear time: mean Euclidean silhouette from ``anchors`` points of
+    each cluster (those of least hash; all points of a smaller one).
+
+    An anchor's own silhouette is exact: one pass over the table adds up the
+    distances from every row to all anchors (a small broadcast table, clusters
+    x anchors rows) by (anchor, cluster). The mean is weighted by the sizes of
+    the clusters. One row: silhouette, std_error, lo, hi (1.96 standard errors
+    either way), n, n_anchors; with every point an anchor the error is 0 and
+    the value that of ``silhouette``. Rows with a null id, cluster or vector
+    take no part; without rows the values are null.
+    """
+    from tabstat.operators.features import bounded_points
+
+    ship_package(df.sparkSession)
+    pts = df.select(F.col(id_col).cast("long").alias("_id"), vector_column(df, features).alias("_v"), F.col(cluster).cast("long").alias("_c")).na.drop()
+    picked = bounded_points(pts, ["_v"], "_id", anchors, by=["_c"], unit=F.xxhash64("_id", F.lit(seed))).orderBy("_c", "_id").collect()
+    schema = "silhouette double, std_error double, lo double, hi double, n long, n_anchors long"
+    if not picked:
+        return df.sparkSession.createDataFrame([(None, None, None, None, 0, 0)], schema)
+    av, aid, ac = np.array([r["_v"] for r in picked]), np.array([r["_id"] for r in picked]), np.array([r["_c"] for r in picked])
+    sizes = {r["_c"]: r["n"] for r in picked}
+    order = sorted(sizes)
+
+    def part(batches):
+        total = np.zeros((len(av), len(order)))
+        for b in batches:
+            for c0 in range(0, len(b), CHUNK_ROWS):
+                own = b.iloc[c0:c0 + CHUNK_ROWS]
+                v = _stack(own["_v"].tolist())
+                diff = np.sqrt(_sq_dist(v, av))
+                diff[own["_id"].to_numpy()[:, None] == aid[None, :]] = 0.0
+                for j, c in enumerate(order):
+                    total[:, j] += diff[own["_c"].to_numpy() == c].sum(0)
+        a, c = np.indices(total.shape)
+        yield pd.DataFrame({"a": a.ravel(), "c": c.ravel(), "s": total.ravel()})
+
+    sums = np.zeros((len(av), len(order)))
+    for r in pts.mapInPandas(part, "a long, c long, s double").groupBy("a", "c").agg(F.sum("s").alias("s")).collect():
+        sums[r["a"], r["c"]] = r["s"]
+    counts = np.array([sizes[c] for c in order], float)
+    at = np.array([order.index(c) for c in ac])
+    rows = np.arange(len(av))
+    own = counts[at] - 1
+    a = np.divide(sums[rows, at], own, out=np.zeros(len(av)), where=own > 0)
+    other = sums / counts
+    other[rows, at] = np.inf
+    b = other.min(1)
+    top = np.maximum(a, b)
+    s = np.where((own > 0) & np.isfinite(b) & (top > 0), (np.where(np.isfinite(b), b, 0) - a) / np.where((top > 0) & np.isfinite(top), top, 1), 0.0)
+    mean, error = stratified_mean({c: s[ac == c] for c in order}, sizes)
+    row = (mean, error, mean - 1.96 * error, mean + 1.96 * error, int(sum(sizes.values())), len(av))
+    return df.sparkSession.createDataFrame([row], schema)
+
+
 def silhouette_squared(df: DataFrame, features, cluster: str) -> float:
     """U3 at scale: MLlib's silhouette with squared Euclidean distance
     (O(n) via per-cluster sums; a different number from the Euclidean

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabstat.functions.exprs import bin_index, safe_div
+from tabstat.functions.exprs import bin_index, measured, safe_div
 from tabstat.operators.order_stats import melt_values, modes, quantile_wide
 from tabstat.operators.rank import _as_list, broadcast_if_small
 
@@ -161,13 +161,14 @@ def histogram(df: DataFrame, cols: Sequence[str], nbins: int = 20) -> DataFrame:
     """A10: equal-width counts over [min, max] per column, last bin closed.
 
     Output (column, bin, lo, hi, count) for non-empty bins; all columns share
-    one melt + one grouped count.
+    one melt + one grouped count. NaN counts as missing, here and in the other
+    operators of this module.
     """
     if not 1 <= nbins:
         raise ValueError("nbins must be >= 1")
     cols = list(cols)
-    r = df.agg(*[F.min(c).cast("double").alias(f"{c}__lo") for c in cols],
-               *[F.max(c).cast("double").alias(f"{c}__hi") for c in cols]).first()
+    r = df.agg(*[F.min(measured(c)).alias(f"{c}__lo") for c in cols],
+               *[F.max(measured(c)).alias(f"{c}__hi") for c in cols]).first()
     long = melt_values(df, cols)
     expr = None
     meta = []
@@ -191,7 +192,7 @@ def histogram(df: DataFrame, cols: Sequence[str], nbins: int = 20) -> DataFrame:
 def histogram_density(df: DataFrame, col: str, width: float = 1.0, origin: float = 0.0,
                       by: Sequence[str] = ()) -> DataFrame:
     """Fixed-width bins from ``origin``; density = count / (n · width)."""
-    x = F.col(col).cast("double")
+    x = measured(col)
     b = F.floor((x - F.lit(origin)) / F.lit(width)).cast("long")
     counted = df.where(x.isNotNull()).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     n = F.sum("count").over(Window.partitionBy(*by))  # over aggregated bins only
@@ -202,13 +203,13 @@ def histogram_density(df: DataFrame, col: str, width: float = 1.0, origin: float
 
 def histogram_2d(df: DataFrame, x: str, y: str, nx: int = 40, ny: int = 40) -> DataFrame:
     """2-D equal-width count grid (bx, by, count), non-empty cells."""
-    r = df.agg(F.min(x).cast("double").alias("xl"), F.max(x).cast("double").alias("xh"),
-               F.min(y).cast("double").alias("yl"), F.max(y).cast("double").alias("yh")).first()
+    both = df.select(measured(x).alias("x"), measured(y).alias("y"))
+    r = both.agg(F.min("x").alias("xl"), F.max("x").alias("xh"), F.min("y").alias("yl"), F.max("y").alias("yh")).first()
     if r["xl"] is None or r["yl"] is None:  # no row has both values
         return df.sparkSession.createDataFrame([], "bx long, by long, count long")
-    bx = bin_index(x, r["xl"], (r["xh"] - r["xl"]) / nx, nx)
-    by_ = bin_index(y, r["yl"], (r["yh"] - r["yl"]) / ny, ny)
-    return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    bx = bin_index("x", r["xl"], (r["xh"] - r["xl"]) / nx, nx)
+    by_ = bin_index("y", r["yl"], (r["yh"] - r["yl"]) / ny, ny)
+    return (both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
             .groupBy(bx.alias("bx"), by_.alias("by")).agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -231,7 +232,7 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
     the row count — the setting for very large inputs.
     """
     by = list(by)
-    x = F.col(col).cast("double")
+    x = measured(col)
     data = df.where(x.isNotNull()).select(*by, x.alias("_v"))
     stats = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_s"),
                                   F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -288,7 +289,7 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
     the row count; error O((w/h)²)).
     """
     by = list(by)
-    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    xc, yc = measured(x), measured(y)
     data = df.where(xc.isNotNull() & yc.isNotNull()).select(*by, xc.alias("_x"), yc.alias("_y"))
     stats = data.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.var_samp("_x").alias("_vx"), F.var_samp("_y").alias("_vy"),
@@ -342,7 +343,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5, m
     q = quantile_wide(df, [col], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by, method=method).drop("column")
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*by, "q1", "median", "q3", (F.col("q1") - k * iqr).alias("_lf"), (F.col("q3") + k * iqr).alias("_uf"))
-    x = F.col(col).cast("double")
+    x = measured(col)
     joined = _attach(df.where(x.isNotNull()).select(*by, x.alias("_x")), q, by)
     inside = (F.col("_x") >= F.col("_lf")) & (F.col("_x") <= F.col("_uf"))
     return joined.groupBy(*by).agg(

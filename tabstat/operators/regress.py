@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.functions.dist import chi2_sf, f_sf, t_ppf, t_two_sided_p
-from tabstat.operators.matrix import Gram, gramian, scaled
+from tabstat.operators.matrix import condition_number, Gram, gramian, scaled, triangle
 from tabstat.operators.normality import _k2_exprs
 from tabstat.functions.dist import _E
 
@@ -218,8 +218,10 @@ def ols_diagnostics(df: DataFrame, model: OLSResult, order_col: str | None = Non
                 F.sum(F.col("e") * F.col("e")).alias("ss")).first()
     n, skew, kurt = mom["n"], mom["skew"], (mom["kurt"] + 3.0 if mom["kurt"] is not None else None)
     jb = n / 6.0 * (skew ** 2 + (kurt - 3.0) ** 2 / 4.0) if skew is not None else float("nan")
-    zs, zk, k2 = _k2_exprs(_E(F.lit(float(n)), "n"), _E(F.lit(float(skew)), "s"), _E(F.lit(float(kurt)), "k"))
-    k2v = df.sparkSession.range(1).select(k2.col.alias("k2")).first()["k2"]
+    k2v = None  # constant residuals have no skew and no kurtosis
+    if skew is not None and kurt is not None:
+        zs, zk, k2 = _k2_exprs(_E(F.lit(float(n)), "n"), _E(F.lit(float(skew)), "s"), _E(F.lit(float(kurt)), "k"))
+        k2v = df.sparkSession.range(1).select(k2.col.alias("k2")).first()["k2"]
     out = {"n": n, "skew": skew, "kurtosis": kurt, "jarque_bera": jb, "jb_p": chi2_sf(jb, 2),
            "omnibus": k2v, "omnibus_p": chi2_sf(k2v, 2) if k2v is not None else None}
     if order_col:
@@ -228,19 +230,8 @@ def ols_diagnostics(df: DataFrame, model: OLSResult, order_col: str | None = Non
         prev = r.select((F.col("_r") + 1).alias("_r"), F.col("e").alias("_e0"))
         num = r.join(prev, "_r").agg(F.sum((F.col("e") - F.col("_e0")) ** 2).alias("s")).first()["s"]
         out["durbin_watson"] = float(num) / float(mom["ss"]) if mom["ss"] else float("nan")
-    cols = [model.y, *model.xs]
-    g = gramian(df, cols)
-    ix = g.index(model.xs)
-    if model.intercept:
-        p = len(ix)
-        a = np.zeros((p + 1, p + 1))
-        a[0, 0] = g.n
-        a[0, 1:] = a[1:, 0] = g.n * g.mean[ix]
-        a[1:, 1:] = g.raw[np.ix_(ix, ix)]
-    else:
-        a = g.raw[np.ix_(ix, ix)]
-    ev = np.linalg.eigvalsh(a)
-    out["condition_number"] = float(math.sqrt(ev[-1] / ev[0])) if ev[0] > 0 else float("inf")
+    whole = df.na.drop(subset=[model.y, *model.xs])
+    out["condition_number"] = condition_number(triangle(whole, model.xs, intercept=model.intercept))
     return out
 
 

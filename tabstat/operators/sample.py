@@ -6,7 +6,11 @@ a few ranks of that order: the hash is close to uniform, so a rank lies in a
 narrow band around its share of the hash range; rows below the band are
 counted and only the band (about sqrt(n) rows) is sorted. Rows are then
 assigned map-side by comparing with the bound; no row is moved. A band that
-misses its rank is widened until it holds it.
+misses its rank is widened until it holds it. Rows of a band are counted by key
+before they are ordered, so a key of many rows is one entry.
+
+A row whose key is null has no place in the order: it counts in no group, and
+is a training row, of fold 0.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ def _with_bounds(df: DataFrame, key: str, seed: int, by: Sequence[str], targets)
     row's own ``_at``. Groups (classes) are collected, rows are not."""
     spark = df.sparkSession
     types = dict(df.dtypes)
-    base = df.select(*by, sample_unit(key, seed).alias("_u"), F.col(key).alias("_k"))
+    base = df.where(F.col(key).isNotNull()).select(*by, sample_unit(key, seed).alias("_u"), F.col(key).alias("_k"))
     groups = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
     found: dict[tuple, tuple] = {}
     width = 8.0
@@ -59,15 +63,17 @@ def _with_bounds(df: DataFrame, key: str, seed: int, by: Sequence[str], targets)
             met = base.select("_u", "_k", F.explode(F.array(*want)).alias("_w")).select("_u", "_k", "_w.*")
         below = met.where("_u < _lo").groupBy(*by, "_j").agg(F.count(F.lit(1)).alias("_below"))
         order = Window.partitionBy(*by, "_j").orderBy("_u", "_k")
-        band = met.where("_u >= _lo and _u <= _hi").withColumn("_in", F.row_number().over(order))
+        band = met.where("_u >= _lo and _u <= _hi").groupBy(*by, "_j", "_rank", "_u", "_k").agg(F.count(F.lit(1)).alias("_c"))
+        band = band.withColumn("_in", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         hit = (band.alias("_x").join(below.alias("_y"), [*_same("_x", "_y", by), F.col("_x._j") == F.col("_y._j")], "left")
-               .where(F.col("_in") + F.coalesce("_below", F.lit(0)) == F.col("_rank"))
+               .withColumn("_to", F.col("_in") + F.coalesce("_below", F.lit(0)))
+               .where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_c") < F.col("_rank")))
                .select(*[F.col(f"_x.{c}") for c in by], F.col("_x._j").alias("_j"), "_u", "_k"))
         for r in hit.collect():
             found[(tuple(r[c] for c in by), r["_j"])] = (r["_u"], r["_k"])
         width *= 16
     kind = f"array<struct<u:double,k:{types[key]}>>"
-    tagged = df.withColumn("_at", F.struct(sample_unit(key, seed).alias("u"), F.col(key).alias("k")))
+    tagged = df.withColumn("_at", F.when(F.col(key).isNotNull(), F.struct(sample_unit(key, seed).alias("u"), F.col(key).alias("k"))))
     bounds = [(*(g[c] for c in by), [found.get((tuple(g[c] for c in by), j)) for j in range(len(targets(g["n"])))]) for g in groups]
     if not by:
         ends = [F.struct(F.lit(x[0]).alias("u"), F.lit(x[1]).alias("k")) if x else F.lit(None) for x in (bounds[0][0] if bounds else [])]

@@ -43,13 +43,13 @@ SELECT CAST(1 AS BIGINT) AS k, {_r4(f"sqrt({_EIG_HI})")} AS value FROM {_RAW2}
 UNION ALL SELECT CAST(2 AS BIGINT), {_r4(f"sqrt({_EIG_LO})")} FROM {_RAW2}
 """)
 def q_singular_values_2(spark, sf):
-    s = mx.singular_values(mx.gramian(_li(spark, sf), ["l_quantity", "l_discount"]))
+    s = mx.singular_values(mx.triangle(_li(spark, sf), ["l_quantity", "l_discount"]))
     return _frame(spark, [(i + 1, float(v)) for i, v in enumerate(s)], "k long, value double", 4)
 
 
 @query("condition_number_2", f"SELECT {_r4(f'sqrt({_EIG_HI} / {_EIG_LO})')} AS condition_number FROM {_RAW2}")
 def q_condition_number_2(spark, sf):
-    c = mx.condition_number(mx.gramian(_li(spark, sf), ["l_quantity", "l_discount"]))
+    c = mx.condition_number(mx.triangle(_li(spark, sf), ["l_quantity", "l_discount"]))
     return _frame(spark, [(c,)], "condition_number double", 4)
 
 

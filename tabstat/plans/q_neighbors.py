@@ -87,6 +87,12 @@ def q_silhouette_euclid(spark, sf):
     return rounded(nb.silhouette(_emb(spark, sf), "embedding", "label", "vec_id"))
 
 
+@query("silhouette_sampled")
+def q_silhouette_sampled(spark, sf):
+    """U3 from 50 anchors a cluster, with its standard error and interval."""
+    return nb.silhouette_sampled(_emb(spark, sf), "embedding", "label", "vec_id", anchors=50)
+
+
 # --- splits and folds by the portable hash; oversampling is rows-only ---
 
 _U = sample_unit_sql
