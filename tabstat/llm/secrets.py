@@ -13,7 +13,7 @@ host:port, where the host is a name with a letter, an IP address or an IPv6
 address in brackets, the port is at most 65535, and a URL or an assignment does
 not hold it already). Alone each is too common to report. The parts and the
 base spans of a text are interval-joined within scopes: a scope is a run of
-lines of one paragraph, at most SCOPE code points wide on either side of the
+lines of one paragraph (ended by an empty line, of either line ending), at most SCOPE code points wide on either side of the
 weak part; a part of any length that overlaps it is in it. A weak secret is reported (kind ``linked``)
 only where its scope also has a part of another role, an identifier or an
 endpoint next to it, that does not overlap it; the identifier that complements
@@ -47,10 +47,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is found where its maximal run starts
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
-_ID_WORD = re.compile(r"""(?i:access_?key(?:_?id)?|client_?id|account|username|user|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9_.@-]{3,64})""", re.ASCII)
+_ID_WORD = re.compile(r"""(?i:access_?key(?:_?id)?|client_?id|account|username|user|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9_.@-]{3,})""", re.ASCII)
 _ID_TOKEN = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}")
 _SECRET_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,10}://[^\s\"'<>]+")
+_PARAGRAPH = re.compile(r"\n\r?\n")
 _PORT = re.compile(r":([0-9]{1,5})(?![0-9A-Za-z_])")
 _IP = re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?!$)|$)){4}")
 _HOST_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-_")
@@ -73,9 +74,20 @@ def _mixed(token: str) -> bool:
     return kinds == 3 and len(set(token)) * 2 >= min(len(token), 40)
 
 
+def _overlapping(spans: list[tuple]):
+    """Tells whether any of the spans overlaps (start, end), by one search."""
+    spans = sorted((a, b) for a, b, *_ in spans)
+    starts, furthest = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def meets(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k > 0 and furthest[k - 1] > start
+    return meets
+
+
 def _host_ports(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """host:port outside the spans ``taken``."""
-    out = []
+    out, held = [], _overlapping(taken)
     for m in _PORT.finditer(text):
         if int(m[1]) > 65535:
             continue
@@ -92,7 +104,7 @@ def _host_ports(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]
             host = text[at:colon]
             if not host or host[-1] in ".-_" or ".." in host or not (any(c.isalpha() for c in host) or _IP.fullmatch(host)):
                 continue
-        if not any(a < m.end() and at < b for a, b in taken):
+        if not held(at, m.end()):
             out.append((at, m.end()))
     return out
 
@@ -113,24 +125,28 @@ def _parts(text: str) -> list[tuple[int, int, str]]:
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak secrets, and their identifiers, whose complements share a scope."""
-    parts = _parts(text)
-    weak = [p for p in parts if p[2] == "secret" and not any(s < p[1] and p[0] < e for s, e, _ in base)]
+    parts, known = _parts(text), _overlapping(base)
+    weak = [p for p in parts if p[2] == "secret" and not known(p[0], p[1])]
     if not weak:
         return []
     others = sorted([p for p in parts if p[2] != "secret"] + [(s, e, "id") for s, e, k in base if k == "access"])
     starts = [p[0] for p in others]
     furthest = list(accumulate((p[1] for p in others), max))  # of an end, up to each part
+    breaks = [m.start() for m in _PARAGRAPH.finditer(text)]
     found = set()
     for s, e, _ in weak:
         low, high = max(0, s - SCOPE), min(len(text), e + SCOPE)
-        low = max(low, text.rfind("\n\n", low, s) + 1)
-        stop = text.find("\n\n", e, high)
-        high = high if stop < 0 else stop
+        own = bisect_left(breaks, s)
+        if own:
+            low = max(low, breaks[own - 1] + 1)
+        own = bisect_left(breaks, e)
+        if own < len(breaks):
+            high = min(high, breaks[own])
         for k in range(bisect_right(furthest, low), bisect_left(starts, high)):
             a, b, role = others[k]
             if b > low and (b <= s or a >= e):
                 found.add((s, e, "linked"))
-                if role == "id" and not any(x < b and a < y for x, y, _ in base):
+                if role == "id" and not known(a, b):
                     found.add((a, b, "linked"))
     return sorted(found)
 

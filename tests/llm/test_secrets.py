@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tabstat.llm import secrets
 
 TEXTS = ['token = "abcdefghijkl" x', "PASSWORD:short", "api_key=" + "Z" * 12 + " apikey : 'q1234567890123'", "AKIA" + "A" * 14, "AKIA" + "B" * 13, "deadbeefdeadbeef 0123456789abcdef0", "x" * 70_000 + " secret=" + "a" * 30,
@@ -52,3 +55,59 @@ def test_long_parts_beside_a_secret():
     assert secrets.scan_text(f"{url} password: hunter22") == [(len(url) + 11, len(url) + 19, "linked")]
     assert secrets.scan_text(f"password: hunter22 {url}") == [(10, 18, "linked")]
     assert secrets.scan_text(f"{url} {'w ' * 100}password: hunter22") == []
+
+
+def test_identifiers_of_any_length_go_whole():
+    name = "svc." + "xyz-" * 31 + "@corp"
+    assert secrets.redact_text(f"user: {name} 9fK2mQ7xLp0ZtRw8Vb3Nc5Hj") == "user: [LINKED] [LINKED]"
+
+
+def test_paragraphs_of_either_line_ending():
+    for gap in ("\n\n", "\r\n\r\n"):
+        assert secrets.scan_text("user: alice" + gap + TEXTS[8]) == []
+        assert secrets.scan_text("user: alice" + gap[len(gap) // 2:] + TEXTS[8])[1:] != []
+
+
+def brute_linked(text, base):
+    """Every weak secret against every other part."""
+    parts = secrets._parts(text)
+    clash = lambda a, b, spans: any(s < b and a < e for s, e, *_ in spans)
+    others = [p for p in parts if p[2] != "secret"] + [(s, e, "id") for s, e, k in base if k == "access"]
+    out = set()
+    for s, e, role in parts:
+        if role != "secret" or clash(s, e, base):
+            continue
+        gaps = [m.start() for m in re.finditer(r"\n\r?\n", text)]
+        low = max([0, s - secrets.SCOPE, *(g + 1 for g in gaps if g < s)])
+        high = min([len(text), e + secrets.SCOPE, *(g for g in gaps if g >= e)])
+        for a, b, other in others:
+            if b > low and a < high and (b <= s or a >= e):
+                out.add((s, e, "linked"))
+                if other == "id" and not clash(a, b, base):
+                    out.add((a, b, "linked"))
+    return sorted(out)
+
+
+PIECES = ["user: alice ", "client_id=" + "q" * 90 + " ", "9fK2mQ7xLp0ZtRw8Vb3Nc5Hj ", "password: hunter22 ", "AKIA" + "A" * 16 + " ", "db.internal:5432 ", "https://x.org/a?b=c ",
+          "\n\n", "\r\n\r\n", "\n", "plain words stand here " * 6, "secret=" + "z" * 20 + " ", "deadbeef" * 3 + " "]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25))
+def test_linked_spans_equal_a_brute_force_join(pieces):
+    text = "".join(pieces)
+    base = secrets.base_spans(text)
+    assert secrets.linked_spans(text, base) == brute_linked(text, base)
+
+
+def test_time_follows_the_length():
+    import time
+
+    def seconds(n):
+        text = "".join(f"user: name{k} password: hunt{k:04d} host db{k}.internal:5432 token={k:020d}\n" for k in range(n))
+        at = time.perf_counter()
+        secrets.scan_text(text)
+        return time.perf_counter() - at
+
+    seconds(500)
+    assert seconds(8_000) < 4 * 2.5 * max(seconds(2_000), 0.02)
