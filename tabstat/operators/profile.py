@@ -213,6 +213,17 @@ def histogram_2d(df: DataFrame, x: str, y: str, nx: int = 40, ny: int = 40) -> D
             .groupBy(bx.alias("bx"), by_.alias("by")).agg(F.count(F.lit(1)).alias("count")))
 
 
+#: Bandwidths beyond which a kernel counts as 0 (exp(-REACH² / 2) < 3e-18).
+REACH = 9.0
+
+
+def _window(offset: Column, width: Column, step: Column, grid: int) -> Column:
+    """Grid indices (lo, hi) within REACH widths of a value ``offset`` above
+    the first grid point; lo > hi where there is none."""
+    return F.struct(F.greatest(F.lit(0), F.ceil((offset - REACH * width) / step)).cast("int").alias("lo"),
+                    F.least(F.lit(grid - 1), F.floor((offset + REACH * width) / step)).cast("int").alias("hi"))
+
+
 def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: str | float = "scott",
         bins: int | None = None) -> DataFrame:
     """Gaussian KDE on a grid of ``grid`` points per group.
@@ -220,8 +231,9 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
     Bandwidth h = factor · sample std (Scott n^(-1/5) or Silverman); grid
     x_i = min + i·(max-min)/grid, i = 0..grid-1. Output (by..., i, x, density).
     Values are first collapsed to (value, count), then each distinct value
-    adds count·φ((x_i - v)/h) to every grid point: exact, with work
-    proportional to the number of distinct values.
+    adds count·φ((x_i - v)/h) to the grid points within REACH bandwidths, the
+    others being below 3e-18 of its peak: the sum is exact to double precision,
+    with work proportional to distinct values x grid points in reach.
 
     A group of one row or one distinct value has no density: it gives one row
     (i = 0, x = the value, density NULL).
@@ -244,7 +256,7 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
         fac = F.pow(F.col("_n").cast("double") * F.lit(0.75), F.lit(-0.2))
     else:
         fac = F.lit(float(bw))
-    stats = stats.withColumn("_h", fac * F.col("_s"))
+    stats, _ = broadcast_if_small(stats.withColumn("_h", fac * F.col("_s")))  # a row per group
     flat = stats.where(~F.coalesce(F.col("_h") > 0, F.lit(False))).select(
         *by, F.lit(0).cast("long").alias("i"), F.col("_lo").alias("x"), F.lit(None).cast("double").alias("density"))
     stats = stats.where(F.col("_h") > 0)
@@ -260,8 +272,13 @@ def kde(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 500, bw: st
     gx = F.col("_lo") + F.col("i") * (F.col("_hi") - F.col("_lo")) / F.lit(float(grid))
     z = (gx - F.col("_v")) / F.col("_h")
     contrib = F.col("_c") * F.exp(-0.5 * z * z)
-    expanded = joined.select(*by, "_v", "_c", "_lo", "_hi", "_h", "_n",
-                             F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    names = [*by, "_v", "_c", "_lo", "_hi", "_h", "_n"]
+    near = _window(F.col("_v") - F.col("_lo"), F.col("_h"), (F.col("_hi") - F.col("_lo")) / F.lit(float(grid)), grid)
+    expanded = joined.withColumn("_w", near).where("_w.lo <= _w.hi").select(*names, F.explode(F.sequence("_w.lo", "_w.hi")).alias("i"))
+    # every grid point of every group is there, also one that no value is near
+    spine = stats.select(*by, F.col("_lo").alias("_v"), F.lit(0).cast("long").alias("_c"), "_lo", "_hi", "_h", "_n",
+                         F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    expanded = expanded.unionByName(spine)
     dens = expanded.groupBy(*by, "i").agg(
         F.sum(contrib).alias("_k"), F.first(gx).alias("x"),
         F.first(F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))).alias("_norm"))
@@ -284,7 +301,10 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
 
     Σ_h = factor² · sample covariance, factor = n^(-1/6) (Scott, d = 2).
     Grid: grid × grid points over [min, max] of each axis (i/grid spacing).
-    Output (by..., ix, iy, x, y, density). ``bins`` snaps points to the
+    Output (by..., ix, iy, x, y, density); a value adds to the grid points
+    within REACH bandwidths on either axis. A group without spread in two
+    dimensions has no density: it gives one row (ix = iy = 0, its least values,
+    density NULL), as in ``kde``. ``bins`` snaps points to the
     centres of a bins × bins lattice per group first (work independent of
     the row count; error O((w/h)²)).
     """
@@ -303,8 +323,14 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
         f2 = F.lit(float(bw) ** 2)
     a, b, c = F.col("_vx") * f2, F.col("_cxy") * f2, F.col("_vy") * f2
     det = a * c - b * b
-    stats = stats.select(*by, "_n", "_xl", "_xh", "_yl", "_yh", (c / det).alias("_ia"), (-b / det).alias("_ib"),
-                         (a / det).alias("_ic"), det.alias("_det")).where(F.col("_det") > 0)
+    spread = F.coalesce(det > 0, F.lit(False))
+    stats, _ = broadcast_if_small(stats.select(  # a row per group
+        *by, "_n", "_xl", "_xh", "_yl", "_yh", F.sqrt(a).alias("_sx"), F.sqrt(c).alias("_sy"), F.when(spread, c / det).alias("_ia"),
+        F.when(spread, -b / det).alias("_ib"), F.when(spread, a / det).alias("_ic"), F.when(spread, det).alias("_det")))
+    flat = stats.where("_det is null and _xl is not null").select(
+        *by, F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"), F.col("_xl").alias("x"), F.col("_yl").alias("y"),
+        F.lit(None).cast("double").alias("density"))
+    stats = stats.where("_det is not null")
     if bins:
         lat = _attach(data, stats, by)
         wx = (F.col("_xh") - F.col("_xl")) / F.lit(float(bins))
@@ -317,19 +343,25 @@ def kde_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = (), grid: int = 40
     else:
         collapsed = data.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c"))
         joined = _attach(collapsed, stats, by)
-    cell = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("_k")
-    ex = joined.select("*", cell)
-    ix, iy = (F.col("_k") / grid).cast("int"), F.pmod(F.col("_k"), F.lit(grid))
+    wx = _window(F.col("_x") - F.col("_xl"), F.col("_sx"), (F.col("_xh") - F.col("_xl")) / F.lit(float(grid)), grid)
+    wy = _window(F.col("_y") - F.col("_yl"), F.col("_sy"), (F.col("_yh") - F.col("_yl")) / F.lit(float(grid)), grid)
+    ex = joined.withColumns({"_wx": wx, "_wy": wy}).where("_wx.lo <= _wx.hi and _wy.lo <= _wy.hi")
+    ex = ex.withColumn("_i", F.explode(F.sequence("_wx.lo", "_wx.hi"))).withColumn("_j", F.explode(F.sequence("_wy.lo", "_wy.hi"))).drop("_wx", "_wy")
+    # every grid point of every group is there, also one that no value is near
+    spine = stats.withColumns({"_x": F.col("_xl"), "_y": F.col("_yl"), "_c": F.lit(0).cast("long")})
+    spine = spine.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    ex = ex.unionByName(spine.select(*ex.columns))
+    ix, iy = F.col("_i"), F.col("_j")
     gx = F.col("_xl") + ix * (F.col("_xh") - F.col("_xl")) / F.lit(float(grid))
     gy = F.col("_yl") + iy * (F.col("_yh") - F.col("_yl")) / F.lit(float(grid))
     dx, dy = gx - F.col("_x"), gy - F.col("_y")
     q = F.col("_ia") * dx * dx + 2 * F.col("_ib") * dx * dy + F.col("_ic") * dy * dy
-    dens = ex.groupBy(*by, "_k").agg(
+    dens = ex.groupBy(*by, "_i", "_j").agg(
         F.sum(F.col("_c") * F.exp(-0.5 * q)).alias("_s"), F.first(ix).alias("ix"), F.first(iy).alias("iy"),
         F.first(gx).alias("x"), F.first(gy).alias("y"),
         F.first(F.col("_n") * F.lit(2 * math.pi) * F.sqrt("_det")).alias("_norm"))
     return dens.select(*by, F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "x", "y",
-                       (F.col("_s") / F.col("_norm")).alias("density"))
+                       (F.col("_s") / F.col("_norm")).alias("density")).unionByName(flat)
 
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), k: float = 1.5, method: str = "exact") -> DataFrame:

@@ -131,3 +131,26 @@ def test_sampled_silhouette(spark):
     inside = sum(abs(m - s.mean()) <= 1.96 * e for m, e in map(estimate, range(100)))
     assert inside >= 90
     assert nb.silhouette_sampled(df.limit(0), "v", "c", "id").first().silhouette is None
+
+
+def test_kde_windows_equal_the_full_sum(spark):
+    """Two far clusters: grid points between them are out of every reach."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, 150), rng.normal(500, 2, 150)])
+    y = np.concatenate([rng.normal(0, 1, 150), rng.normal(-80, 3, 150)])
+    df = spark.createDataFrame([(float(a), float(b), "flat" if k < 0 else "g") for k, (a, b) in enumerate(zip(x, y))] + [(1.0, 2.0, "flat")] * 3, "x double, y double, g string")
+    got = pr.kde(df.where("g = 'g'"), "x", grid=400, bw=0.01).orderBy("i").toPandas()
+    h = 0.01 * x.std(ddof=1)
+    at = x.min() + np.arange(400) * (x.max() - x.min()) / 400
+    full = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1) / (300 * h * math.sqrt(2 * math.pi))
+    assert len(got) == 400 and np.abs(got.density.to_numpy() - full).max() < 1e-12 and (got.density == 0).any()
+    two = pr.kde_2d(df, "x", "y", by=["g"], grid=30, bw=0.05).toPandas()
+    own = two[two.g == "g"].sort_values(["ix", "iy"])
+    pts = np.column_stack([x, y])
+    cov = np.cov(pts.T) * 0.05 ** 2
+    inv = np.linalg.inv(cov)
+    d = np.stack([own.x, own.y], axis=1)[:, None] - pts[None]
+    full = np.exp(-0.5 * np.einsum("abi,ij,abj->ab", d, inv, d)).sum(1) / (300 * 2 * math.pi * math.sqrt(np.linalg.det(cov)))
+    assert len(own) == 900 and np.abs(own.density.to_numpy() - full).max() < 1e-12
+    flat = two[two.g == "flat"]
+    assert len(flat) == 1 and (flat.iloc[0].x, flat.iloc[0].y) == (1.0, 2.0) and math.isnan(flat.iloc[0].density)
