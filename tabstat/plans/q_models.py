@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabstat.operators import boost as bo
 from tabstat.operators import evaluate as ev
 from tabstat.operators import grid as gr
 from tabstat.operators import models as md
@@ -69,6 +70,16 @@ def q_boost(spark, sf):
     return _metrics(md.boosted_trees(tr, max_iter=20, max_depth=3, weight_col="w").transform(te), "gbt")
 
 
+@query("second_order_boost")
+def q_second_order_boost(spark, sf):
+    """G7, second order: 50 rounds of depth 3 with row and column sampling, the
+    positive class weighted by n_neg / n_pos."""
+    _, _, tr, te, _ = prepared(spark, sf)
+    ratio = class_weights(tr, "label").where("label = 1").first()["pos_weight"]
+    model = bo.boosted_trees(tr, rounds=50, max_depth=3, subsample=0.8, colsample=0.8, pos_weight=float(ratio))
+    return ev.classification_metrics(ev.apply_threshold(model.score(te), "score", 0.5), "label", "pred", model="second_order_boost")
+
+
 @query("svm")
 def q_svm(spark, sf):
     """Linear and rbf kernels with balanced weights and Platt scores (64

@@ -34,7 +34,7 @@ def single(data, p):
     return LogisticRegression(regParam=reg, elasticNetParam=float(p["penalty"] == "l1"), standardization=False, maxIter=2000, tol=1e-12, weightCol="w").fit(w)
 
 
-@pytest.mark.parametrize("k", range(0, 32, 3))
+@pytest.mark.parametrize("k", (0, 5, 11, 17, 23, 30))
 def test_every_kind_of_point_equals_a_single_fit(data, fitted, k):
     p = fitted.points[k]
     for own, part in ((fitted.refits[k], data), (fitted.fold_fits[k][1], data.where("fold <> 1"))):
