@@ -436,12 +436,12 @@ def kolmogorov_cdf_exact(d: float, n: int) -> float:
             base, base_scale = base * 1e-100, base_scale + 100
         if out[k - 1, k - 1] > 1e100:
             out, scale = out * 1e-100, scale + 100
-    p = out[k - 1, k - 1]
+    p = float(out[k - 1, k - 1])
     for x in range(1, n + 1):  # times n! / n^n
         p *= x / n
         if p < 1e-100:
             p, scale = p * 1e100, scale - 100
-    return min(1.0, max(0.0, p * 10.0 ** scale))
+    return float(min(1.0, max(0.0, p * 10.0 ** scale)))
 
 
 def kolmogorov_sf(d: float, n: int) -> float:
