@@ -10,6 +10,7 @@ from tabstat.operators import boost as bo
 from tabstat.operators import evaluate as ev
 from tabstat.operators import grid as gr
 from tabstat.operators import models as md
+from tabstat.operators import network as nw
 from tabstat.operators import sample as sm
 from tabstat.operators import trees as tg
 from tabstat.operators.profile import class_weights, with_weight_column
@@ -114,6 +115,33 @@ def q_learning_curve(spark, sf):
     return spark.createDataFrame(rows, "epochs int, dataset string, accuracy double, loss double")
 
 
+@query("network")
+def q_network(spark, sf):
+    """G9 by Adam, ReLU and dropout: 50 epochs of 4 batches, label at p > 0.4;
+    one network without each of five folds and one of all rows, trained in the
+    same jobs, each measured on rows it has not seen."""
+    _, _, tr, te, _ = prepared(spark, sf)
+    folded = sm.stratified_folds(tr, "vec_id", "label", k=5)
+    folded = materialize(folded, "persist")
+    nets = nw.fit(folded, "vec_id", epochs=50, steps=4, learning_rate=5e-3, fold="fold")
+    rows = None
+    for fold, net in nets.items():
+        unseen, name = (te, "network") if fold is None else (folded.where(F.col("fold") == fold), f"network_fold_{fold}")
+        r = ev.classification_metrics(ev.apply_threshold(net.score(unseen), "score", 0.4), "label", "pred", model=name)
+        rows = r if rows is None else rows.unionByName(r)
+    return rows
+
+
+@query("network_curve")
+def q_network_curve(spark, sf):
+    """Loss and accuracy after each of 50 epochs on 80 % of the training
+    rows, on the other 20 % and on the test rows."""
+    _, _, tr, te, _ = prepared(spark, sf)
+    fit, valid = sm.stratified_split(tr, "vec_id", "label", 0.2, 17)
+    net = nw.fit(fit, "vec_id", epochs=50, steps=4, learning_rate=5e-3)[None]
+    return nw.learning_curve(net, {"train": fit, "valid": valid, "test": te})
+
+
 @query("kmeans")
 def q_kmeans(spark, sf):
     _, _, tr, te, _ = prepared(spark, sf)
