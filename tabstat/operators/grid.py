@@ -1,4 +1,5 @@
-"""H1: a whole grid of regularised logistic fits, all folds, in shared scans.
+"""A whole grid of regularised logistic fits or support vector machines,
+all folds, in shared scans.
 
 Every (penalty, C, class weights, fold) is a column of one weight matrix. A
 pass over the rows evaluates the loss, gradient and Hessian of every column
@@ -36,6 +37,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabstat.operators.models import KernelMap, kernel_map, mean_variance
 from tabstat.session import materialize, ship_package
 
 TOL = 1e-9          # largest change of a scaled weight at the end
@@ -88,7 +90,22 @@ def _mass(y: np.ndarray, f: np.ndarray, weights: np.ndarray, fold: np.ndarray) -
     return np.where(y[:, None] == 1, weights[None, :, 1], weights[None, :, 0]) * (f[:, None] != fold[None, :])
 
 
-def _passed(rows: DataFrame, w: np.ndarray, weights: np.ndarray, fold: np.ndarray, which: np.ndarray) -> dict[int, np.ndarray]:
+def _logistic(z: np.ndarray, y: np.ndarray):
+    """Loss, slope and bend in the margin z of label y."""
+    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    return np.logaddexp(0, z) - y * z, p - y, p * (1 - p)
+
+
+def _squared_hinge(z: np.ndarray, y: np.ndarray):
+    sign = 2 * y - 1
+    short = np.maximum(1 - sign * z, 0.0)
+    return short ** 2, -2 * sign * short, 2.0 * (short > 0)
+
+
+LOSSES = {"logistic": _logistic, "squared_hinge": _squared_hinge}
+
+
+def _passed(rows: DataFrame, w: np.ndarray, weights: np.ndarray, fold: np.ndarray, which: np.ndarray, loss: str = "logistic") -> dict[int, np.ndarray]:
     """Sums over the rows for the columns ``which``: weight, loss, gradient,
     and the upper half of the Hessian, at weights ``w`` (intercept first)."""
     d = w.shape[1]
@@ -102,12 +119,11 @@ def _passed(rows: DataFrame, w: np.ndarray, weights: np.ndarray, fold: np.ndarra
             x = np.hstack([np.ones((len(b), 1)), np.vstack(b["x"].to_numpy())])
             y, f = b["y"].to_numpy(), b["f"].to_numpy()
             m = _mass(y, f, weights, fold)
-            z = x @ w.T
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            value, slope, bend = LOSSES[loss](x @ w.T, y[:, None])
             total[:, 0] += m.sum(0)
-            total[:, 1] += (m * (np.logaddexp(0, z) - y[:, None] * z)).sum(0)
-            total[:, 2:2 + d] += (m * (p - y[:, None])).T @ x
-            bend = m * p * (1 - p)
+            total[:, 1] += (m * value).sum(0)
+            total[:, 2:2 + d] += (m * slope).T @ x
+            bend = m * bend
             for c in range(len(which)):
                 total[c, 2 + d:] += ((x * bend[:, c:c + 1]).T @ x)[upper]
         yield pd.DataFrame({"c": which, "v": list(total)})
@@ -153,7 +169,8 @@ def _objective(total: np.ndarray, w: np.ndarray, lam: np.ndarray, l1: np.ndarray
     return total + np.where(l1, lam * np.abs(w[:, 1:]).sum(1), lam / 2 * (w[:, 1:] ** 2).sum(1))
 
 
-def logistic_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str = "fold", label: str = "label", features: str = "features") -> Grid:
+def logistic_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str = "fold", label: str = "label", features: str = "features",
+                  loss: str = "logistic") -> Grid:
     """Cross-validated accuracy of every point of ``grid`` (keys penalty: l1 or
     l2, C, max_iter, class_weight: a mapping of label to weight or None;
     missing keys have one value: l2, 1.0, 100, None), points in the order of
@@ -161,6 +178,7 @@ def logistic_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str = "f
 
     Points that differ in ``max_iter`` only share their columns; one whose
     limit is below the steps to convergence takes the iterate it stands at.
+    ``loss`` is ``logistic`` or ``squared_hinge`` (a support vector machine).
     """
     ship_package(train.sparkSession)
     values = {"penalty": ["l2"], "C": [1.0], "max_iter": [100], "class_weight": [None], **grid}
@@ -194,7 +212,7 @@ def logistic_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str = "f
         while len(active):
             if passes >= MAX_PASSES:
                 raise RuntimeError(f"{len(active)} columns did not converge in {MAX_PASSES} passes")
-            sums = _passed(rows, trial[active], weights[active], held[active], active)
+            sums = _passed(rows, trial[active], weights[active], held[active], active, loss)
             passes += 1
             taken = []
             for c in active:
@@ -240,6 +258,62 @@ def logistic_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str = "f
         rows.unpersist()
 
 
+@dataclass
+class SvmGrid:
+    """Points, accuracy (points, folds), and each point's kernel map and fit on
+    all rows; ``best`` is the first maximum of the mean accuracy."""
+
+    points: list[dict]
+    accuracy: np.ndarray
+    maps: list[KernelMap]
+    refits: list[Fit]
+
+    @property
+    def best(self) -> int:
+        return int(np.argmax(self.accuracy.mean(1)))
+
+    def margin(self, df: DataFrame, point: int | None = None, features: str = "features", out: str = "margin") -> DataFrame:
+        """Adds the margin of a point's model (the best one's)."""
+        k = self.best if point is None else point
+        fit, wide = self.refits[k], self.maps[k].transform(df, features, "_mapped")
+        terms = F.zip_with(vector_to_array("_mapped"), F.array(*(F.lit(float(c)) for c in fit.coefficients)), lambda a, b: a * b)
+        return wide.withColumn(out, F.aggregate(terms, F.lit(fit.intercept), lambda s, v: s + v)).drop("_mapped")
+
+
+def svm_grid(train: DataFrame, grid: Mapping[str, Sequence], dim: int, fold: str = "fold", label: str = "label", features: str = "features",
+             class_weight: Mapping[int, float] | None = None, n_components: int = 128, seed: int = 1729) -> SvmGrid:
+    """Cross-validated accuracy of support vector machines over C, kernel
+    (linear, rbf, poly of degree 3) and gamma (scale, auto or a number).
+
+    Kernels are feature maps of ``n_components`` columns (random Fourier
+    features, tensor sketches), the loss is the squared hinge. Every C and fold
+    of a map is a column of the same scans; points that differ in the gamma of
+    a linear kernel only share their columns.
+    """
+    values = {"C": [1.0], "kernel": ["rbf"], "gamma": ["scale"], **grid}
+    if set(values) - {"C", "kernel", "gamma"} or set(values["kernel"]) - {"linear", "rbf", "poly"}:
+        raise ValueError("a grid of C, kernel (linear, rbf, poly) and gamma")
+    points = [dict(zip(values, v)) for v in product(*values.values())]
+    variance = mean_variance(train.where(F.col(features).isNotNull()), features)
+    done: dict[tuple, tuple[KernelMap, Grid]] = {}
+    for p in points:
+        key = (p["kernel"], None if p["kernel"] == "linear" else p["gamma"])
+        if key not in done:
+            own = kernel_map({"poly": "poly_sketch"}.get(p["kernel"], p["kernel"]), dim, p["gamma"], n_components, variance, seed)
+            mapped = own.transform(train.where(F.col(features).isNotNull()), features, "_mapped").select(F.col("_mapped").alias("x"), label, fold)
+            done[key] = own, logistic_grid(mapped, {"C": values["C"], "class_weight": [class_weight]}, fold, label, "x", "squared_hinge")
+    own = [done[(p["kernel"], None if p["kernel"] == "linear" else p["gamma"])] for p in points]
+    at = [values["C"].index(p["C"]) for p in points]
+    return SvmGrid(points, np.stack([g.accuracy[i] for (_, g), i in zip(own, at)]), [m for m, _ in own], [g.refits[i] for (_, g), i in zip(own, at)])
+
+
+def svm_table(spark, grid: SvmGrid) -> DataFrame:
+    """One row a point: its parameters, accuracy on each fold, mean, best."""
+    rows = [(i, p["kernel"], float(p["C"]), str(p["gamma"]), [float(a) for a in grid.accuracy[i]], float(grid.accuracy[i].mean()), i == grid.best)
+            for i, p in enumerate(grid.points)]
+    return spark.createDataFrame(rows, "point int, kernel string, C double, gamma string, fold_accuracy array<double>, cv_accuracy double, best boolean")
+
+
 def _accuracy(rows: DataFrame, fits: list[list[Fit]], folds: list[int]) -> np.ndarray:
     """Share of right predictions of each fit on the fold it did not see."""
     w = np.array([[[m.intercept, *m.coefficients] for m in own] for own in fits])   # points, folds, d

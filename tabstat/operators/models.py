@@ -11,10 +11,10 @@ capability matches, not the decimals. Mappings:
 * extra-trees importance: forest without bootstrap, sqrt features (random
   thresholds have no MLlib form).
 * SVM: LinearSVC; rbf via random Fourier features, poly(3) via
-  PolynomialExpansion; Platt probabilities from a 1-D logistic fit on the
+  PolynomialExpansion or, for many columns, a tensor sketch; Platt probabilities from a 1-D logistic fit on the
   margin.
 * neural net: MultilayerPerceptronClassifier (sigmoid hidden layers,
-  L-BFGS); probability of class 1 cut at a threshold (0.4 by default).
+  L-BFGS; ``network`` has ReLU, dropout and Adam); probability of class 1 cut at a threshold (0.4 by default).
 
 Folds come from :func:`stratified_folds` (hash-deterministic), fed to
 ``CrossValidator(foldCol=...)``; the best grid point is the first maximum.
@@ -161,17 +161,36 @@ def boosted_trees(train: DataFrame, label: str = "label", features: str = "featu
 
 @dataclass
 class KernelMap:
-    """Feature map for kernel SVMs: random Fourier features or a polynomial."""
+    """Feature map for kernel SVMs: random Fourier features, all monomials
+    (``poly``) or a tensor sketch of (γ x·y + coef0)^degree (``poly_sketch``).
+
+    For a sketch ``w`` holds a bucket and ``b`` a sign for each factor and
+    component. A null vector maps to null.
+    """
     kind: str
     w: np.ndarray | None = None
     b: np.ndarray | None = None
     degree: int = 3
+    width: int = 0
+    gamma: float = 1.0
+    coef0: float = 0.0
 
     def transform(self, df: DataFrame, features: str = "features", out: str = "kfeatures") -> DataFrame:
         if self.kind == "linear":
             return df.withColumn(out, F.col(features))
         if self.kind == "poly":
             return PolynomialExpansion(degree=self.degree, inputCol=features, outputCol=out).transform(df)
+        if self.kind == "poly_sketch":
+            own = self
+
+            @F.pandas_udf("array<double>")
+            def sketched(col: pd.Series) -> pd.Series:
+                known = col[col.notna()]
+                done = iter(own.sketch(np.vstack(known.to_numpy())) if len(known) else ())
+                return pd.Series([next(done) if some else None for some in col.notna()], index=col.index, dtype=object)
+
+            z = sketched(F.when(F.col(features).isNotNull(), vector_to_array(F.col(features))))
+            return df.withColumn(out, F.when(z.isNotNull(), array_to_vector(z)))
         w, b = self.w, self.b
         scale = math.sqrt(2.0 / w.shape[0])
 
@@ -183,11 +202,25 @@ class KernelMap:
 
         return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col(features)))))
 
+    def sketch(self, x: np.ndarray) -> np.ndarray:
+        """Rows whose inner products estimate the polynomial kernel without bias:
+        count sketches of each factor, multiplied in the frequency domain."""
+        x = np.hstack([math.sqrt(self.gamma) * x, np.full((len(x), 1), math.sqrt(self.coef0))])
+        product = np.ones((len(x), self.width // 2 + 1), complex)
+        for bucket, sign in zip(self.w, self.b):
+            # components of a bucket are added up: d + 1 columns become ``width``
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            counted = np.zeros((len(x), self.width))
+            counted[:, bucket[order][starts]] = np.add.reduceat((x * sign)[:, order], starts, axis=1)
+            product *= np.fft.rfft(counted, axis=1)
+        return np.fft.irfft(product, self.width, axis=1)
+
 
 def kernel_map(kind: str, dim: int, gamma: float | str = "scale", n_components: int = 100,
-               variance: float = 1.0, seed: int = 1729) -> KernelMap:
-    """rbf: Rahimi-Recht features for exp(-γ‖x-y‖²); gamma 'scale' =
-    1/(d·var), 'auto' = 1/d."""
+               variance: float = 1.0, seed: int = 1729, degree: int = 3, coef0: float = 0.0) -> KernelMap:
+    """rbf: Rahimi-Recht features for exp(-γ‖x-y‖²); poly_sketch: a tensor
+    sketch of ``n_components`` columns; gamma 'scale' = 1/(d·var), 'auto' = 1/d."""
     if kind in ("linear", "poly"):
         return KernelMap(kind)
     if gamma == "scale":
@@ -197,6 +230,9 @@ def kernel_map(kind: str, dim: int, gamma: float | str = "scale", n_components:
     else:
         g = float(gamma)
     rng = np.random.default_rng(seed)
+    if kind == "poly_sketch":
+        return KernelMap(kind, rng.integers(0, n_components, size=(degree, dim + 1)), rng.choice([-1.0, 1.0], size=(degree, dim + 1)),
+                         degree, n_components, g, coef0)
     return KernelMap("rbf", rng.normal(0.0, math.sqrt(2 * g), size=(n_components, dim)),
                      rng.uniform(0, 2 * math.pi, size=n_components))
 

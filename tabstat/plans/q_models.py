@@ -4,6 +4,7 @@ checks are in tests/test_models.py)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabstat.operators import boost as bo
@@ -13,7 +14,9 @@ from tabstat.operators import models as md
 from tabstat.operators import network as nw
 from tabstat.operators import sample as sm
 from tabstat.operators import trees as tg
+from tabstat.operators.features import melt
 from tabstat.operators.profile import class_weights, with_weight_column
+from tabstat.operators.rank import global_rank
 from tabstat.plans.classification import compare_models_query, compare_roc_query, prepared
 from tabstat.plans.registry import query
 from tabstat.session import materialize
@@ -83,23 +86,61 @@ def q_second_order_boost(spark, sf):
 
 @query("svm")
 def q_svm(spark, sf):
-    """Linear and rbf kernels with balanced weights and Platt scores (64
-    random features; the polynomial map of the 64 components is left out, it
-    would have 45,760 columns)."""
+    """Linear, rbf and cubic kernels with balanced weights and Platt scores
+    (64 random features; a tensor sketch of 256 columns, as the 64 components
+    have 45,760 monomials)."""
     _, _, tr, te, dim = prepared(spark, sf)
     tr = with_weight_column(tr, "label", "balanced", out="w")
     rows = None
-    for kind in ("linear", "rbf"):
-        km = md.kernel_map(kind, dim, gamma="scale", n_components=64, variance=md.mean_variance(tr))
+    variance = md.mean_variance(tr)
+    for kind, width in (("linear", 0), ("rbf", 64), ("poly_sketch", 256)):
+        km = md.kernel_map(kind, dim, gamma="scale", n_components=width, variance=variance)
         ktr, kte = km.transform(tr), km.transform(te)
         ktr = materialize(ktr, "persist")  # the optimiser scans it every iteration
         m = md.svm(ktr, features="kfeatures", C=1.0, weight_col="w")
         scored = md.platt_scores(md.platt(m, ktr), m.transform(kte))
-        r = ev.classification_metrics(ev.apply_threshold(scored, "score", 0.5), "label", "pred", model=f"svm_{kind}")
+        r = ev.classification_metrics(ev.apply_threshold(scored, "score", 0.5), "label", "pred", model=f"svm_{kind.removesuffix('_sketch')}")
         rows = r if rows is None else rows.unionByName(r)
     return rows
 
 
+@query("poly_kernel_error")
+def q_poly_kernel_error(spark, sf):
+    """How far tensor sketches of rising width are from the cubic kernel,
+    over every embedding and the one after it in order of vec_id: the root mean
+    square error as a share of the kernel's scale, sqrt(k(x, x) k(y, y))."""
+    tr, te, _, _, dim = prepared(spark, sf)
+    both = md.assemble(tr.unionByName(te), "embedding", keep=["vec_id"])
+    ranked = global_rank(both, ["vec_id"], rank_col="_r")
+    maps = {width: md.kernel_map("poly_sketch", dim, gamma="auto", n_components=width) for width in (128, 512, 2048)}
+    for width, km in maps.items():
+        ranked = km.transform(ranked, out=f"z{width}").withColumn(f"z{width}", vector_to_array(f"z{width}"))
+    ranked = materialize(ranked.withColumn("x", vector_to_array("features")).drop("features"), "checkpoint")
+    after = ranked.select((F.col("_r") - 1).alias("_r"), *(F.col(c).alias(f"{c}_next") for c in ranked.columns if c not in ("_r", "vec_id")))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    def cubic(a, b):
+        return F.pow(dot(a, b) / dim, 3)
+
+    pairs = ranked.join(after, "_r")
+    scale = F.sqrt(cubic("x", "x") * cubic("x_next", "x_next"))
+    errors = [F.sqrt(F.avg(F.pow((dot(f"z{w}", f"z{w}_next") - cubic("x", "x_next")) / scale, 2))).alias(f"sketch_{w}") for w in maps]
+    return melt(pairs.agg(F.count(F.lit(1)).alias("pairs"), *errors), ["pairs"], [f"sketch_{w}" for w in maps], "kernel", "rms_error")
+
+
+@query("svm_grid")
+def q_svm_grid(spark, sf):
+    """C x kernel x gamma with balanced weights, five folds, all values of C
+    and all folds of a kernel in shared scans."""
+    _, _, tr, _, dim = prepared(spark, sf)
+    folded = materialize(sm.stratified_folds(tr, "vec_id", "label", k=5), "persist")
+    weights = {r["label"]: r["balanced_weight"] for r in class_weights(folded, "label").collect()}
+    grid = gr.svm_grid(folded, {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf", "poly"], "gamma": ["scale", "auto"]}, dim, class_weight=weights)
+    return gr.svm_table(spark, grid)
+
+
 @query("mlp")
 def q_mlp(spark, sf):
     _, _, tr, te, dim = prepared(spark, sf)
