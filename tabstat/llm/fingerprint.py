@@ -6,10 +6,13 @@ P[i] = sum of (c_j + 1) * B^j for j < i, modulo p. The hash of any span
 two, are compared in one step, and the longest common extension of two
 positions is found by binary search.
 
-A fingerprint holds the length and hash of the whole text and the SKETCH
-smallest mixed hashes of its spans of GRAM code points (SHORT_GRAM in texts
-below four times GRAM). Likeness of two fingerprints is 1 for equal whole hashes and lengths;
-else it estimates the share of common spans from the smallest hashes of both.
+A fingerprint holds the length and hash of the whole text and two sketches: the
+SKETCH smallest mixed hashes of its spans of SHORT_GRAM code points, and of those
+of GRAM. Likeness of two fingerprints is 1 for equal whole hashes and lengths;
+else it estimates the share of common spans from the smallest hashes of both,
+by the long spans where both texts have four times GRAM code points, by the
+short ones (of all of a shorter text) where either has fewer. Every text has
+both sketches, so like is compared with like at any two lengths.
 
 The next document. Documents are range-partitioned and sorted by doc_id; a
 partition streams through once, each row with the one after it. The first and
@@ -28,6 +31,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,7 @@ GRAM, SHORT_GRAM, SKETCH = 12, 3, 32
 PART = 5_000
 
 _U = np.uint64
+_HEAD = struct.Struct("<QQB")
 
 
 class _Powers:
@@ -103,11 +108,11 @@ class PrefixHashes:
         return low
 
 
-def _sketch(hashes: PrefixHashes) -> np.ndarray:
+def _sketch(hashes: PrefixHashes, gram: int) -> np.ndarray:
     """The smallest different mixed span hashes, 32 bits each."""
     if not hashes.n:
         return np.empty(0, np.uint32)
-    gram = GRAM if hashes.n >= 4 * GRAM else min(SHORT_GRAM, hashes.n)
+    gram = min(gram, hashes.n)
     x = hashes.spans(np.arange(hashes.n - gram + 1), gram)
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
     x = ((x ^ (x >> _U(32))) >> _U(16)).astype(np.uint32)
@@ -120,16 +125,18 @@ def _sketch(hashes: PrefixHashes) -> np.ndarray:
     return np.unique(x)[:SKETCH]
 
 
-def fingerprint(hashes: PrefixHashes) -> str:
-    """Length, whole hash and sketch as text."""
-    return f"{hashes.n:x}.{hashes.whole():016x}.{base64.b64encode(_sketch(hashes).tobytes()).decode()}"
+def _packed(hashes: PrefixHashes) -> bytes:
+    """Length, whole hash, size of the short sketch, both sketches."""
+    short, long = (_sketch(hashes, gram).astype("<u4") for gram in (SHORT_GRAM, GRAM))
+    return _HEAD.pack(hashes.n, hashes.whole(), len(short)) + short.tobytes() + long.tobytes()
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1 from two fingerprints alone."""
+def _likeness(a: bytes, b: bytes) -> float:
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(base64.b64decode(f.rpartition(".")[2]), np.uint32) for f in (a, b))
+    (n, _, k), (m, _, j) = _HEAD.unpack_from(a), _HEAD.unpack_from(b)
+    x, y = (np.frombuffer(f, "<u4", offset=_HEAD.size) for f in (a, b))
+    x, y = (x[k:], y[j:]) if min(n, m) >= 4 * GRAM else (x[:k], y[:j])
     if not len(x) or not len(y):
         return 0.0
     union = np.union1d(x, y)
@@ -139,6 +146,16 @@ def likeness(a: str, b: str) -> float:
     return float(np.isin(union, both, assume_unique=True).mean())
 
 
+def fingerprint(hashes: PrefixHashes) -> str:
+    """The fingerprint as text."""
+    return base64.b64encode(_packed(hashes)).decode()
+
+
+def likeness(a: str, b: str) -> float:
+    """0 to 1 from two fingerprints alone."""
+    return _likeness(base64.b64decode(a), base64.b64decode(b))
+
+
 def edited(text: str, after: str) -> str:
     """The last half of the text replaced by the start of the next one."""
     half = len(text) // 2
@@ -149,19 +166,20 @@ def _pair(text: str, own: tuple, after: str, after_print: str) -> tuple:
     hashes, mark = own
     changed = edited(text, after)
     other = PrefixHashes(code_points(changed))
-    changed_mark = fingerprint(other)
-    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mark, changed_mark,
-            likeness(mark, changed_mark), likeness(mark, after_print), hashes.extension(0, other, 0))
+    changed_mark = _packed(other)
+    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), mark, changed_mark,
+            _likeness(mark, changed_mark), _likeness(mark, after_print), hashes.extension(0, other, 0))
 
 
 def _prints(text: str) -> tuple:
     hashes = PrefixHashes(code_points(text))
-    return hashes, fingerprint(hashes)
+    return hashes, _packed(hashes)
 
 
-_FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+# digests and fingerprints stay bytes in what is written on the way
+_FIELDS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, common_prefix long"
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64()]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -213,4 +231,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _TYPES))], ["doc_id", *_NAMES])
 
-    return done.where("edge is null").select("doc_id", *_NAMES).unionByName(edges.mapInArrow(close, f"doc_id {kind}, {_FIELDS}"))
+    rows = done.where("edge is null").select("doc_id", *_NAMES).unionByName(edges.mapInArrow(close, f"doc_id {kind}, {_FIELDS}"))
+    return rows.withColumns({"edited_sha256": F.lower(F.hex("edited_sha256")), **{c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}})
