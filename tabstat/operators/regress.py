@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabstat.functions.dist import chi2_sf, f_sf, t_ppf, t_two_sided_p
+from tabstat.operators.features import standard_fit
 from tabstat.operators.matrix import condition_number, Gram, gramian, scaled, triangle
 from tabstat.operators.normality import _k2_exprs
 from tabstat.functions.dist import _E
@@ -152,6 +153,19 @@ class OLSResult:
                          (mean + q * se_obs).alias("obs_hi"))
 
 
+def interval_in_units(train: DataFrame, test: DataFrame, y: str, xs: Sequence[str], alpha: float = 0.05, keep: Sequence[str] = ()) -> DataFrame:
+    """R7 in original units: target and predictors are standardised by the
+    training rows, the fit and its intervals are taken on that scale, and mean
+    and bounds are turned back. ``test`` needs no target; a row with a null
+    predictor has null bounds."""
+    scaler = standard_fit(train, [y, *xs])
+    model = ols_fit(scaler.transform(train, [y, *xs]), y, xs)
+    held = {f"_keep_{k}": F.col(c) for k, c in enumerate(keep)}  # a kept predictor stays as it was
+    out = model.prediction_interval(scaler.transform(test.withColumns(held) if held else test, xs), alpha, keep=list(held))
+    bounds = [scaler.inverse(c, y).alias(c) for c in ("mean", "mean_lo", "mean_hi", "obs_lo", "obs_hi")]
+    return out.select(*(F.col(h).alias(c) for h, c in zip(held, keep)), *bounds)
+
+
 def _solve(a: np.ndarray, b: np.ndarray):
     """Least-squares solve at unit diagonal, with the rank (the minimum-norm
     solution of the scaled system where columns depend on each other)."""

@@ -196,6 +196,34 @@ def q_prediction_interval_1(spark, sf):
     return m.prediction_interval(li.where(F.col("l_shipdate") >= split), keep=["l_orderkey", "l_linenumber"])
 
 
+# the t quantile of v degrees of freedom from the normal one, to v^-3 (v is thousands here)
+_T975 = ("(1.959963984540054 + (z3 + z) / (4 * v) + (5 * z5 + 16 * z3 + 3 * z) / (96 * v * v) "
+         "+ (3 * z7 + 19 * z5 + 17 * z3 - 15 * z) / (384 * v * v * v))")
+_UNITS = {"mean": "", "mean_lo": " - t * sqrt(s2 * lever)", "mean_hi": " + t * sqrt(s2 * lever)",
+          "obs_lo": " - t * sqrt(s2 * (1 + lever))", "obs_hi": " + t * sqrt(s2 * (1 + lever))"}
+
+
+@query("prediction_interval_units", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_shipdate < TIMESTAMP '{SPLIT}' AS train, CAST(l_quantity AS DOUBLE) AS x,
+                  CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+c AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my FROM r WHERE train AND x IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy
+      FROM r, c WHERE train AND x IS NOT NULL AND y IS NOT NULL),
+k AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 2) AS s2, CAST(n - 2 AS DOUBLE) AS v, 1.959963984540054 AS z FROM c, s),
+q AS (SELECT *, pow(z, 3) AS z3, pow(z, 5) AS z5, pow(z, 7) AS z7 FROM k),
+m AS (SELECT *, {_T975} AS t FROM q),
+o AS (SELECT r.*, m.*, 1.0 / n + (x - mx) * (x - mx) / sxx AS lever FROM r, m WHERE NOT train)
+SELECT l_orderkey, l_linenumber, {", ".join(f"round(my + b * (x - mx){e}, 4) AS {c}" for c, e in _UNITS.items())} FROM o
+""")
+def q_prediction_interval_units(spark, sf):
+    """R7 on standardised columns, turned back into prices."""
+    li = _li(spark, sf)
+    split = F.lit(SPLIT).cast("timestamp_ntz")
+    out = rg.interval_in_units(li.where(F.col("l_shipdate") < split), li.where(F.col("l_shipdate") >= split), "l_extendedprice", ["l_quantity"],
+                               keep=["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", *(F.round(c, 4).alias(c) for c in _UNITS))
+
+
 @query("backward_elimination")
 def q_backward_elimination(spark, sf):
     log, _ = rg.backward_elimination(_li(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],

@@ -73,6 +73,19 @@ def test_backward_elimination_auto_drops_noise(spark):
     assert all(row[9] > 0.05 for row in log)
 
 
+def test_interval_in_units_equals_the_unscaled_fit(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50, 2)) * [3.0, 200.0] + [10.0, -40.0]
+    y = x @ [2.0, 0.05] + 7 + rng.normal(size=50)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id int, x1 double, x2 double, y double")
+    test = df.where("id % 5 = 0").drop("y").unionByName(spark.createDataFrame([(99, None, 1.0)], "id int, x1 double, x2 double"))
+    want = {r.id: r for r in rg.ols_fit(df, "y", ["x1", "x2"]).prediction_interval(test, 0.1, ["id", "x1"]).collect()}
+    got = rg.interval_in_units(df, test, "y", ["x1", "x2"], 0.1, ["id", "x1"]).collect()
+    assert len(got) == 11
+    for r in got:
+        assert tuple(r)[2:] == (None,) * 5 if r.id == 99 else tuple(r) == pytest.approx(tuple(want[r.id]), rel=1e-9)
+
+
 def test_prediction_interval_single_predictor(spark):
     pdf, df = _reg_frame(spark)
     m = rg.ols_fit(df, "y", ["x1"])
