@@ -20,10 +20,16 @@ limit. So a limit on depth or on the rows of a node to be split only cuts a
 tree short, and ``pre_pruned_grid`` reads all such points of a grid from one
 tree per remaining setting.
 
+A node of at most LOCAL_ROWS rows is grown to its end by one task, which gets
+the rows of that node only (bin numbers for the splitter ``best``) and returns
+what the call asks of the subtree: its part of the importances, its counts of
+held-out rows at each limit, or its nodes. The driver thus holds the nodes above
+that size, and whole trees only where ``grow`` is asked for them. Trees whose
+rows together exceed WAVE_ROWS are finished in turn, which bounds the shuffle.
+
 Counts of rows (``min_split``, ``min_leaf``) ignore class weights, impurities
 and labels use them. A drawn feature that is constant in a node is replaced by
-the next one drawn. Rows with a null label, fold or feature take no part. The
-trees themselves are held on the driver: size the depth for it.
+the next one drawn. Rows with a null label, fold or feature take no part.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ from tabstat.session import materialize, ship_package
 
 BINS = 32            # bins of a feature for the best splitter
 EDGE_ROWS = 10_000   # rows (of least hash) whose quantiles bound the bins
+LOCAL_ROWS = 16_384  # training rows of a node that one task grows to its end
+WAVE_ROWS = 4_000_000  # rows of such nodes, over all trees, moved at once
 
 
 @dataclass(frozen=True)
@@ -75,17 +83,27 @@ class Tree:
     def depth(self, k: int) -> int:
         return self.number[k].bit_length() - 1
 
+    def add(self, number: int, rows: int, mass: tuple[float, float]) -> int:
+        """A new node without a split; its place."""
+        for column, v in ((self.number, number), (self.feature, -1), (self.threshold, 0.0), (self.left, -1), (self.right, -1), (self.rows, rows), (self.mass, mass)):
+            column.append(v)
+        return len(self.number) - 1
+
     def label(self, k: int) -> int:
         return int(self.mass[k][1] > self.mass[k][0])
 
-    def importance(self, d: int) -> np.ndarray:
-        """Decrease of weighted impurity by feature, scaled to sum 1."""
+    def decrease(self, d: int) -> np.ndarray:
+        """Decrease of weighted impurity by feature."""
         out = np.zeros(d)
         for k, f in enumerate(self.feature):
             if f >= 0:
                 m, a, b = (np.array(self.mass[i]) for i in (k, self.left[k], self.right[k]))
                 out[f] += sum(s * x.sum() * impurity(x[None], self.growth.criterion)[0] for s, x in ((1, m), (-1, a), (-1, b)))
-        return out / out.sum() if out.sum() > 0 else out
+        return out
+
+    def importance(self, d: int) -> np.ndarray:
+        """The decrease by feature, scaled to sum 1."""
+        return _scaled(self.decrease(d))
 
     def stops(self, max_depth: int, min_split: int) -> np.ndarray:
         """Nodes at which the tree cut short by these limits ends."""
@@ -99,6 +117,10 @@ class Tree:
         return np.array(sorted(out))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / v.sum() if v.sum() > 0 else v
+
+
 def impurity(mass: np.ndarray, criterion: str) -> np.ndarray:
     """Gini impurity or entropy (bits) of class weights in the last axis."""
     total = mass.sum(-1, keepdims=True)
@@ -212,53 +234,201 @@ def _choose(g: Growth, counts: np.ndarray, features: np.ndarray, thresholds: np.
     threshold, rows left, weights left) or None. Ties go to the feature tried
     first, then the smaller threshold."""
     whole = counts[0, -1]
+    total = whole[1:].sum()
+    if whole[1] == 0 or whole[2] == 0:
+        return None
+    left = counts[:, :-1]
+    right = whole - left
+    least = max(1, g.min_leaf)
+    fine = (left[..., 0] >= least) & (right[..., 0] >= least) & np.isfinite(thresholds) & ~constant[:, None]
+    gain = impurity(whole[None, 1:], g.criterion)[0] - sum(s[..., 1:].sum(-1) / total * impurity(s[..., 1:], g.criterion) for s in (left, right))
+    gain = np.where(fine, gain, -1.0)
+    cut = np.argmax(gain >= gain.max(1, keepdims=True) - 1e-12, axis=1)
+    value, some = gain[np.arange(len(cut)), cut], fine.any(1)
     best, tried = None, 0
-    for j, f in enumerate(features):
-        if constant[j]:
-            continue
-        left = counts[j, :-1]
-        right = whole - left
-        fine = (left[:, 0] >= max(1, g.min_leaf)) & (right[:, 0] >= max(1, g.min_leaf)) & np.isfinite(thresholds[j])
-        total = whole[1:].sum()
-        gain = impurity(whole[None, 1:], g.criterion)[0] - sum(
-            np.divide(s[:, 1:].sum(1), total, out=np.zeros(len(s)), where=total > 0) * impurity(s[:, 1:], g.criterion) for s in (left, right))
-        gain = np.where(fine, gain, -1.0)
-        c = int(np.argmax(gain >= gain.max() - 1e-12))
-        if fine.any() and (best is None or gain[c] > best[0] + 1e-12):
-            best = (float(gain[c]), int(f), float(thresholds[j][c]), left[c])
+    for j in np.flatnonzero(~constant):
+        if some[j] and (best is None or value[j] > best[0] + 1e-12):
+            c = cut[j]
+            best = (float(value[j]), int(features[j]), float(thresholds[j][c]), left[j, c])
         tried += 1
         if g.max_features and tried >= g.max_features and best is not None:
             break
-    if best is None or whole[1] == 0 or whole[2] == 0:
-        return None
-    return best[1:]
+    return None if best is None else best[1:]
+
+
+def _drawn_cuts(g: Growth, number: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of a node of a ``random`` tree with their threshold, from the
+    ranges of all features, and which of them are constant."""
+    f = drawn(g, number, len(low))
+    low, high = low[f], high[f]
+    flat = high <= low
+    if g.max_features:  # as many as can matter: that many that vary
+        f = f[np.cumsum(~flat) <= g.max_features] if (~flat).any() else f[:1]
+        low, high, flat = low[:len(f)], high[:len(f)], flat[:len(f)]
+    cut = low + draw(g.seed, number, f, 1) * (high - low)
+    return f, np.where(cut >= high, low, cut)[:, None], flat
+
+
+def _counts(side: np.ndarray, width: int, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(features x width, 3): rows and weights of class 0 and 1 by feature and bin."""
+    n = side.shape[1] * width
+    slot = (np.arange(side.shape[1]) * width + side).ravel()
+    rep = lambda v: np.repeat(v, side.shape[1])
+    return np.stack([np.bincount(slot, minlength=n), np.bincount(slot, rep(w * (y == 0)), n), np.bincount(slot, rep(w * (y == 1)), n)], axis=1)
+
+
+def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1).astype(np.uint8 if edges.shape[1] < 256 else np.uint32)
+
+
+def _subtree(g: Growth, number: int, x: np.ndarray, y: np.ndarray, max_depth: int, min_split: int, edges: np.ndarray) -> Tree:
+    """The tree below one node from all its training rows. For the splitter
+    ``best`` both ``x`` and the thresholds are numbers of bins."""
+    tree, w, d = Tree(g, number=[number]), np.array(g.weights)[y], x.shape[1]
+    numbers = np.where(np.isfinite(edges), np.arange(edges.shape[1]), np.inf)
+    stack = [(0, np.arange(len(y)))]
+    while stack:
+        k, own = stack.pop()
+        ones = y[own] == 1
+        m = (float(w[own][~ones].sum()), float(w[own][ones].sum()))
+        tree.rows[k], tree.mass[k] = len(own), m
+        if tree.depth(k) >= max_depth or len(own) < max(2, min_split) or m[0] == 0 or m[1] == 0:
+            continue
+        rows = x[own]
+        if g.splitter == "random":
+            f, cut, flat = _drawn_cuts(g, tree.number[k], rows.min(0), rows.max(0))
+            counts = np.cumsum(_counts((rows[:, f] > cut[:, 0]).astype(np.int64), 2, y[own], w[own]).reshape(len(f), 2, 3), axis=1)
+            split = _choose(g, counts, f, cut, flat)
+        else:
+            order = drawn(g, tree.number[k], d)
+            split = None
+            for f in (order[:g.max_features or d], order):  # further features only where these have no split
+                width = edges.shape[1] + 1
+                counts = np.cumsum(_counts(rows[:, f].astype(np.int64), width, y[own], w[own]).reshape(len(f), width, 3), axis=1)
+                split = _choose(g, counts, f, numbers[f], np.zeros(len(f), bool))
+                if split is not None or len(f) == d:
+                    break
+        if split is None:
+            continue
+        tree.feature[k], tree.threshold[k] = split[:2]
+        go = rows[:, split[0]] <= split[1]
+        for side, part in enumerate((own[go], own[~go])):
+            (tree.right if side else tree.left)[k] = tree.add(2 * tree.number[k] + side, 0, (0.0, 0.0))
+            stack.append((len(tree.number) - 1, part))
+    return tree
 
 
 def grow(train: DataFrame, growths: Sequence[Growth], max_depth: int, min_split: int = 2, label: str = "label", features: str = "features",
-         fold: str | None = None, bins: int = BINS) -> list[Tree]:
-    """One tree per growth, all in the same passes."""
+         fold: str | None = None, bins: int = BINS, local_rows: int = LOCAL_ROWS) -> list[Tree]:
+    """One tree per growth, all in the same passes; the driver holds them whole."""
     ship_package(train.sparkSession)
     rows = materialize(_rows(train, label, features, fold), "persist")
     try:
-        return _grow(rows, growths, max_depth, min_split, bins)
+        return _whole(rows, *_grow(rows, growths, max_depth, min_split, bins, local_rows), max_depth, min_split)
     finally:
         rows.unpersist()
 
 
+def _whole(rows: DataFrame, trees: list[Tree], pending: list[tuple[int, int]], edges: np.ndarray, max_depth: int, min_split: int) -> list[Tree]:
+    """The trees with the subtrees of their pending nodes."""
+
+    def nodes(tree, x, y):
+        return np.column_stack([tree.number, tree.feature, tree.threshold, tree.left, tree.right, tree.rows, tree.mass]).ravel()
+
+    for (t, k), v in sorted(_finish(rows, trees, pending, edges, max_depth, min_split, nodes).items()):
+        tree, at = trees[t], []
+        for i, (number, _, _, _, _, n, *mass) in enumerate(v.reshape(-1, 8)):
+            at.append(tree.add(int(number), int(n), tuple(mass)) if i else k)
+            tree.rows[at[i]], tree.mass[at[i]] = int(n), tuple(mass)
+        for i, (_, f, threshold, left, right, *_) in enumerate(v.reshape(-1, 8)):
+            if f >= 0:
+                tree.feature[at[i]] = int(f)
+                tree.threshold[at[i]] = float(edges[int(f), int(threshold)]) if tree.growth.splitter == "best" else float(threshold)
+                tree.left[at[i]], tree.right[at[i]] = at[int(left)], at[int(right)]
+    return trees
+
+
+def _finish(rows: DataFrame, trees: list[Tree], pending: list[tuple[int, int]], edges: np.ndarray, max_depth: int, min_split: int, report,
+            held: bool = False) -> dict[tuple[int, int], np.ndarray]:
+    """(tree, node) -> ``report(subtree, x, y)`` of the pending nodes, each grown
+    to its end by one task; x, y are the rows of the tree's own fold that reach
+    the node (none unless ``held``)."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    wave: list[tuple[int, int]] = []
+    size = 0
+    for i, (t, k) in enumerate(pending):
+        wave.append((t, k))
+        size += trees[t].rows[k]
+        if size >= WAVE_ROWS or i + 1 == len(pending):
+            out.update(_finish_wave(rows, trees, wave, edges, max_depth, min_split, report, held))
+            wave, size = [], 0
+    return out
+
+
+def _finish_wave(rows, trees, wave, edges, max_depth, min_split, report, held):
+    of: dict[int, list[int]] = {}
+    for t, k in wave:
+        of.setdefault(t, []).append(k)
+    flat, growths = {t: _flat([trees[t]])[0] for t in of}, {t: trees[t].growth for t in of}
+    numbers = {(t, k): trees[t].number[k] for t, k in wave}
+    d = len(edges)
+
+    def route(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x, y, f = _inputs(b)
+            bins = _binned(x, edges) if edges.shape[1] else None
+            for t, nodes in of.items():
+                g = growths[t]
+                mine = np.arange(len(x)) if held else np.flatnonzero(f != g.fold)
+                at = _walk(x[mine], flat[t])
+                order = np.argsort(at, kind="stable")
+                mine, at = mine[order], at[order]
+                found = []
+                for k in nodes:
+                    own = mine[np.searchsorted(at, k):np.searchsorted(at, k, "right")]
+                    if len(own):
+                        block = bins[own] if g.splitter == "best" else x[own]
+                        found.append((t, k, block.tobytes(), y[own].tobytes(), (f[own] == g.fold).tobytes()))
+                if found:
+                    yield pd.DataFrame(found, columns=["t", "k", "x", "y", "h"])
+
+    def finish(key, blocks):
+        t, k = map(int, key)
+        g = growths[t]
+        kind = (np.uint8 if edges.shape[1] < 256 else np.uint32) if g.splitter == "best" else float
+        x = np.frombuffer(b"".join(blocks["x"]), kind).reshape(-1, d)
+        y, h = np.frombuffer(b"".join(blocks["y"]), np.int64), np.frombuffer(b"".join(blocks["h"]), bool)
+        tree = _subtree(g, numbers[t, k], x[~h], y[~h], max_depth, min_split, edges)
+        return pd.DataFrame({"t": [t], "k": [k], "v": [np.asarray(report(tree, x[h], y[h]), float)]})
+
+    moved = rows.mapInPandas(route, "t int, k int, x binary, y binary, h binary").repartition(min(len(wave), 256), "t", "k")
+    got = moved.groupBy("t", "k").applyInPandas(finish, "t int, k int, v array<double>").collect()
+    return {(r["t"], r["k"]): np.array(r["v"]) for r in got}
+
+
 def _rows(train: DataFrame, label: str, features: str, fold: str | None) -> DataFrame:
     x = F.col(features) if dict(train.dtypes)[features].startswith("array") else vector_to_array(F.col(features))
     f = F.col(fold).cast("int") if fold else F.lit(-2)
     return train.where(F.col(features).isNotNull()).select(x.cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"), f.alias("f")).na.drop()
 
 
-def _grow(rows: DataFrame, growths: Sequence[Growth], max_depth: int, min_split: int, bins: int) -> list[Tree]:
+def _grow(rows: DataFrame, growths: Sequence[Growth], max_depth: int, min_split: int, bins: int,
+          local_rows: int = LOCAL_ROWS) -> tuple[list[Tree], list[tuple[int, int]], np.ndarray]:
+    """The trees down to their nodes of at most ``local_rows`` rows, those of
+    these nodes that are still to be grown, and the bounds of the bins."""
     first = rows.select(F.size("x").alias("d")).first()
     trees = [Tree(g) for g in growths]
     if first is None:
-        return trees
+        return trees, [], np.zeros((0, 0))
     d = first["d"]
     edges = bin_edges(rows, d, bins) if any(g.splitter == "best" for g in growths) else np.zeros((d, 0))
-    open_nodes = [(t, 0) for t in range(len(trees))]
+    sizes = {r["f"]: r["n"] for r in rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for t in trees:
+        t.rows[0] = sum(n for f, n in sizes.items() if f != t.growth.fold)
+    open_nodes = [(t, 0) for t in range(len(trees)) if trees[t].rows[0] > local_rows]
+    pending = [(t, 0) for t in range(len(trees)) if 0 < trees[t].rows[0] <= local_rows]
     for level in range(max_depth + 1):
         if not open_nodes:
             break
@@ -267,21 +437,14 @@ def _grow(rows: DataFrame, growths: Sequence[Growth], max_depth: int, min_split:
         plan: dict[int, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for t, k in open_nodes:
             g, number = growths[t], trees[t].number[k]
-            f = drawn(g, number, d)
             if g.splitter == "random":
                 span = spans.get((t, k))
                 if span is None:
                     continue
-                low, high = span[0][f], span[1][f]
-                flat = high <= low
-                if g.max_features:  # as many as can matter: that many that vary
-                    f = f[np.cumsum(~flat) <= g.max_features] if (~flat).any() else f[:1]
-                    low, high, flat = low[:len(f)], high[:len(f)], flat[:len(f)]
-                cut = low + draw(g.seed, number, f, 1) * (high - low)
-                cut = np.where(cut >= high, low, cut)[:, None]
+                plan.setdefault(t, {})[k] = _drawn_cuts(g, number, span[0], span[1])
             else:
-                cut, flat = edges[f], np.zeros(len(f), bool)
-            plan.setdefault(t, {})[k] = (f, cut, flat)
+                f = drawn(g, number, d)
+                plan.setdefault(t, {})[k] = (f, edges[f], np.zeros(len(f), bool))
         found = _splits(rows, trees, plan, edges, level >= max_depth, min_split)
         open_nodes = []
         for (t, k), (n, mass, split) in sorted(found.items()):
@@ -292,13 +455,11 @@ def _grow(rows: DataFrame, growths: Sequence[Growth], max_depth: int, min_split:
             f, threshold, left = split
             tree.feature[k], tree.threshold[k] = f, threshold
             for side, (rows_in, m) in enumerate(((int(left[0]), (left[1], left[2])), (n - int(left[0]), (mass[0] - left[1], mass[1] - left[2])))):
-                tree.number.append(2 * tree.number[k] + side)
-                for column, v in ((tree.feature, -1), (tree.threshold, 0.0), (tree.left, -1), (tree.right, -1), (tree.rows, rows_in), (tree.mass, m)):
-                    column.append(v)
-                (tree.right if side else tree.left)[k] = len(tree.number) - 1
+                at = tree.add(2 * tree.number[k] + side, rows_in, m)
+                (tree.right if side else tree.left)[k] = at
                 if level + 1 < max_depth and rows_in >= max(2, min_split) and m[0] > 0 and m[1] > 0:
-                    open_nodes.append((t, len(tree.number) - 1))
-    return trees
+                    (open_nodes if rows_in > local_rows else pending).append((t, at))
+    return trees, pending, edges
 
 
 def _splits(rows: DataFrame, trees: list[Tree], plan: dict, edges: np.ndarray, last: bool, min_split: int) -> dict:
@@ -310,7 +471,7 @@ def _splits(rows: DataFrame, trees: list[Tree], plan: dict, edges: np.ndarray, l
         total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             x, y, f = _inputs(b)
-            binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1) if cuts > 1 else None
+            binned = _binned(x, edges) if cuts > 1 else None
             for t, nodes in plan.items():
                 g = growths[t]
                 w = np.array(g.weights)[y]
@@ -318,13 +479,8 @@ def _splits(rows: DataFrame, trees: list[Tree], plan: dict, edges: np.ndarray, l
                     if not len(own):
                         continue
                     features, thresholds, _ = nodes[k]
-                    side = binned[own][:, features] if g.splitter == "best" else (x[own][:, features] > thresholds[:, 0]).astype(np.int64)
-                    width = cuts if g.splitter == "best" else 2
-                    slot = (np.arange(len(features)) * width + side).ravel()
-                    n = len(features) * width
-                    rep = lambda v: np.repeat(v, len(features))
-                    sums = np.stack([np.bincount(slot, minlength=n), np.bincount(slot, rep(w[own] * (y[own] == 0)), n),
-                                     np.bincount(slot, rep(w[own] * (y[own] == 1)), n)], axis=1).ravel()
+                    side = binned[own][:, features].astype(np.int64) if g.splitter == "best" else (x[own][:, features] > thresholds[:, 0]).astype(np.int64)
+                    sums = _counts(side, cuts if g.splitter == "best" else 2, y[own], w[own]).ravel()
                     total[t, k] = total[t, k] + sums if (t, k) in total else sums
         if total:
             yield pd.DataFrame({"t": [t for t, _ in total], "k": [k for _, k in total], "v": list(total.values())})
@@ -348,18 +504,28 @@ def _splits(rows: DataFrame, trees: list[Tree], plan: dict, edges: np.ndarray, l
 
 
 def extra_trees_importance(train: DataFrame, names: Sequence[str], label: str = "label", features: str = "features", num_trees: int = 100,
-                           max_depth: int = 30, weights: tuple[float, float] = (1.0, 1.0), seed: int = 1729) -> list[tuple[str, float]]:
+                           max_depth: int = 30, weights: tuple[float, float] = (1.0, 1.0), seed: int = 1729,
+                           local_rows: int = LOCAL_ROWS) -> list[tuple[str, float]]:
     """Importances of extremely randomised trees (random thresholds, sqrt
     of the features a node, no resampling), largest first."""
     k = max(1, int(math.sqrt(len(names))))
     growths = [Growth("random", k, "gini", 1, weights, -1, seed + i) for i in range(num_trees)]
-    trees = grow(train, growths, max_depth, label=label, features=features)
-    mean = np.mean([t.importance(len(names)) for t in trees], axis=0)
+    ship_package(train.sparkSession)
+    rows, d = materialize(_rows(train, label, features, None), "persist"), len(names)
+    try:
+        trees, pending, edges = _grow(rows, growths, max_depth, 2, BINS, local_rows)
+        below = _finish(rows, trees, pending, edges, max_depth, 2, lambda tree, x, y: tree.decrease(d))
+    finally:
+        rows.unpersist()
+    total = [t.decrease(d) for t in trees]
+    for (t, _), v in sorted(below.items()):
+        total[t] = total[t] + v
+    mean = np.mean([_scaled(v) for v in total], axis=0)
     return sorted(zip(names, map(float, mean)), key=lambda x: (-x[1], x[0]))
 
 
 def pre_pruned_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str = "fold", label: str = "label", features: str = "features",
-                    seed: int = 1729, bins: int = BINS) -> tuple[list[dict], np.ndarray, int, Tree]:
+                    seed: int = 1729, bins: int = BINS, local_rows: int = LOCAL_ROWS) -> tuple[list[dict], np.ndarray, int, Tree]:
     """Accuracy on the folds of every point of a grid over max_depth,
     min_samples_split, min_samples_leaf, max_features (sqrt, log2 or all),
     splitter (best, random), criterion (gini, entropy) and class_weight, in the
@@ -384,20 +550,49 @@ def pre_pruned_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str =
         for p in points:
             for f in [*folds, -1]:
                 growths.setdefault(growth(p, f), len(growths))
-        trees = _grow(rows, list(growths), max(values["max_depth"]), min(values["min_samples_split"]), bins)
-        right, seen = _held_out(rows, trees)
+        deepest, least = max(values["max_depth"]), min(values["min_samples_split"])
+        limits = list(product(values["max_depth"], values["min_samples_split"]))
+        trees, pending, edges = _grow(rows, list(growths), deepest, least, bins, local_rows)
+
+        def scores(tree, x, y):
+            right, seen = _passing(tree, x, y)
+            ends = [tree.stops(*limit) for limit in limits]
+            return np.array([[right[e].sum(), seen[e].sum()] for e in ends]).ravel()
+
+        below = {key: v.reshape(-1, 2) for key, v in _finish(rows, trees, pending, edges, deepest, least, scores, held=True).items()}
+        right, seen = _held_out(rows, trees) if any(len(t.number) > 1 for t in trees) else ([np.zeros(1)] * len(trees), [np.zeros(1)] * len(trees))
+        hits = np.zeros((len(trees), len(limits), 2))
+        for t, tree in enumerate(trees):
+            for i, limit in enumerate(limits):
+                for k in tree.stops(*limit):
+                    hits[t, i] += below[t, k][i] if (t, k) in below else (right[t][k], seen[t][k])
         mean = np.zeros(len(points))
         for i, p in enumerate(points):
             for f in folds:
-                t = growths[growth(p, f)]
-                ends = trees[t].stops(p["max_depth"], p["min_samples_split"])
-                mean[i] += right[t][ends].sum() / seen[t][ends].sum() / len(folds)
+                good, all_ = hits[growths[growth(p, f)], limits.index((p["max_depth"], p["min_samples_split"]))]
+                mean[i] += good / all_ / len(folds)
         best = int(np.argmax(mean))
-        return points, mean, best, trees[growths[growth(points[best], -1)]]
+        own = growth(points[best], -1)
+        whole = _whole(rows, [trees[growths[own]]], [(0, k) for t, k in pending if t == growths[own]], edges, deepest, least)
+        return points, mean, best, whole[0]
     finally:
         rows.unpersist()
 
 
+def _passing(tree: Tree, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every node: rows that pass it with the node's label, and all that do."""
+    labels = np.array([tree.label(k) for k in range(len(tree.number))])
+    right, seen = np.zeros(len(labels)), np.zeros(len(labels))
+
+    def visit(at, which):
+        k = at[which]
+        right[:] += np.bincount(k, labels[k] == y[which], len(labels))
+        seen[:] += np.bincount(k, minlength=len(labels))
+
+    _walk(x, _flat([tree])[0], visit)
+    return right, seen
+
+
 def _held_out(rows: DataFrame, trees: list[Tree]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For every node of every tree: held-out rows that pass it, and those
     whose label is the node's."""

@@ -107,3 +107,29 @@ def test_empty_null_and_one_class(spark):
     rows = spark.createDataFrame([([1.0, 2.0], 1, 0), ([2.0, 2.0], 1, 0), (None, 1, 0), ([1.0, 5.0], None, 0)], "x array<double>, label int, fold int")
     t = tr.grow(rows, [tr.Growth(splitter="random")], 3, features="x")[0]
     assert t.feature == [-1] and t.rows == [2] and t.label(0) == 1
+
+
+@pytest.mark.parametrize("local_rows", [0, 40, 10_000])
+def test_same_trees_whatever_part_one_task_grows(data, local_rows):
+    df, x, y, f = data
+    edges = tr.bin_edges(df.select("x"), 6, tr.BINS)
+    for t in tr.grow(df, GROWTHS, 30, 2, features="x", fold="fold", local_rows=local_rows):
+        own = f != t.growth.fold
+        want = sorted(brute(x[own], y[own], t.growth, 30, 2, edges))
+        assert sorted((t.number[k], t.rows[k], t.feature[k], t.threshold[k], None, None) for k in range(len(t.number))) == want
+
+
+def test_driver_holds_large_nodes_only(data, monkeypatch):
+    df = data[0]
+    rows = tr._rows(df, "label", "x", "fold")
+    trees, pending, _ = tr._grow(rows, GROWTHS, 30, 2, tr.BINS, 40)
+    assert len(pending) > len(trees)
+    for n, t in enumerate(trees):
+        assert all(t.rows[k] > 40 for k in range(len(t.number)) if t.feature[k] >= 0)
+    monkeypatch.setattr(tr, "WAVE_ROWS", 100)
+    names, kw = list("abcdef"), dict(features="x", num_trees=5, weights=(3.0, 7.0))
+    a, b = (dict(tr.extra_trees_importance(df, names, local_rows=n, **kw)) for n in (0, 40))
+    assert a == pytest.approx(b) and sum(a.values()) == pytest.approx(1.0)
+    grid = {"max_depth": [2, 5], "min_samples_split": [2, 20], "max_features": ["sqrt"], "splitter": ["best", "random"]}
+    a, b = (tr.pre_pruned_grid(df, grid, features="x", local_rows=n) for n in (0, 40))
+    assert list(a[1]) == pytest.approx(list(b[1])) and a[2] == b[2] and sorted(a[3].number) == sorted(b[3].number)
