@@ -88,3 +88,40 @@ def test_plan_has_no_all_pairs_stage(spark):
     text = approx_knn(frame(spark, clustered(100)), None, 3, "v", "id")._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_recall_on_structureless_vectors_of_many_rows(spark):
+    x = np.random.default_rng(5).normal(size=(12_000, 48))
+    df = frame(spark, x)
+    some = df.where(F.col("id") % 100 == 0)
+    rows = recall(nb.knn(df, some, 5, "v", "id", exclude_self=True), approx_knn(df, some, 5, "v", "id", exclude_self=True)).collect()
+    assert sum(r.pairs for r in rows) == 600 and sum(r.hits for r in rows) >= 0.9 * 600
+
+
+def test_search_queries_ask_every_hundredth_id(spark, tmp_path):
+    from tabstat.plans.registry import QUERIES
+
+    x = clustered(300)
+    spark.createDataFrame([(i, [float(a) for a in v], i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.qid for r in QUERIES["knn_approx"](spark, str(tmp_path)).collect()} == {0, 100, 200}
+    assert all(r.pairs == 3 for r in QUERIES["knn_approx_recall"](spark, str(tmp_path)).collect())
+
+
+@pytest.mark.parametrize("block", [None, 13])
+def test_silhouette_by_pairs_of_blocks(spark, block):
+    x = clustered(90, dim=3, groups=4)
+    c = [None if i % 11 == 0 else i % 3 for i in range(90)]
+    ids = [i // 2 if i < 10 else i for i in range(90)]  # equal ids count as one point without distance
+    df = spark.createDataFrame([(i, [float(a) for a in v], k) for i, v, k in zip(ids, x, c)], "id long, v array<double>, c int").repartition(3)
+    alone = df.where("id >= 10")
+    row = nb.silhouette(alone, "v", "c", "id", block_rows=block).first()
+    own, total = np.array([-1 if k is None else k for k in c])[10:], 0.0
+    d = np.sqrt(((x[10:, None] - x[None, 10:]) ** 2).sum(-1))
+    for i, k in enumerate(own):
+        if k >= 0:
+            a = d[i, own == k].sum() / ((own == k).sum() - 1)
+            b = min(d[i, own == j].mean() for j in range(3) if j != k)
+            total += (b - a) / max(a, b)
+    assert row.n == 80 and row.silhouette == pytest.approx(total / 80)
+    assert nb._runs(np.array([0.0, 0.0, 2.0, np.nan]))[:2] == [(0.0, 0, 2), (2.0, 2, 3)]
+    assert nb.silhouette(df, "v", "c", "id", block_rows=block).first().silhouette == pytest.approx(nb.silhouette(df, "v", "c", "id", block_rows=500).first().silhouette)
