@@ -25,9 +25,9 @@ or two spaces; one hash-chosen form for each span). All other candidates clear
 of base spans are negatives, parts of rows of digits included, although some may
 be personal data: the precision is rather understated by them. Cue words are not among the features, which
 describe format (length, digits, groups, separators, letters, check digit) and
-neighbouring characters. Boosted trees learn from a bounded, hash-chosen
-sample of documents; for each generator the least threshold that keeps
-PRECISION on the held-out quarter of the sample selects candidates.
+neighbouring characters. Boosted trees learn from three quarters of all
+documents, chosen by hash; for each generator the least threshold that keeps
+PRECISION on the held-out quarter selects candidates.
 
 Reported as kind ``likely`` are the candidates clear of base spans that the
 threshold selects or that follow a cue word, without those inside another one
@@ -36,8 +36,8 @@ scoring needs neither a join nor Python.
 
 Defined results: null text is the empty text, with no spans; repeated rows
 repeat; equal texts have equal spans; offsets are code points, end exclusive;
-other columns are not read; an empty table gives an empty result. Where the
-sample has candidates of one class only, cue words alone select.
+other columns are not read; an empty table gives an empty result. Where
+the documents have candidates of one class only, cue words alone select.
 """
 
 from __future__ import annotations
@@ -53,9 +53,8 @@ from tabstat.llm.common import text_or_empty
 
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("email", "ip", "card", "phone", "likely")
-#: Bound of the training sample, in documents; trees, depth, and the precision
-#: that the thresholds keep.
-SAMPLE_DOCS, TREES, DEPTH, PRECISION = 4_000, 8, 3, 0.98
+#: Trees, depth, and the precision that the thresholds keep.
+TREES, DEPTH, PRECISION = 8, 3, 0.98
 
 # The base patterns of the contract, in Java's syntax.
 PATTERNS = {
@@ -285,12 +284,10 @@ def margin(model) -> str:
     return " + ".join(parts)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
-    """Margin expression and a threshold for each generator; no threshold where
-    the sample does not have both classes."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = examples(chosen).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0)
+def train(docs: DataFrame) -> dict:
+    """Margin expression and a threshold for each generator, from all
+    documents; no threshold where they do not have both classes."""
+    rows = examples(docs).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0)
     rows = VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows).persist()
     try:
         if rows.where("not held").select("label").distinct().count() < 2:

@@ -81,3 +81,15 @@ def test_candidates_are_bounded_and_overlap(spark):
     assert got[0] == got[1] == {"admin@localhost"} and got[2] == {"a@b", "b@c"}
     assert got[3] == {"(980) 555-6268", "555-6268"} and "980-555-6268" in got[4] and got[5] == {"7" * 500} and got[6] == {"9805556268"}
     assert all(len(m) <= 55 for m in got[4])
+
+
+def test_trees_learn_from_every_document(spark):
+    docs = spark.createDataFrame([(i, f"tel: 555-{i % 10}{i % 7}9-1234 or 12345678 pieces") for i in range(6000)], "doc_id long, text string")
+    seen = []
+    old = pii.examples
+    try:
+        pii.examples = lambda d: (seen.append(d.count()), old(d.limit(0)))[1]
+        pii.train(docs)
+    finally:
+        pii.examples = old
+    assert seen == [6000]
