@@ -23,7 +23,7 @@ Folds come from :func:`stratified_folds` (hash-deterministic), fed to
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 30  # MLlib's hard limit for trees
+MAPPED = 1 << 18  # numbers of a kernel map that a task computes and passes on at once
 
 
 def assemble(df: DataFrame, cols: Sequence[str] | str, out: str = "features", keep: Sequence[str] = ()) -> DataFrame:
@@ -181,24 +182,31 @@ class KernelMap:
         if self.kind == "poly":
             return PolynomialExpansion(degree=self.degree, inputCol=features, outputCol=out).transform(df)
         if self.kind == "poly_sketch":
-            own = self
+            own, size = self, max(1, MAPPED // self.width)
 
             @F.pandas_udf("array<double>")
-            def sketched(col: pd.Series) -> pd.Series:
-                known = col[col.notna()]
-                done = iter(own.sketch(np.vstack(known.to_numpy())) if len(known) else ())
-                return pd.Series([next(done) if some else None for some in col.notna()], index=col.index, dtype=object)
+            def sketched(cols: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                for col in cols:
+                    for i in range(0, len(col), size):  # a wide sketch of a whole batch takes much memory
+                        part = col.iloc[i:i + size]
+                        known = part[part.notna()]
+                        done = iter(own.sketch(np.vstack(known.to_numpy())) if len(known) else ())
+                        yield pd.Series([next(done) if some else None for some in part.notna()], dtype=object)
 
             z = sketched(F.when(F.col(features).isNotNull(), vector_to_array(F.col(features))))
-            return df.withColumn(out, F.when(z.isNotNull(), array_to_vector(z)))
-        w, b = self.w, self.b
+            return df.withColumn("_z", z).withColumn(out, F.when(F.col("_z").isNotNull(), array_to_vector("_z"))).drop("_z")
+        w, b, size = self.w, self.b, max(1, MAPPED // len(self.w))
         scale = math.sqrt(2.0 / w.shape[0])
 
         @F.pandas_udf("array<double>")
-        def rff(col: pd.Series) -> pd.Series:
-            x = np.vstack(col.to_numpy()) if len(col) else np.zeros((0, w.shape[1]))
-            z = scale * np.cos(x @ w.T + b)
-            return pd.Series(list(z))
+        def rff(cols: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for col in cols:
+                for i in range(0, len(col), size):
+                    z = np.vstack(col.iloc[i:i + size].to_numpy()) @ w.T
+                    z += b
+                    np.cos(z, out=z)
+                    z *= scale
+                    yield pd.Series(list(z))
 
         return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col(features)))))
 

@@ -2,6 +2,7 @@
 vector machines against a direct minimisation."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -80,3 +81,31 @@ def test_grid_of_machines(shell):
 def test_wrong_grid(shell):
     with pytest.raises(ValueError):
         gr.svm_grid(shell, {"kernel": ["sigmoid"]}, 2)
+
+
+def test_kernel_maps_hold_few_rows_at_once(spark):
+    limit = 1 << 18
+    assert md.MAPPED == limit
+
+    class Watched(md.KernelMap):
+        def sketch(self, x):
+            assert len(x) * self.width <= limit, len(x)
+            return super().sketch(x)
+
+    df = spark.range(3000, numPartitions=1).selectExpr("CASE WHEN id % 7 <> 3 THEN array(id / 3000D, 1D, 0D) END AS a").select(F.when(F.col("a").isNotNull(), array_to_vector("a")).alias("features"))
+    plain = md.kernel_map("poly_sketch", 3, "auto", 512)
+    own = Watched(plain.kind, plain.w, plain.b, plain.degree, plain.width, plain.gamma, plain.coef0)
+    got = own.transform(df).collect()
+    assert all((r.features is None) == (r.kfeatures is None) for r in got)
+    known = [r for r in got if r.features is not None]
+    assert np.allclose([r.kfeatures.toArray() for r in known], plain.sketch(np.array([r.features.toArray() for r in known])))
+    rbf = md.kernel_map("rbf", 3, 1.0, 128)
+    known = rbf.transform(df.where("features is not null")).collect()
+    assert np.allclose([r.kfeatures.toArray() for r in known], np.sqrt(2 / 128) * np.cos(np.array([r.features.toArray() for r in known]) @ rbf.w.T + rbf.b))
+
+
+def test_passes_take_bounded_slices():
+    from tabstat.operators import grid as gr
+
+    got = list(gr._slices([pd.DataFrame({"y": range(2500)}), pd.DataFrame({"y": []})]))
+    assert [len(b) for b in got] == [1024, 1024, 452] and list(pd.concat(got)["y"]) == list(range(2500))
