@@ -42,6 +42,7 @@ from tabstat.session import materialize, ship_package
 
 TOL = 1e-9          # largest change of a scaled weight at the end
 MAX_PASSES = 100    # passes after which columns that still move are an error
+PASS_ROWS = 1024    # rows whose matrices a task holds at once
 SWEEPS = 400        # of coordinate descent in one step
 
 
@@ -105,6 +106,13 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray):
 LOSSES = {"logistic": _logistic, "squared_hinge": _squared_hinge}
 
 
+def _slices(batches):
+    """The batches in pieces of at most PASS_ROWS rows, none of them empty."""
+    for b in batches:
+        for i in range(0, len(b), PASS_ROWS):
+            yield b.iloc[i:i + PASS_ROWS]
+
+
 def _passed(rows: DataFrame, w: np.ndarray, weights: np.ndarray, fold: np.ndarray, which: np.ndarray, loss: str = "logistic") -> dict[int, np.ndarray]:
     """Sums over the rows for the columns ``which``: weight, loss, gradient,
     and the upper half of the Hessian, at weights ``w`` (intercept first)."""
@@ -113,9 +121,7 @@ def _passed(rows: DataFrame, w: np.ndarray, weights: np.ndarray, fold: np.ndarra
 
     def part(batches):
         total = np.zeros((len(which), 2 + d + len(upper[0])))
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _slices(batches):
             x = np.hstack([np.ones((len(b), 1)), np.vstack(b["x"].to_numpy())])
             y, f = b["y"].to_numpy(), b["f"].to_numpy()
             m = _mass(y, f, weights, fold)
@@ -320,7 +326,7 @@ def _accuracy(rows: DataFrame, fits: list[list[Fit]], folds: list[int]) -> np.nd
 
     def part(batches):
         right, seen = np.zeros((len(fits), len(folds))), np.zeros(len(folds))
-        for b in batches:
+        for b in _slices(batches):
             for k, f in enumerate(folds):
                 own = b[b["f"] == f]
                 if len(own):
