@@ -155,6 +155,11 @@ def condition_number(x: Gram | np.ndarray) -> float:
     return float(s[0] / s[-1])
 
 
+#: Loadings up to which projections are column expressions; more of them make
+#: plans that take the driver's memory.
+PLAN_TERMS = 512
+
+
 @dataclass
 class PCAModel:
     cols: list
@@ -179,7 +184,19 @@ class PCAModel:
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), prefix: str = "pc") -> DataFrame:
-        return df.select(*keep, *self.score_columns(prefix))
+        if self.components.size <= PLAN_TERMS:
+            return df.select(*keep, *self.score_columns(prefix))
+        mean, loadings = self.mean, self.components.T
+
+        @F.pandas_udf("array<double>")
+        def projected(col: pd.Series) -> pd.Series:
+            some = col.notna()
+            done = iter((np.vstack(col[some].to_numpy()) - mean) @ loadings if some.any() else ())
+            return pd.Series([next(done) if x else None for x in some], dtype=object)
+
+        x = F.array(*[F.col(c).cast("double") for c in self.cols])
+        scores = projected(F.when(~F.exists(x, lambda v: v.isNull()), x))
+        return df.select(*keep, scores.alias("_ts_pc")).select(*keep, *[F.col("_ts_pc")[a].alias(f"{prefix}{a + 1}") for a in range(self.k)])
 
 
 def pca_fit(df: DataFrame | Gram, cols: Sequence[str] | None = None, k: int | None = None,

@@ -195,11 +195,12 @@ class PrunedTree:
 
     def transform(self, df: DataFrame, prediction: str = "prediction", probability: str = "score") -> DataFrame:
         """Adds the class and the share of the highest class."""
-        at = F.col("leaf").cast("int") + 1
         out = self.model.transform(df.drop(prediction))
         keep = [c for c in df.columns if c not in (prediction, probability)]
-        return out.select(*keep, F.element_at(F.lit(self.prediction).cast("array<double>"), at).alias(prediction),
-                          F.element_at(F.lit([p[-1] for p in self.probability]).cast("array<double>"), at).alias(probability))
+        # a table of the leaves: as literals they would be a node each of every later plan
+        leaves = df.sparkSession.createDataFrame(pd.DataFrame({"_at": np.arange(len(self.prediction), dtype=float), "_p": np.asarray(self.prediction, float),
+                                                               "_s": np.array([p[-1] for p in self.probability], float)}))
+        return out.join(F.broadcast(leaves), F.col("leaf") == F.col("_at"), "left").select(*keep, F.col("_p").alias(prediction), F.col("_s").alias(probability))
 
 
 def pruned_tree(model, t: TreeTable, pruned: list[int], alpha: float) -> PrunedTree:

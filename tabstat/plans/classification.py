@@ -41,8 +41,10 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 1729):
     train, test = sm.stratified_split(frame, "vec_id", "label", 0.2, seed)
     scaler = fe.standard_fit_array(train, "embedding")
     tr, te = scaler.transform(train, "embedding"), scaler.transform(test, "embedding")
-    tr = materialize(tr, "persist")
-    te = materialize(te, "persist")
+    # checkpoints cut the lineage of split and scaling: every later plan would
+    # otherwise hold it again, and the driver keeps the plans
+    tr = materialize(tr, "checkpoint")
+    te = materialize(te, "checkpoint")
     tr_v = materialize(md.assemble(tr, "embedding", keep=["vec_id", "label"]), "persist")
     te_v = materialize(md.assemble(te, "embedding", keep=["vec_id", "label"]), "persist")
     dim = len(scaler.shift)
@@ -69,8 +71,10 @@ def scored_models(spark: SparkSession, sf_dir: str, seed: int = 1729, only: tupl
     out = []
 
     def add(name, pred, score="score"):
-        out.append(pred.select(F.lit(name).alias("model"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
-                               F.col(score).cast("double").alias("score"), F.col("prediction").cast("int").alias("pred")))
+        narrow = pred.select(F.lit(name).alias("model"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
+                             F.col(score).cast("double").alias("score"), F.col("prediction").cast("int").alias("pred"))
+        # scored at once: no later plan holds this model, and the driver lets it go
+        out.append(materialize(narrow, "checkpoint"))
 
     for name, fit in (
             ("logistic", lambda: md.logistic(tr_w, C=1.0, weight_col="w")),
@@ -86,15 +90,18 @@ def scored_models(spark: SparkSession, sf_dir: str, seed: int = 1729, only: tupl
         scores = lambda d: materialize(md.assemble(pca.transform(spread(d), keep=["vec_id", "label"]), [f"pc{i + 1}" for i in range(pca.k)], keep=["vec_id", "label"]), "persist")
         tr_pc = materialize(with_weight_column(scores(tr), "label", balanced, out="w"), "persist")
         add("logistic_pca", md.positive_probability(md.logistic(tr_pc, C=1.0, weight_col="w").transform(scores(te))))
+        tr_pc.unpersist()
     if wanted("boost"):
         ratio = weights[1]["pos_weight"] if 1 in weights else 1.0
         tr_p = materialize(with_weight_column(tr_v, "label", {0: 1.0, 1: ratio}, out="w"), "persist")
         add("boost", md.positive_probability(md.boosted_trees(tr_p, max_iter=10, weight_col="w", seed=seed).transform(te_v)))
+        tr_p.unpersist()
     if wanted("svm_rbf"):
         kernel = md.kernel_map("rbf", dim, n_components=64, variance=md.mean_variance(tr_v), seed=seed)
         tr_k = materialize(kernel.transform(tr_w), "persist")
         svm = md.svm(tr_k, features="kfeatures", weight_col="w")
         add("svm_rbf", md.platt_scores(md.platt(svm, tr_k), svm.transform(kernel.transform(te_v))))
+        tr_k.unpersist()
     if wanted("pruned_tree"):
         folds = sm.split_column(tr_v, "vec_id", 0.25, seed + 1, by=["label"])
         _, _, pruned = cost_complexity_prune(folds.where("split = 'train'").drop("split"), folds.where("split = 'test'").drop("split"))
