@@ -249,3 +249,19 @@ def test_backward_elimination_to_intercept_only(spark):
     assert [r[1] for r in log] == ["a", "b"]
     assert final.xs == [] and final.params[0] == pytest.approx(pdf.y.mean())
     assert final.r2 == pytest.approx(0.0, abs=1e-12)
+
+
+def test_wide_projection_is_one_function(spark):
+    from tabstat.operators import matrix as mx
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 30))
+    names = [f"c{j}" for j in range(30)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in names)).repartition(3)
+    pca = mx.pca_fit(df, names, k=25)
+    odd = df.unionByName(df.limit(1).selectExpr("99L AS id", "CAST(NULL AS double) AS c0", *names[1:]))
+    wide = pca.transform(odd, keep=["id"])
+    assert len(wide._jdf.queryExecution().analyzed().toString()) < 20_000
+    got = {r["id"]: r for r in wide.collect()}
+    assert got[99].pc1 is None
+    assert np.allclose([[got[i][f"pc{a + 1}"] for a in range(25)] for i in range(60)], (x - x.mean(0)) @ pca.components.T)
