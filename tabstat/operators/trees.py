@@ -20,12 +20,14 @@ limit. So a limit on depth or on the rows of a node to be split only cuts a
 tree short, and ``pre_pruned_grid`` reads all such points of a grid from one
 tree per remaining setting.
 
-A node of at most LOCAL_ROWS rows is grown to its end by one task, which gets
-the rows of that node only (bin numbers for the splitter ``best``) and returns
+A node of at most LOCAL_ROWS rows is grown to its end by one task, all nodes of
+a level in the same array operations. The task gets the rows of that node only
+(bin numbers for the splitter ``best``), once for up to SHARED nodes of different
+trees to which the same splits lead, as these hold the same rows, and returns
 what the call asks of the subtree: its part of the importances, its counts of
 held-out rows at each limit, or its nodes. The driver thus holds the nodes above
-that size, and whole trees only where ``grow`` is asked for them. Trees whose
-rows together exceed WAVE_ROWS are finished in turn, which bounds the shuffle.
+that size, and whole trees only where ``grow`` is asked for them. Nodes whose
+moved rows together exceed WAVE_ROWS are finished in turn, which bounds the shuffle.
 
 Counts of rows (``min_split``, ``min_leaf``) ignore class weights, impurities
 and labels use them. A drawn feature that is constant in a node is replaced by
@@ -52,6 +54,8 @@ BINS = 32            # bins of a feature for the best splitter
 EDGE_ROWS = 10_000   # rows (of least hash) whose quantiles bound the bins
 LOCAL_ROWS = 16_384  # training rows of a node that one task grows to its end
 WAVE_ROWS = 4_000_000  # rows of such nodes, over all trees, moved at once
+SHARED = 6           # nodes with the same rows that one task grows
+CELLS = 1 << 20      # numbers of a level that are held at once, about
 
 
 @dataclass(frozen=True)
@@ -106,15 +110,15 @@ class Tree:
         return _scaled(self.decrease(d))
 
     def stops(self, max_depth: int, min_split: int) -> np.ndarray:
-        """Nodes at which the tree cut short by these limits ends."""
-        out, stack = [], [0]
-        while stack:
-            k = stack.pop()
-            if self.feature[k] < 0 or self.depth(k) >= max_depth or self.rows[k] < min_split:
-                out.append(k)
-            else:
-                stack += [self.left[k], self.right[k]]
-        return np.array(sorted(out))
+        """Nodes at which the tree cut short by these limits ends: those that
+        stop and whose parent does not (below a node that stops, all do)."""
+        depth = np.array([n.bit_length() - 1 for n in self.number])
+        stop = (np.array(self.feature) < 0) | (depth >= max_depth) | (np.array(self.rows) < min_split)
+        reached = np.ones(len(stop), bool)
+        for side in (self.left, self.right):
+            child = np.array(side)
+            reached[child[child >= 0]] = ~stop[child >= 0]
+        return np.flatnonzero(stop & reached)
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -269,52 +273,116 @@ def _drawn_cuts(g: Growth, number: int, low: np.ndarray, high: np.ndarray) -> tu
     return f, np.where(cut >= high, low, cut)[:, None], flat
 
 
-def _counts(side: np.ndarray, width: int, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _counts(side: np.ndarray, width: int, y: np.ndarray, weights: tuple[float, float]) -> np.ndarray:
     """(features x width, 3): rows and weights of class 0 and 1 by feature and bin."""
-    n = side.shape[1] * width
-    slot = (np.arange(side.shape[1]) * width + side).ravel()
-    rep = lambda v: np.repeat(v, side.shape[1])
-    return np.stack([np.bincount(slot, minlength=n), np.bincount(slot, rep(w * (y == 0)), n), np.bincount(slot, rep(w * (y == 1)), n)], axis=1)
+    slot = (np.arange(side.shape[1]) * width + side) * 2 + y[:, None]
+    n = np.bincount(slot.ravel(), minlength=2 * side.shape[1] * width).reshape(-1, 2)
+    return np.column_stack([n.sum(1), n * np.array(weights)])
 
 
 def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1).astype(np.uint8 if edges.shape[1] < 256 else np.uint32)
 
 
+def _pick(g: Growth, left: np.ndarray, whole: np.ndarray, possible: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_choose`` picks, for many nodes at once: the places of each node's
+    feature (-1: no split) and cut, from (nodes, features, cuts, 2) rows of class
+    0 and 1 left of each cut and (nodes, 2) in all."""
+    weights, least = np.array(g.weights), max(1, g.min_leaf)
+    rows = left.sum(-1)
+    fine = possible & use[..., None] & (rows >= least) & (whole.sum(-1)[:, None, None] - rows >= least)
+    fine[..., 1:] &= rows[..., 1:] > rows[..., :-1]  # else the cut before has the same gain, and is smaller
+    at = np.nonzero(fine)
+    mass = whole * weights
+    a = left[at] * weights
+    own = mass[at[0]]
+    total = own.sum(-1)
+    gain = np.full(fine.shape, -1.0)
+    gain[at] = impurity(mass, g.criterion)[at[0]] - sum(s.sum(-1) / total * impurity(s, g.criterion) for s in (a, own - a))
+    cut = np.argmax(gain >= gain.max(2, keepdims=True) - 1e-12, axis=2)
+    value, some = np.take_along_axis(gain, cut[..., None], 2)[..., 0], fine.any(2)
+    best, place, tried = np.zeros(len(left)), np.full(len(left), -1), np.zeros(len(left), int)
+    for j in range(left.shape[1]):
+        ended = (tried >= g.max_features) & (place >= 0) if g.max_features else np.zeros(len(left), bool)
+        better = some[:, j] & ~ended & ((place < 0) | (value[:, j] > best + 1e-12))
+        best[better], place[better] = value[better, j], j
+        tried += use[:, j]
+    return place, cut[np.arange(len(left)), place]
+
+
+def _try(g: Growth, numbers: np.ndarray, order: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray, sizes: np.ndarray, whole: np.ndarray,
+         edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The splits of some nodes of a level by the first features that each tries
+    (``order``): (feature or -1, threshold, whether further features matter)."""
+    n, m = order.shape
+    node, at = np.repeat(np.arange(n), sizes), np.arange(n)
+    values, ones = x[own[:, None], order[node]], y[own][:, None]
+    if g.splitter == "best":
+        width = edges.shape[1] + 1
+        slot = ((node[:, None] * m + np.arange(m)) * width + values) * 2 + ones
+        counts = np.bincount(slot.ravel(), minlength=n * m * width * 2).reshape(n, m, width, 2)
+        place, cut = _pick(g, np.cumsum(counts[:, :, :-1], axis=2), whole, np.isfinite(edges)[order], np.ones((n, m), bool))
+        return np.where(place < 0, -1, order[at, place]), cut.astype(float), place < 0
+    starts = np.cumsum(sizes) - sizes
+    low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+    flat = high <= low
+    use = ~flat & (np.cumsum(~flat, axis=1) <= g.max_features) if g.max_features else ~flat
+    cuts = low + draw(g.seed, numbers[:, None], order, 1) * (high - low)
+    cuts = np.where(cuts >= high, low, cuts)
+    on_left = ~(values > cuts[node])
+    rows, of_one = (np.add.reduceat(v, starts, dtype=np.int64) for v in (on_left, on_left & (ones == 1)))
+    place, _ = _pick(g, np.stack([rows - of_one, of_one], axis=-1)[:, :, None], whole, np.isfinite(cuts)[..., None], use)
+    return np.where(place < 0, -1, order[at, place]), cuts[at, place], flat.any(1)
+
+
+def _level(g: Growth, numbers: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray, sizes: np.ndarray, whole: np.ndarray,
+           edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature (-1: none) and threshold of every node of a level; ``own`` holds
+    their rows one node after the other."""
+    d, feature, threshold = x.shape[1], np.full(len(sizes), -1), np.zeros(len(sizes))
+    few = g.max_features if 0 < g.max_features < d else d
+    starts, todo = np.cumsum(sizes) - sizes, np.arange(len(sizes))
+    for m in dict.fromkeys((few, d)):  # further features only where these do not decide
+        again = []
+        part = np.cumsum((sizes[todo] + edges.shape[1] + 1) * m) // CELLS
+        for which in np.split(todo, np.flatnonzero(np.diff(part)) + 1) if len(todo) else []:
+            order = np.tile(np.arange(d), (len(which), 1)) if few == d else np.argsort(
+                draw(g.seed, numbers[which, None], np.arange(d), 0), axis=1, kind="stable")[:, :m]
+            rows = np.concatenate([own[starts[i]:starts[i] + sizes[i]] for i in which])
+            feature[which], threshold[which], more = _try(g, numbers[which], order, x, y, rows, sizes[which], whole[which], edges)
+            again.append(which[more])
+        todo = np.concatenate(again) if again else todo[:0]
+    return feature, threshold
+
+
 def _subtree(g: Growth, number: int, x: np.ndarray, y: np.ndarray, max_depth: int, min_split: int, edges: np.ndarray) -> Tree:
-    """The tree below one node from all its training rows. For the splitter
-    ``best`` both ``x`` and the thresholds are numbers of bins."""
-    tree, w, d = Tree(g, number=[number]), np.array(g.weights)[y], x.shape[1]
-    numbers = np.where(np.isfinite(edges), np.arange(edges.shape[1]), np.inf)
-    stack = [(0, np.arange(len(y)))]
-    while stack:
-        k, own = stack.pop()
-        ones = y[own] == 1
-        m = (float(w[own][~ones].sum()), float(w[own][ones].sum()))
-        tree.rows[k], tree.mass[k] = len(own), m
-        if tree.depth(k) >= max_depth or len(own) < max(2, min_split) or m[0] == 0 or m[1] == 0:
-            continue
-        rows = x[own]
-        if g.splitter == "random":
-            f, cut, flat = _drawn_cuts(g, tree.number[k], rows.min(0), rows.max(0))
-            counts = np.cumsum(_counts((rows[:, f] > cut[:, 0]).astype(np.int64), 2, y[own], w[own]).reshape(len(f), 2, 3), axis=1)
-            split = _choose(g, counts, f, cut, flat)
-        else:
-            order = drawn(g, tree.number[k], d)
-            split = None
-            for f in (order[:g.max_features or d], order):  # further features only where these have no split
-                width = edges.shape[1] + 1
-                counts = np.cumsum(_counts(rows[:, f].astype(np.int64), width, y[own], w[own]).reshape(len(f), width, 3), axis=1)
-                split = _choose(g, counts, f, numbers[f], np.zeros(len(f), bool))
-                if split is not None or len(f) == d:
-                    break
-        if split is None:
-            continue
-        tree.feature[k], tree.threshold[k] = split[:2]
-        go = rows[:, split[0]] <= split[1]
-        for side, part in enumerate((own[go], own[~go])):
-            (tree.right if side else tree.left)[k] = tree.add(2 * tree.number[k] + side, 0, (0.0, 0.0))
-            stack.append((len(tree.number) - 1, part))
+    """The tree below one node from all its training rows, level by level. For
+    the splitter ``best`` both ``x`` and the thresholds are numbers of bins."""
+    tree, places = Tree(g, number=[number]), np.zeros(1, int)
+    own, sizes = np.arange(len(y)), np.array([len(y)])
+    while len(own):
+        ones = np.add.reduceat(y[own], np.cumsum(sizes) - sizes)
+        whole = np.stack([sizes - ones, ones], axis=1)
+        mass = whole * np.array(g.weights)
+        for k, n, m in zip(places.tolist(), sizes.tolist(), mass.tolist()):
+            tree.rows[k], tree.mass[k] = n, tuple(m)
+        if tree.depth(places[0]) >= max_depth:
+            break
+        go_on = (sizes >= max(2, min_split)) & (mass != 0).all(1)
+        own, places, sizes, whole = own[np.repeat(go_on, sizes)], places[go_on], sizes[go_on], whole[go_on]
+        feature, threshold = _level(g, np.array([tree.number[k] for k in places], np.uint64), x, y, own, sizes, whole, edges)
+        some = feature >= 0
+        own, places, sizes, feature, threshold = own[np.repeat(some, sizes)], places[some], sizes[some], feature[some], threshold[some]
+        node = np.repeat(np.arange(len(sizes)), sizes)
+        right = ~(x[own, feature[node]] <= threshold[node])
+        own = own[np.argsort(2 * node + right, kind="stable")]
+        sizes = np.bincount(2 * node + right, minlength=2 * len(sizes))
+        below = []
+        for k, f, cut in zip(places.tolist(), feature.tolist(), threshold.tolist()):
+            tree.feature[k], tree.threshold[k] = f, cut
+            tree.left[k], tree.right[k] = (tree.add(2 * tree.number[k] + side, 0, (0.0, 0.0)) for side in (0, 1))
+            below += [tree.left[k], tree.right[k]]
+        places = np.array(below, int)
     return tree
 
 
@@ -348,30 +416,49 @@ def _whole(rows: DataFrame, trees: list[Tree], pending: list[tuple[int, int]], e
     return trees
 
 
-def _finish(rows: DataFrame, trees: list[Tree], pending: list[tuple[int, int]], edges: np.ndarray, max_depth: int, min_split: int, report,
-            held: bool = False) -> dict[tuple[int, int], np.ndarray]:
+def _alike(trees: list[Tree], pending: list[tuple[int, int]]) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """The pending nodes, together where the same splits lead to them: these
+    hold the same rows, apart from their folds. Up to SHARED nodes each, with
+    the first of all that are alike."""
+    found: dict[tuple, list[tuple[int, int]]] = {}
+    above: dict[int, dict[int, tuple[int, int]]] = {}
+    for t, k in pending:
+        tree = trees[t]
+        if t not in above:
+            above[t] = {c: (p, i) for i, side in enumerate((tree.left, tree.right)) for p, c in enumerate(side) if c >= 0}
+        path, at = [], k
+        while at in above[t]:
+            at, side = above[t][at]
+            path.append((tree.feature[at], tree.threshold[at], side))
+        found.setdefault((tree.growth.splitter, *path), []).append((t, k))
+    return [(nodes[0], nodes[i:i + SHARED]) for nodes in found.values() for i in range(0, len(nodes), SHARED)]
+
+
+def _finish(rows: DataFrame, trees: list[Tree], pending: list[tuple[int, int]], edges: np.ndarray, max_depth: int, min_split: int,
+            report) -> dict[tuple[int, int], np.ndarray]:
     """(tree, node) -> ``report(subtree, x, y)`` of the pending nodes, each grown
     to its end by one task; x, y are the rows of the tree's own fold that reach
-    the node (none unless ``held``)."""
+    the node."""
     out: dict[tuple[int, int], np.ndarray] = {}
-    wave: list[tuple[int, int]] = []
-    size = 0
-    for i, (t, k) in enumerate(pending):
-        wave.append((t, k))
-        size += trees[t].rows[k]
-        if size >= WAVE_ROWS or i + 1 == len(pending):
-            out.update(_finish_wave(rows, trees, wave, edges, max_depth, min_split, report, held))
+    wave: list[tuple[tuple[int, int], list[tuple[int, int]]]] = []
+    size, units = 0, _alike(trees, pending)
+    for i, unit in enumerate(units):
+        wave.append(unit)
+        size += max(trees[t].rows[k] for t, k in unit[1])
+        if size >= WAVE_ROWS or i + 1 == len(units):
+            out.update(_finish_wave(rows, trees, wave, edges, max_depth, min_split, report))
             wave, size = [], 0
     return out
 
 
-def _finish_wave(rows, trees, wave, edges, max_depth, min_split, report, held):
-    of: dict[int, list[int]] = {}
-    for t, k in wave:
-        of.setdefault(t, []).append(k)
-    flat, growths = {t: _flat([trees[t]])[0] for t in of}, {t: trees[t].growth for t in of}
-    numbers = {(t, k): trees[t].number[k] for t, k in wave}
-    d = len(edges)
+def _finish_wave(rows, trees, wave, edges, max_depth, min_split, report):
+    of: dict[int, dict[int, list[int]]] = {}
+    for u, ((t, k), _) in enumerate(wave):
+        of.setdefault(t, {}).setdefault(k, []).append(u)
+    flat = {t: _flat([trees[t]])[0] for t in of}
+    best = [trees[t].growth.splitter == "best" for (t, _), _ in wave]
+    alike = [[(t, k, trees[t].growth, trees[t].number[k]) for t, k in nodes] for _, nodes in wave]
+    d, kind = len(edges), np.uint8 if edges.shape[1] < 256 else np.uint32
 
     def route(batches):
         for b in batches:
@@ -380,31 +467,31 @@ def _finish_wave(rows, trees, wave, edges, max_depth, min_split, report, held):
             x, y, f = _inputs(b)
             bins = _binned(x, edges) if edges.shape[1] else None
             for t, nodes in of.items():
-                g = growths[t]
-                mine = np.arange(len(x)) if held else np.flatnonzero(f != g.fold)
-                at = _walk(x[mine], flat[t])
+                at = _walk(x, flat[t])
                 order = np.argsort(at, kind="stable")
-                mine, at = mine[order], at[order]
+                at = at[order]
                 found = []
-                for k in nodes:
-                    own = mine[np.searchsorted(at, k):np.searchsorted(at, k, "right")]
+                for k, units in nodes.items():
+                    own = order[np.searchsorted(at, k):np.searchsorted(at, k, "right")]
                     if len(own):
-                        block = bins[own] if g.splitter == "best" else x[own]
-                        found.append((t, k, block.tobytes(), y[own].tobytes(), (f[own] == g.fold).tobytes()))
+                        found.append((units, (bins if best[units[0]] else x)[own].tobytes(), y[own].astype(np.int8).tobytes(), f[own].astype(np.int32).tobytes()))
                 if found:
-                    yield pd.DataFrame(found, columns=["t", "k", "x", "y", "h"])
+                    yield pd.DataFrame(found, columns=["units", "x", "y", "f"])
 
     def finish(key, blocks):
-        t, k = map(int, key)
-        g = growths[t]
-        kind = (np.uint8 if edges.shape[1] < 256 else np.uint32) if g.splitter == "best" else float
-        x = np.frombuffer(b"".join(blocks["x"]), kind).reshape(-1, d)
-        y, h = np.frombuffer(b"".join(blocks["y"]), np.int64), np.frombuffer(b"".join(blocks["h"]), bool)
-        tree = _subtree(g, numbers[t, k], x[~h], y[~h], max_depth, min_split, edges)
-        return pd.DataFrame({"t": [t], "k": [k], "v": [np.asarray(report(tree, x[h], y[h]), float)]})
-
-    moved = rows.mapInPandas(route, "t int, k int, x binary, y binary, h binary").repartition(min(len(wave), 256), "t", "k")
-    got = moved.groupBy("t", "k").applyInPandas(finish, "t int, k int, v array<double>").collect()
+        u = int(key[0])
+        x = np.frombuffer(b"".join(blocks["x"]), kind if best[u] else float).reshape(-1, d)
+        y, f = np.frombuffer(b"".join(blocks["y"]), np.int8).astype(np.int64), np.frombuffer(b"".join(blocks["f"]), np.int32)
+        out = []
+        for t, k, g, number in alike[u]:
+            h = f == g.fold
+            tree = _subtree(g, number, x[~h], y[~h], max_depth, min_split, edges)
+            out.append((t, k, np.asarray(report(tree, x[h], y[h]), float)))
+        return pd.DataFrame(out, columns=["t", "k", "v"])
+
+    moved = rows.mapInPandas(route, "units array<int>, x binary, y binary, f binary").select(F.explode("units").alias("u"), "x", "y", "f").repartition(
+        min(4 * len(wave), 256), "u")
+    got = moved.groupBy("u").applyInPandas(finish, "t int, k int, v array<double>").collect()
     return {(r["t"], r["k"]): np.array(r["v"]) for r in got}
 
 
@@ -474,13 +561,12 @@ def _splits(rows: DataFrame, trees: list[Tree], plan: dict, edges: np.ndarray, l
             binned = _binned(x, edges) if cuts > 1 else None
             for t, nodes in plan.items():
                 g = growths[t]
-                w = np.array(g.weights)[y]
                 for k, own in _members(x, f, flat[t], g, nodes):
                     if not len(own):
                         continue
                     features, thresholds, _ = nodes[k]
                     side = binned[own][:, features].astype(np.int64) if g.splitter == "best" else (x[own][:, features] > thresholds[:, 0]).astype(np.int64)
-                    sums = _counts(side, cuts if g.splitter == "best" else 2, y[own], w[own]).ravel()
+                    sums = _counts(side, cuts if g.splitter == "best" else 2, y[own], g.weights).ravel()
                     total[t, k] = total[t, k] + sums if (t, k) in total else sums
         if total:
             yield pd.DataFrame({"t": [t for t, _ in total], "k": [k for _, k in total], "v": list(total.values())})
@@ -559,7 +645,7 @@ def pre_pruned_grid(train: DataFrame, grid: Mapping[str, Sequence], fold: str =
             ends = [tree.stops(*limit) for limit in limits]
             return np.array([[right[e].sum(), seen[e].sum()] for e in ends]).ravel()
 
-        below = {key: v.reshape(-1, 2) for key, v in _finish(rows, trees, pending, edges, deepest, least, scores, held=True).items()}
+        below = {key: v.reshape(-1, 2) for key, v in _finish(rows, trees, pending, edges, deepest, least, scores).items()}
         right, seen = _held_out(rows, trees) if any(len(t.number) > 1 for t in trees) else ([np.zeros(1)] * len(trees), [np.zeros(1)] * len(trees))
         hits = np.zeros((len(trees), len(limits), 2))
         for t, tree in enumerate(trees):

@@ -133,3 +133,23 @@ def test_driver_holds_large_nodes_only(data, monkeypatch):
     grid = {"max_depth": [2, 5], "min_samples_split": [2, 20], "max_features": ["sqrt"], "splitter": ["best", "random"]}
     a, b = (tr.pre_pruned_grid(df, grid, features="x", local_rows=n) for n in (0, 40))
     assert list(a[1]) == pytest.approx(list(b[1])) and a[2] == b[2] and sorted(a[3].number) == sorted(b[3].number)
+
+
+def test_equal_rows_move_once_and_a_level_is_one_step(data, monkeypatch):
+    growths = [tr.Growth(s, 2, "gini", leaf, (1.0, 1.0), f) for s in ("best", "random") for leaf in (1, 5) for f in (0, 1, 2)]
+    rows = tr._rows(data[0], "label", "x", "fold")
+    trees, pending, _ = tr._grow(rows, growths, 20, 2, tr.BINS)
+    assert pending == [(t, 0) for t in range(12)]
+    assert [len(nodes) for _, nodes in tr._alike(trees, pending)] == [6, 6]  # roots hold the same rows, in one form per splitter
+    trees, pending, _ = tr._grow(rows, growths, 20, 2, tr.BINS, 100)
+    units = tr._alike(trees, pending)
+    assert sorted(p for _, nodes in units for p in nodes) == sorted(pending) and any(len(nodes) > 1 for _, nodes in units)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(3_000, 6)), rng.integers(0, 2, 3_000)
+    steps = []
+    monkeypatch.setattr(tr, "impurity", lambda m, c, f=tr.impurity: steps.append(1) or f(m, c))
+    for g in (tr.Growth("random", 2), tr.Growth("best", 2)):
+        steps.clear()
+        tree = tr._subtree(g, 1, tr._binned(x, np.sort(rng.normal(size=(6, 31)))) if g.splitter == "best" else x, y, 12, 2,
+                           np.zeros((6, 31)) if g.splitter == "best" else np.zeros((6, 0)))
+        assert len(tree.number) > 500 and len(steps) <= 13 * 2 * 3
