@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ from tabstat.functions.dist import (
     _pow,
     chi2_sf,
     kolmogorov_sf,
-    norm_cdf,
+    norm_cdf_array,
     norm_ppf,
+    norm_ppf_array,
     phi_sf,
     sql_leaf,
 )
@@ -58,12 +60,19 @@ def _ranked(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 
 def _staged(r: DataFrame, ppf: bool = True) -> DataFrame:
-    """Project Φ(value) and the Shapiro-Wilk score Φ⁻¹((i - 3/8)/(n + 1/4))
-    as plain columns before aggregating (one evaluation per row)."""
-    r = r.withColumn("_cdf", norm_cdf("value"))
-    if ppf:
-        r = r.withColumn("_p", (F.col("i") - 0.375) / (F.col("n") + 0.25)).withColumn("_m", norm_ppf("_p"))
-    return r
+    """Φ(value) and the Shapiro-Wilk score Φ⁻¹((i - 3/8)/(n + 1/4)) as plain
+    columns, from whole arrays of values: as expressions they are too long for
+    the JVM to compile."""
+
+    @F.pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        return pd.Series(norm_cdf_array(x.to_numpy(float)))
+
+    @F.pandas_udf("double")
+    def score(i: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(norm_ppf_array((i.to_numpy(float) - 0.375) / (n.to_numpy(float) + 0.25)))
+
+    return r.withColumns({"_cdf": cdf("value"), **({"_m": score("i", "n")} if ppf else {})})
 
 
 def qq_points(df: DataFrame, col: str, by: Sequence[str] = (), plotting: str = "(i-0.5)/n") -> DataFrame:
@@ -253,8 +262,6 @@ def normality_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ())
     by = list(by)
     r = _ranked(df, cols, by)
     i, n, x = F.col("i"), F.col("n"), F.col("value")
-    # stage Φ and Φ⁻¹ as columns: each is evaluated once per row and the
-    # aggregate stays small enough for whole-stage codegen and the JIT
     r = _staged(r)
     cdf, m = F.col("_cdf"), F.col("_m")
     d = F.greatest(i / n - cdf, cdf - (i - 1) / n)
