@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: recall, copies, cuts of hot cells."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tabstat.operators import neighbors as nb
-from tabstat.operators.approx_neighbors import _visits, approx_knn, directions, recall
+from tabstat.operators.approx_neighbors import _matrix, _vectors, _visits, approx_knn, directions, recall
 
 
 def frame(spark, x, ids=None):
@@ -107,6 +108,37 @@ def test_search_queries_ask_every_hundredth_id(spark, tmp_path):
     assert all(r.pairs == 3 for r in QUERIES["knn_approx_recall"](spark, str(tmp_path)).collect())
 
 
+def embeddings(spark, path, x, ids=None):
+    rows = [(i, [float(a) for a in v], n % 3) for n, (i, v) in enumerate(zip(range(len(x)) if ids is None else ids, x))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+def test_knn_approx_asks_every_vector(spark, tmp_path):
+    from tabstat.plans.registry import QUERIES
+
+    x = clustered(250).astype(np.float32).astype(float)
+    embeddings(spark, tmp_path, x, ids=range(7, 757, 3))
+    got = QUERIES["knn_approx"](spark, str(tmp_path)).collect()
+    assert {(r.qid, r["rank"]) for r in got} == {(i, r) for i in range(7, 757, 3) for r in range(1, 6)}
+    assert all(r.qid != r.tid and r.distance == pytest.approx(np.linalg.norm(x[(r.qid - 7) // 3] - x[(r.tid - 7) // 3]), abs=1e-4) for r in got)
+
+
+def test_floats_stay_floats_with_the_results_of_doubles(spark):
+    x = np.vstack([clustered(300).astype(np.float32), np.zeros((2, 16), np.float32), np.full((2, 16), -0.0, np.float32)]).astype(float)
+    wide = frame(spark, x)
+    narrow = wide.withColumn("v", F.col("v").cast("array<float>"))
+    assert _vectors(narrow, "v", "id").schema["v"].dataType.elementType.typeName() == "float"
+    want = sorted(map(tuple, approx_knn(wide, None, 3, "v", "id", bits=6, probes=4, block_rows=40).collect()))
+    assert sorted(map(tuple, approx_knn(narrow, None, 3, "v", "id", bits=6, probes=4, block_rows=40).collect())) == want
+    assert sorted(map(tuple, approx_knn(narrow, wide, 3, "v", "id", bits=6, probes=4).collect())) == want
+
+
+def test_vectors_of_two_lengths_fail():
+    assert _matrix(pa.array([[1.0, 2.0], [3.0, 4.0]]).slice(1), 2).tolist() == [[3.0, 4.0]]
+    with pytest.raises(ValueError):
+        _matrix(pa.array([[1.0], [2.0, 3.0, 4.0]]), 2)
+
+
 @pytest.mark.parametrize("block", [None, 13])
 def test_silhouette_by_pairs_of_blocks(spark, block):
     x = clustered(90, dim=3, groups=4)
