@@ -123,6 +123,14 @@ def test_knn_approx_asks_every_vector(spark, tmp_path):
     assert all(r.qid != r.tid and r.distance == pytest.approx(np.linalg.norm(x[(r.qid - 7) // 3] - x[(r.tid - 7) // 3]), abs=1e-4) for r in got)
 
 
+def test_knn_approx_recall_counts_every_vector(spark, tmp_path):
+    from tabstat.plans.registry import QUERIES
+
+    embeddings(spark, tmp_path, clustered(250), ids=range(7, 757, 3))
+    rows = QUERIES["knn_approx_recall"](spark, str(tmp_path)).collect()
+    assert {r["rank"]: r.pairs for r in rows} == dict.fromkeys(range(1, 6), 250) and all(r.recall >= 0.95 for r in rows)
+
+
 def test_floats_stay_floats_with_the_results_of_doubles(spark):
     x = np.vstack([clustered(300).astype(np.float32), np.zeros((2, 16), np.float32), np.full((2, 16), -0.0, np.float32)]).astype(float)
     wide = frame(spark, x)
